@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from docloom.llm import leakage, ledger, repeated_lines, tokenize
+from docloom.llm import leakage, ledger, near_duplicates, repeated_lines, tokenize
 from docloom.storage import table
 
 #: The folder of public tokenizers; set DOCLOOM_TOKENIZERS where it lies elsewhere.
@@ -30,6 +30,10 @@ def p2_counts(spark, sf_dir):
     return ledger.collapsed(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
 
 
+def p5_found(spark, sf_dir):
+    return near_duplicates.found(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "retrieved_chunks"))
+
+
 def p6_ids(spark, sf_dir):
     return tokenize.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -43,7 +47,7 @@ def p7_near(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p6_ids, p7_found, p7_near)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p5_found, p6_ids, p7_found, p7_near)}
 
 
 _SITE = r"nullif(regexp_extract(regexp_replace(replace(lower(trim({0})), '\', '/'), '^(?:[a-z][a-z0-9+.\-]*:/*|\./+|/+)+', ''), '^[^/]*', 0), '')"
@@ -87,6 +91,18 @@ SELECT DISTINCT c.vector_id, CASE WHEN g IS NULL OR c.content IS NULL THEN c.con
 FROM document_chunks c LEFT JOIN gone USING (vector_id)""",
         "p2_found": _P2_KEYS + "SELECT DISTINCT record, first_id, id AS copy_id FROM keyed JOIN sets USING (record, k) WHERE copies > 1 AND id <> first_id",
         "p2_counts": _P2_KEYS + "SELECT record, first_id, copies FROM sets",
+        "p5_found": """
+WITH texts AS (SELECT DISTINCT 'chunk' AS record, CAST(0 AS BIGINT) AS scope, vector_id AS id, content AS text, chunk_type AS kind FROM document_chunks WHERE content IS NOT NULL
+  UNION SELECT 'retrieved', query_id, hit_id, text, metadata.chunk_type FROM retrieved_chunks WHERE text IS NOT NULL AND query_id IS NOT NULL),
+keyed AS (SELECT *, CASE WHEN lower(trim(kind)) = 'table'
+      THEN array_to_string(list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g')), lambda x: x <> '')), chr(10))
+      ELSE regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') END AS k FROM texts),
+single AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM keyed QUALIFY k = '' OR id = min(id) OVER (PARTITION BY record, scope, k)),
+runs AS (SELECT DISTINCT record, scope, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM single)),
+sizes AS (SELECT record, scope, id, count(*) AS n FROM runs GROUP BY ALL),
+pairs AS (SELECT a.record, a.scope, a.id AS first_id, b.id AS second_id, count(*) AS c FROM runs a JOIN runs b ON a.record = b.record AND a.scope = b.scope AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT DISTINCT p.record, first_id, second_id FROM pairs p JOIN sizes x ON x.record = p.record AND x.scope = p.scope AND x.id = first_id
+JOIN sizes y ON y.record = p.record AND y.scope = p.scope AND y.id = second_id WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9""",
         "p7_found": """
 WITH RECURSIVE dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
