@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from docloom.llm import language, leakage, ledger, near_duplicates, repeated_lines, tokenize
+from docloom.llm import language, leakage, ledger, near_duplicates, repeated_lines, subjects, tokenize
 from docloom.storage import table
 
 #: The folder of public tokenizers; set DOCLOOM_TOKENIZERS where it lies elsewhere.
@@ -50,8 +50,12 @@ def p7_near(spark, sf_dir):
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=13, budget=2)
 
 
+def p8_found(spark, sf_dir):
+    return subjects.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p4_found, p5_found, p6_ids, p7_found, p7_near)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p4_found, p5_found, p6_ids, p7_found, p7_near, p8_found)}
 
 
 _SITE = r"nullif(regexp_extract(regexp_replace(replace(lower(trim({0})), '\', '/'), '^(?:[a-z][a-z0-9+.\-]*:/*|\./+|/+)+', ''), '^[^/]*', 0), '')"
