@@ -1,25 +1,26 @@
 """Problem 5: records that share most of their runs of words, by a token-group matrix.
 
-Tokens are hashes of runs of ``run`` words. They are ordered by rarity (the document frequency of the rarest word in the
-run, over all records; then the hash), and a record's *prefix* is its first tokens in that order: records above the
-threshold share tokens of their prefixes. Records are partitioned into groups of similar ones: those with the same first
-token and nearly the same number of tokens; large groups are split. The matrix holds, for each group, the tokens in the
-prefixes of its members. The entries that two groups have in common bound the overlap of any two of their members, given
-the sizes that each group admits; only groups whose bound reaches the threshold are opened, and the pairs in them, like
-those within a group, are verified on all their tokens.
-
-In scoped comparisons (candidates of one query) a scope of up to ``GROUP`` records is one group and nothing outside it can
-match; larger scopes go through the matrix with tokens of their own.
+Tokens are hashes of runs of ``run`` words. They are ordered by rarity (a count-min sketch of the document frequency of
+each token over all records; then the hash), and a record's *prefix* is its first tokens in that order: the first token
+that two records above the threshold share stands in both prefixes, at places that leave enough tokens behind it.
+Records are partitioned into groups of similar ones (same first token, nearly the same number of tokens). The matrix has a
+row for each group with the union of its members' tokens, in ``BITS`` columns to which tokens are hashed. A record that
+meets a member of a group in a prefix token is bounded against the whole group: the columns it has and the group lacks are
+tokens that no member shares. Only groups whose bound reaches the threshold are opened, and the pairs in them are verified
+on all their tokens. Nothing is lost: places, columns and sizes only rule out pairs that can't reach the threshold.
+
+In scoped comparisons (candidates of one query) a scope of up to ``GROUP`` records is one group, opened at once, as nothing
+outside it can match; larger scopes go through the matrix with tokens of their own.
 
 Copies that differ only in formatting are represented by their smallest id, so groups of copies never form pairs.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,208 +28,254 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.canonical import words
-from docloom.llm.ledger import chunk_key
 from docloom.storage import broadcast_if_small, spread, written
 
-#: A group of more records is split.
+#: A scope of more records goes through the matrix.
 GROUP = 64
-#: Words in at least this share of the records count as common; there are at most (words a record / share) of them.
-COMMON_SHARE = 0.001
-#: Sizes in one class differ by less than this factor.
-CLASS = 1.25
-BROADCAST_ROWS = 500_000
+#: Columns of the matrix, in longs of 64.
+LONGS = 4
+BITS = 64 * LONGS
+#: Slots of the sketch of document frequencies; its size doesn't depend on the data, its order is only a preference.
+SLOTS = 1 << 22
+SLICES = 64
+#: Rows of the matrix that are broadcast; more are joined with a shuffle.
+BROADCAST_ROWS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Tokens:
+    """Distinct tokens of many texts at once."""
+
+    def __init__(self, run: int):
+        self.run = run
+        self.known: dict[str, int] = {}
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+
+    def numbers(self, text: str) -> list[int]:
+        known, out = self.known, []
+        for w in _WORD.findall(text.lower()):
+            i = known.get(w)
+            if i is None:
+                i = known[w] = len(known)
+                if i == len(self.hashes):
+                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+                self.hashes[i] = xxhash.xxh64_intdigest(w)
+            out.append(i)
+        return out
+
+    def of(self, texts: list[str], scopes: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, token) of the distinct tokens of each text, sorted; tokens of different scopes differ."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        run, lists = self.run, [self.numbers(t) for t in texts]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(sizes.sum()))
+        if len(flat) < run:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        h, m = self.hashes[flat], len(flat) - run + 1
+        seed = np.array([(s or 0) & 0xFFFFFFFFFFFFFFFF for s in scopes], dtype=np.uint64)
+        token = seed[owner[:m]]
+        with np.errstate(over="ignore"):
+            for k in range(run):
+                token = (token ^ h[k : k + m]) * _MIX
+                token ^= token >> np.uint64(29)
+        whole = owner[:m] == owner[run - 1 :]
+        owner, token = owner[:m][whole], token[whole]
+        order = np.lexsort((token, owner))
+        owner, token = owner[order], token[order]
+        first = np.ones(len(token), dtype=bool)
+        first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        return owner[first], token[first]
+
+
+def copy_key(text: str, kind: str | None) -> bytes:
+    """16 bytes that copies share: of letters and digits in order, of a table's lines in any order; none without any."""
+    if kind is not None and kind.strip().lower() == "table":
+        bare = "\n".join(sorted(x for x in ("".join(_WORD.findall(line)) for line in text.lower().split("\n")) if x))
+    else:
+        bare = "".join(_WORD.findall(text.lower()))
+    return xxhash.xxh128_digest(bare) if bare else b""
+
+
+def slot_of(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(13)).astype(np.int64) % SLOTS
+
+
+def frequencies(texts: DataFrame, run: int) -> np.ndarray:
+    """The count-min sketch (one row of SLOTS) of the document frequencies of the tokens of (scope, text)."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, slots, part = Tokens(run), np.zeros(SLOTS, dtype=np.int64), 0
+        for batch in batches:
+            scopes, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            part = part or xxhash.xxh32_intdigest(bodies[0] or "") if bodies else part
+            for low in range(0, len(bodies), 2000):
+                _, token = tokens.of(bodies[low : low + 2000], scopes[low : low + 2000])
+                slots += np.bincount(slot_of(token), minlength=SLOTS)
+        for i, values in enumerate(np.split(slots, SLICES)):
+            if values.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())], ["slice", "part", "n"])
 
-def with_runs(df: DataFrame, text_col: str, run: int) -> DataFrame:
-    """``df`` with ``tokens`` in place of its text: the distinct runs of ``run`` words as hashes, none for shorter texts."""
-    hashed = F.transform(F.sequence(F.lit(0), F.size("_words") - run), lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(run)]))
-    tokens = F.when(F.size("_words") >= run, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("_words", words(F.col(text_col))).withColumn("tokens", tokens).drop("_words", text_col)
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in table.column("n").to_pylist())
+        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    schema = "slice int, part int, n binary"
+    rows = texts.select("scope", "text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows
+    out = np.zeros((SLICES, SLOTS // SLICES), dtype=np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r.n), dtype=np.int64)
+    return out.reshape(-1)
 
-def common_words(texts: DataFrame) -> dict[int, int]:
-    """Hash and document frequency of the words in at least COMMON_SHARE of all records (text, in the only column)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+RECORD = "scope bigint, id string, copy binary, n int, first bigint, prefix array<bigint>, " + ", ".join(f"b{i} bigint" for i in range(LONGS))
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(w) - 2**63 for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
 
-        total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(set(_WORD.findall(text.lower())))
-                total += 1
-            if len(seen) > 500_000:
-                yield flush()
-        seen[""] = total
-        yield flush()
+def records_of(texts: DataFrame, run: int, threshold: float) -> DataFrame:
+    """RECORD of each (scope, id, kind, text); ``first`` and ``prefix`` are empty for texts shorter than a run."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequencies(texts, run).astype(np.int32))  # SLOTS numbers
 
-    counts = texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "word-counts")
-    nothing = xxhash.xxh64_intdigest("") - 2**63
-    total = counts.where(F.col("word") == nothing).agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("n") >= max(2, COMMON_SHARE * total)) & (F.col("word") != nothing)).collect()  # bounded, see COMMON_SHARE
-    return {r.word + 2**63: r.n for r in rows}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sketch = Tokens(run), sent.value
+        for whole in batches:
+            for batch in (whole.slice(low, 2000) for low in range(0, whole.num_rows, 2000)):
+                scopes, kinds, bodies = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                owner, token = tokens.of(bodies, scopes)
+                n = np.bincount(owner, minlength=len(bodies))
+                order = np.lexsort((token, sketch[slot_of(token)], owner))
+                token = token[order]
+                start = np.concatenate([[0], np.cumsum(n)])
+                place = np.arange(len(token)) - start[owner]
+                kept = place < (n - np.ceil(threshold * n - 1e-9) + 1)[owner]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(bodies)))])
+                bits = np.zeros((len(bodies), LONGS), dtype=np.uint64)
+                column = (token >> np.uint64(3)) % np.uint64(BITS)
+                np.bitwise_or.at(bits, (owner, (column // np.uint64(64)).astype(np.int64)), np.uint64(1) << (column % np.uint64(64)))
+                signed = token.view(np.int64)
+                first = np.zeros(len(bodies), dtype=np.int64)
+                first[n > 0] = signed[start[:-1][n > 0]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array([copy_key(t, k) for t, k in zip(bodies, kinds)], pa.binary()), pa.array(n.astype(np.int32)), pa.array(first),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed[kept])), *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(LONGS)],
+                    ],
+                    [c.split()[0] for c in RECORD.split(", ")],
+                )
+
+    return texts.select("scope", "id", "kind", "text").mapInArrow(work, RECORD)
+
+
+def least_common(n: Column, m: Column, threshold: float) -> Column:
+    """Tokens that sets of ``n`` and ``m`` tokens share at least if their Jaccard similarity reaches the threshold."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
+
+
+def fits(n: Column, m: Column, threshold: float) -> Column:
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
+
+
+def closed_pairs(texts: DataFrame, run: int, threshold: float) -> DataFrame:
+    """(scope, first_id, second_id, similarity) within scopes of up to GROUP records: each is one group and is opened."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(run)
+        for batch in batches:
+            ids, kinds, bodies = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            owner, token = tokens.of(bodies, [None] * len(bodies))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(bodies)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([copy_key(t, k) for t, k in zip(bodies, kinds)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64)))], ["scope", "id", "copy", "tokens"])
 
-def size_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(CLASS) + 1e-9).astype(np.int32)
+    sets = texts.select("scope", "id", "kind", "text").mapInArrow(work, "scope bigint, id string, copy binary, tokens array<bigint>")
+    groups = sets.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("copy", "id", "tokens"))).alias("m"))  # at most GROUP
+    # the first of each group of copies; a record without letters and digits is no copy of another
+    groups = groups.withColumn("m", F.filter("m", lambda x, i: (i == 0) | (x["copy"] != F.get(F.col("m"), i - 1)["copy"])))
+    pairs = groups.select("scope", "m", F.posexplode("m").alias("i", "x")).select("scope", "x", F.explode(F.slice("m", F.col("i") + 2, F.lit(GROUP))).alias("y"))
+    pairs = pairs.select("scope", F.least("x.id", "y.id").alias("first_id"), F.greatest("x.id", "y.id").alias("second_id"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb"))
+    return verified(pairs, threshold)
 
 
-def prefixes(texts: DataFrame, run: int, threshold: float) -> DataFrame:
-    """(uid, key, class, n, prefix) of each record (uid, scope, text) that has a run of words."""
-    common = texts.sparkSession.sparkContext.broadcast(common_words(texts.select("text")))
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(scope, first_id, second_id, similarity) of the pairs whose token sets ``ta`` and ``tb`` reach the threshold."""
+    sized = pairs.where((F.size("ta") > 0) & fits(F.size("ta"), F.size("tb"), threshold)).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    scored = sized.withColumn("similarity", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")))
+    return scored.where(F.col("similarity") >= threshold - 1e-12).select("scope", "first_id", "second_id", "similarity")
+
+
+def matrix_pairs(texts: DataFrame, run: int, threshold: float) -> DataFrame:
+    """(scope, first_id, second_id, similarity) of records of any number, through the token-group matrix."""
+    records = written(records_of(spread(texts), run, threshold), "records").withColumn("uid", F.xxhash64("scope", "id"))
+    # copies: all but the smallest id of each key
+    groups = records.where("length(copy) > 0").groupBy("scope", "copy").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    groups = broadcast_if_small(written(groups, "copy-groups"), BROADCAST_ROWS // 4)
+    r, g = records.alias("r"), groups.alias("g")
+    single = r.join(g, F.col("r.scope").eqNullSafe(F.col("g.scope")) & (F.col("r.copy") == F.col("g.copy")) & (F.col("r.id") != F.col("g.low")), "left_anti").where("n > 0")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    single = single.withColumn("gid", F.xxhash64("first", size_class))
+    bits = [f"b{i}" for i in range(LONGS)]
+    slim = single.select("uid", "gid", "n", *bits)
+    matrix = slim.groupBy("gid").agg(F.count("*").alias("members"), F.min("n").alias("low"), *[F.bit_or(b).alias(b.replace("b", "u")) for b in bits]).where("members > 1")
+    matrix = broadcast_if_small(written(matrix, "groups"), BROADCAST_ROWS)
+    # each record with the row of its group; a group of one is its own row
+    rows = slim.join(matrix, "gid", "left").select("uid", "gid", "n", *bits, F.coalesce("low", "n").alias("low"), *[F.coalesce(b.replace("b", "u"), b).alias(b.replace("b", "u")) for b in bits])
+    rows = written(rows, "matrix")
+    entries = single.select("uid", "n", F.posexplode("prefix").alias("place", "token"))
+    a, b = entries.alias("a"), entries.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # tokens from the shared one on
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.uid") < F.col("b.uid")) & fits(F.col("a.n"), F.col("b.n"), threshold) & (left >= least_common(F.col("a.n"), F.col("b.n"), threshold))
+    met = a.join(b, meet).select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub"))
+    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else (lambda x: x)
+    q = hint(rows.select(F.col("uid").alias("ua"), F.col("n").alias("nq"), *[F.col(b).alias(f"q{b}") for b in bits]))
+    of_group = hint(rows.select(F.col("uid").alias("ub"), "gid", "low", *[b.replace("b", "u") for b in bits]))
+    lacks = sum((F.bit_count(F.col(f"q{b}").bitwiseAND(F.bitwise_not(F.col(b.replace("b", "u"))))) for b in bits), F.lit(0))
+    # no member shares the tokens behind the columns that the group lacks; its smallest member needs least
+    need = F.greatest(F.ceil(F.lit(threshold) * F.col("nq") - 1e-9), least_common(F.col("nq"), F.col("low"), threshold))
+    opened = met.join(q, "ua").join(of_group, "ub").where(F.col("nq") - lacks >= need).select("ua", "gid").distinct()
+    x = slim.select(F.col("uid").alias("ua"), F.col("n").alias("nq"), *[F.col(b).alias(f"q{b}") for b in bits])
+    apart = sum((F.bit_count(F.col(f"q{b}").bitwiseAND(F.bitwise_not(F.col(b)))) for b in bits), F.lit(0))
+    opened = written(opened, "opened-groups")
+    pairs = broadcast_if_small(opened, BROADCAST_ROWS // 4).join(slim, "gid").where("ua <> uid").join(x, "ua").where(fits(F.col("nq"), F.col("n"), threshold) & (F.col("nq") - apart >= least_common(F.col("nq"), F.col("n"), threshold)))
+    candidates = written(pairs.select(F.least("ua", "uid").alias("ua"), F.greatest("ua", "uid").alias("ub")).distinct(), "candidates")
+    wanted = broadcast_if_small(written(candidates.select(F.explode(F.array("ua", "ub")).alias("uid")).distinct(), "wanted"), BROADCAST_ROWS // 4)
+    sets = written(_token_sets(texts.withColumn("uid", F.xxhash64("scope", "id")).join(wanted, "uid", "left_semi"), run), "token-sets")
+    l, r = sets.alias("l"), sets.alias("r")
+    both = candidates.join(l, F.col("ua") == F.col("l.uid")).join(r, F.col("ub") == F.col("r.uid")).where("l.id <> r.id AND l.scope IS NOT DISTINCT FROM r.scope")
+    return verified(both.select("l.scope", F.least("l.id", "r.id").alias("first_id"), F.greatest("l.id", "r.id").alias("second_id"), F.col("l.tokens").alias("ta"), F.col("r.tokens").alias("tb")), threshold)
+
+
+def _token_sets(texts: DataFrame, run: int) -> DataFrame:
+    """(uid, scope, id, tokens) with all tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = common.value
-        known: dict[str, int] = {}
-        hashes, counts = [], []
+        tokens = Tokens(run)
         for batch in batches:
-            scopes = batch.column(1).to_pylist()
-            out = {"uid": [], "key": [], "class": [], "n": []}
-            ends, flat = [0], []
-            h_all, f_all = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
-            for uid, scope, text in zip(batch.column(0).to_pylist(), scopes, batch.column(2).to_pylist()):
-                ids = []
-                for w in _WORD.findall(text.lower()):
-                    i = known.get(w)
-                    if i is None:
-                        i = known[w] = len(hashes)
-                        h = xxhash.xxh64_intdigest(w)
-                        hashes.append(h)
-                        counts.append(frequency.get(h, 0))
-                    ids.append(i)
-                if len(ids) < run:
-                    continue
-                if len(hashes) > len(h_all):
-                    h_all, f_all = np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
-                ids = np.array(ids)
-                h, f = h_all[ids], f_all[ids]
-                m = len(ids) - run + 1
-                token, rarity = np.full(m, np.uint64(scope & 0xFFFFFFFFFFFFFFFF if scope is not None else 0)), f[:m]
-                with np.errstate(over="ignore"):
-                    for k in range(run):
-                        token = (token ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-                        token ^= token >> np.uint64(29)
-                        rarity = np.minimum(rarity, f[k : k + m])
-                token, first = np.unique(token, return_index=True)
-                n = len(token)
-                keep = n - math.ceil(threshold * n - 1e-9) + 1
-                order = np.lexsort((token, rarity[first]))[:keep]
-                head = token[order].view(np.int64)
-                c = int(size_class(np.array([n]))[0])
-                out["uid"].append(uid)
-                out["key"].append(int(head[0]) ^ c)
-                out["class"].append(c)
-                out["n"].append(n)
-                flat.append(head)
-                ends.append(ends[-1] + len(head))
-            if len(hashes) > 400_000:
-                known.clear(), hashes.clear(), counts.clear()
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["uid"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["class"], pa.int32()), pa.array(out["n"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                ["uid", "key", "class", "n", "prefix"],
-            )
-
-    return texts.mapInArrow(work, "uid bigint, key bigint, class int, n int, prefix array<bigint>")
-
-
-def least_common(threshold: float) -> Column:
-    """Entries that two groups must share at least, for classes ``a`` and ``b`` of sizes: below that no two members can match."""
-    low = lambda c: F.ceil(F.pow(F.lit(CLASS), F.col(c)) - 1e-6)
-    high = lambda c: F.floor(F.pow(F.lit(CLASS), F.col(c) + 1) + 1e-6)
-    need = lambda n, m: F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(threshold) * F.greatest(n, m)
-    return F.greatest(F.lit(1), F.floor(F.least(need(high("ca"), low("cb")), need(low("ca"), high("cb")), need(low("ca"), low("cb")), need(high("ca"), high("cb"))) - 1e-6))
+            bodies = batch.column(3).to_pylist()
+            owner, token = tokens.of(bodies, [None] * len(bodies))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(bodies)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64)))], ["uid", "scope", "id", "tokens"])
 
+    return texts.select("uid", "scope", "id", "text").mapInArrow(work, "uid bigint, scope bigint, id string, tokens array<bigint>").distinct()
 
-def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(first, second, similarity) of pairs (a, b, ta, tb) whose token sets reach the threshold."""
-    need = F.lit(threshold) * F.greatest(F.size("ta"), F.size("tb")) - 1e-9
-    sized = pairs.where((F.size("ta") > 0) & (F.least(F.size("ta"), F.size("tb")) >= need))
-    scored = sized.withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    scored = scored.withColumn("similarity", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")))
-    return scored.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
-
-
-def representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``texts`` (id, scope, text, kind) without copies, and the copies (scope, first_id, copy_id)."""
-    key = F.unhex(F.md5(chunk_key(F.col("text"), F.col("kind"))))
-    keyed = texts.where("id IS NOT NULL AND text IS NOT NULL").select("scope", "id", key.alias("key")).where("key IS NOT NULL")
-    first = keyed.groupBy("scope", "key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id <> last_id")
-    first = broadcast_if_small(written(first, "copy-groups"), BROADCAST_ROWS)
-    k, f = keyed.alias("k"), first.alias("f")
-    copies = k.join(f, F.col("k.scope").eqNullSafe(F.col("f.scope")) & (F.col("k.key") == F.col("f.key"))).where("k.id <> f.first_id").select("k.scope", "f.first_id", F.col("k.id").alias("copy_id")).distinct()
-    copies = written(copies, "copies")
-    gone = broadcast_if_small(copies.select(F.col("copy_id").alias("id")).distinct(), BROADCAST_ROWS)
-    return texts.where("id IS NOT NULL AND text IS NOT NULL").join(gone, "id", "left_anti"), copies
-
-
-def similar_pairs(texts: DataFrame, threshold: float = 0.8, run: int = 5, copies: bool = False) -> DataFrame:
+
+def similar_pairs(texts: DataFrame, threshold: float = 0.8, run: int = 5) -> DataFrame:
     """(first_id, second_id, similarity) of all pairs of records whose sets of word runs reach a Jaccard similarity.
 
     ``texts`` has ``id`` (string), ``scope`` (bigint, null for all), ``text`` and ``kind`` (``table`` for texts whose lines
-    may stand in any order). Ids are ordered as strings, the smaller first. Copies in the sense of the ledger (same letters
-    and digits) never pair with each other; a group of them stands for itself by its smallest id, or by every id with
-    ``copies``. Null ids, null texts and texts shorter than a run have no pairs; rows sent twice count once; an empty table
-    gives an empty result; other columns are ignored.
+    may stand in any order). Ids are ordered as strings, the smaller first. A group of copies in the sense of the ledger
+    (same letters and digits within the scope) stands for itself by its smallest id, so copies never pair with each other.
+    Null ids, null texts and texts shorter than a run have no pairs; rows sent twice count once; an empty table gives an
+    empty result; other columns are ignored.
     """
-    single, copied = representatives(texts.select("id", "scope", "text", "kind"))
-    single = single.withColumn("uid", F.xxhash64("scope", "id"))
-    # scopes that are one group
-    per_scope = texts.where("scope IS NOT NULL").groupBy("scope").agg(F.count("*").alias("size"))
-    wide = broadcast_if_small(written(per_scope.where(F.col("size") > GROUP).select("scope", F.lit(True).alias("wide")), "wide-scopes"), BROADCAST_ROWS)
-    single = single.join(wide, "scope", "left")
-    closed = with_runs(single.where("scope IS NOT NULL AND wide IS NULL").select("scope", "id", "text"), "text", run)
-    members = closed.select("scope", "id", "tokens").where(F.size("tokens") > 0)
-    within = verified(members.alias("x").join(members.alias("y"), F.col("x.scope") == F.col("y.scope")).where("x.id < y.id").select(F.struct("x.scope", "x.id").alias("a"), F.struct("y.scope", "y.id").alias("b"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb")), threshold)
-    within = within.select(F.col("a.scope").alias("scope"), F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), "similarity")
-    # all others go through the matrix
-    open_ = single.where("scope IS NULL OR wide").select("uid", "scope", "id", "text")
-    records = written(prefixes(spread(open_.select("uid", "scope", "text")), run, threshold), "prefixes")
-    large = records.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
-    large = broadcast_if_small(written(large, "large-groups"), BROADCAST_ROWS)
-    parts = F.ceil(F.col("size") / GROUP)
-    grouped = records.join(large, "key", "left").withColumn("gid", F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.col("uid"), parts))))
-    matrix = grouped.select(F.explode("prefix").alias("token"), "gid", "class")
-    a, b = matrix.alias("a"), matrix.alias("b")
-    reach = math.ceil(math.log(1 / threshold) / math.log(CLASS)) + 1
-    # the join condition counts an entry once a member; a higher count only weakens the bound
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid")) & (F.abs(F.col("a.class") - F.col("b.class")) < reach))
-    shared = shared.groupBy(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"), F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).agg(F.count("*").alias("shared"))
-    opened = shared.where(F.col("shared") >= least_common(threshold)).select("ga", "gb").distinct()
-    slim = grouped.select("gid", "uid", "n")
-    x, y = slim.alias("x"), slim.alias("y")
-    fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
-    across = opened.join(x, F.col("ga") == F.col("x.gid")).join(y, (F.col("gb") == F.col("y.gid")) & fits).select(F.col("x.uid").alias("ua"), F.col("y.uid").alias("ub"))
-    inside = x.join(y, (F.col("x.gid") == F.col("y.gid")) & fits).where("x.uid < y.uid").select(F.col("x.uid").alias("ua"), F.col("y.uid").alias("ub"))
-    candidates = written(across.unionByName(inside), "candidate-pairs")
-    wanted = candidates.select(F.explode(F.array("ua", "ub")).alias("uid")).distinct()
-    wanted = broadcast_if_small(written(wanted, "candidate-records"), BROADCAST_ROWS)
-    tokens = written(with_runs(open_.join(wanted, "uid", "left_semi"), "text", run), "candidate-tokens")
-    left, right = tokens.alias("l"), tokens.alias("r")
-    pairs = candidates.join(left, F.col("ua") == F.col("l.uid")).join(right, F.col("ub") == F.col("r.uid")).where("l.id <> r.id AND l.scope IS NOT DISTINCT FROM r.scope")
-    pairs = verified(pairs.select(F.struct("l.scope", "l.id").alias("a"), F.struct("r.scope", "r.id").alias("b"), F.col("l.tokens").alias("ta"), F.col("r.tokens").alias("tb")), threshold)
-    pairs = pairs.select(F.col("a.scope").alias("scope"), F.least("a.id", "b.id").alias("first_id"), F.greatest("a.id", "b.id").alias("second_id"), "similarity")
-    out = within.unionByName(pairs)
-    if copies:
-        out = _with_copies(out, copied)
-    return out.select("first_id", "second_id", "similarity").distinct()
-
-
-def _with_copies(pairs: DataFrame, copied: DataFrame) -> DataFrame:
-    """``pairs`` of representatives and, beside them, the pairs of their copies."""
-    for side, other in (("first_id", "second_id"), ("second_id", "first_id")):
-        c = broadcast_if_small(copied, BROADCAST_ROWS).select(F.col("scope").alias("_s"), F.col("first_id").alias("_f"), "copy_id")
-        more = pairs.join(c, (F.col(side) == F.col("_f")) & F.col("scope").eqNullSafe(F.col("_s"))).select("scope", F.col("copy_id").alias(side), other, "similarity")
-        pairs = pairs.unionByName(more)
-    return pairs.select("scope", F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), "similarity")
+    texts = texts.select("id", "scope", "text", "kind").where("id IS NOT NULL AND text IS NOT NULL")
+    wide = texts.where("scope IS NOT NULL").groupBy("scope").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("scope")
+    wide = broadcast_if_small(written(wide, "wide-scopes"), BROADCAST_ROWS // 4)
+    scoped = texts.where("scope IS NOT NULL")
+    parts = [closed_pairs(scoped.join(wide, "scope", "left_anti"), run, threshold)]
+    if not wide.isEmpty() or not texts.where("scope IS NULL").isEmpty():
+        parts.append(matrix_pairs(texts.where("scope IS NULL").unionByName(scoped.join(wide, "scope", "left_semi")), run, threshold))
+    return reduce(DataFrame.unionByName, parts).select("first_id", "second_id", "similarity").distinct()
 
 
 def sources(chunks: DataFrame, retrieved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +285,7 @@ def sources(chunks: DataFrame, retrieved: DataFrame) -> tuple[DataFrame, DataFra
     return c, r
 
 
-def found(chunks: DataFrame, retrieved: DataFrame, copies: bool = False) -> DataFrame:
+def found(chunks: DataFrame, retrieved: DataFrame) -> DataFrame:
     """p5_found: (record, first_id, second_id)."""
-    parts = [similar_pairs(df, threshold=0.6, run=3, copies=copies).select(F.lit(record).alias("record"), "first_id", "second_id") for record, df in zip(("chunk", "retrieved"), sources(chunks, retrieved))]
+    parts = [similar_pairs(df, threshold=0.6, run=3).select(F.lit(record).alias("record"), "first_id", "second_id") for record, df in zip(("chunk", "retrieved"), sources(chunks, retrieved))]
     return parts[0].unionByName(parts[1])

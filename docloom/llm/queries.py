@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from docloom.llm import language, leakage, ledger, near_duplicates, repeated_lines, subjects, tokenize
+from docloom.llm import language, leakage, ledger, main_content, near_duplicates, repeated_lines, subjects, tokenize
 from docloom.storage import table
 
 #: The folder of public tokenizers; set DOCLOOM_TOKENIZERS where it lies elsewhere.
@@ -30,6 +30,10 @@ def p2_counts(spark, sf_dir):
     return ledger.collapsed(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
 
 
+def p3_found(spark, sf_dir):
+    return main_content.found(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
+
+
 def p4_found(spark, sf_dir):
     return language.found(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
 
@@ -55,7 +59,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p4_found, p5_found, p6_ids, p7_found, p7_near, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_ids, p7_found, p7_near, p8_found)}
 
 
 _SITE = r"nullif(regexp_extract(regexp_replace(replace(lower(trim({0})), '\', '/'), '^(?:[a-z][a-z0-9+.\-]*:/*|\./+|/+)+', ''), '^[^/]*', 0), '')"
