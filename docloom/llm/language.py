@@ -76,66 +76,74 @@ class Trees:
         for gram, n in self.seen.items():
             total[gram[:-1]] = total.get(gram[:-1], 0) + n
             kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + (n > 0)
-        # bits of an escape and of the sum of counts with escapes; a context that a language lacks costs nothing
+        # bits of an escape; a context that a language lacks costs nothing
         self.escape = {c: np.where(kinds[c] > 0, np.log2(np.maximum(total[c] + kinds[c], 1)) - np.log2(np.maximum(kinds[c], 1)), 0.0) for c in total}
-        self.whole = {c: np.log2(np.maximum(total[c] + kinds[c], 1)) for c in total}
-
-    def bits(self, word: str) -> np.ndarray:
+        # bits of a byte that its context has seen, infinite elsewhere
+        self.code = {g: np.where(n > 0, np.log2(np.maximum(total[g[:-1]] + kinds[g[:-1]], 1)) - np.log2(np.maximum(n, 1)), np.inf) for g, n in self.seen.items()}
+        self.flat = np.full(k, 8.0)
+        del self.seen
+
+    def byte_bits(self, gram: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
+        """Code length of the last byte of ``gram`` after the bytes before it; shorter contexts are looked up in ``known``."""
+        bits = known.get(gram)
+        if bits is None:
+            bits = self.byte_bits(gram[1:], known) if len(gram) > 1 else self.flat
+            escape = self.escape.get(gram[:-1])
+            if escape is not None:
+                bits = bits + escape
+                code = self.code.get(gram)
+                if code is not None:
+                    bits = np.where(np.isinf(code), bits, code)
+            known[gram] = bits
+        return bits
+
+    def bits(self, word: str, known: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
         """Code length of a word in each language; none for words with digits, which belong to no language."""
-        text = contexts(word)
-        out = np.zeros(len(self.languages))
+        known, text = {} if known is None else known, contexts(word)
         if _DIGIT.search(word):
-            return out
-        for i in range(1, len(text)):
-            open_ = np.ones(len(self.languages), dtype=bool)
-            for order in range(min(ORDER, i), -1, -1):
-                context = text[i - order : i]
-                if context not in self.escape:
-                    continue
-                n = self.seen.get(context + text[i : i + 1])
-                if n is not None:
-                    hit = open_ & (n > 0)
-                    out[hit] += self.whole[context][hit] - np.log2(n[hit])
-                    open_ &= ~hit
-                out[open_] += self.escape[context][open_]
-                if not open_.any():
-                    break
-            out[open_] += 8.0
-        return out
+            return np.zeros(len(self.languages))
+        return sum(self.byte_bits(text[max(0, i - ORDER) : i + 1], known) for i in range(1, len(text)))
 
 
 class Scorer:
-    """Code lengths of the sentences of many texts; words are scored once."""
+    """Code lengths of the sentences of many texts; words and contexts are scored once."""
 
     def __init__(self, trees: Trees):
         self.trees = trees
+        self.known: dict[bytes, np.ndarray] = {}
+        self._empty()
+
+    def _empty(self):
         self.place: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.table = np.zeros((1 << 14, len(self.trees.languages)))
+
+    def _new(self, word: str) -> int:
+        i = self.place[word] = len(self.place)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if len(self.known) > 500_000:
+            self.known.clear()
+        self.table[i] = self.trees.bits(word, self.known)
+        return i
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Number of the text, words and bits in each language of each sentence with words, and the sentences."""
-        if len(self.rows) > 300_000:
-            self.place, self.rows = {}, []
+        if len(self.place) > 500_000:
+            self._empty()
         owner, sizes, flat, said = [], [], [], []
-        place, rows = self.place, self.rows
+        place = self.place
         for t, text in enumerate(texts):
             for sentence in sentences_of(text or ""):
                 found = _WORD.findall(sentence.lower())
-                if not found:
-                    continue
-                for w in found:
-                    i = place.get(w)
-                    if i is None:
-                        i = place[w] = len(rows)
-                        rows.append(self.trees.bits(w))
-                    flat.append(i)
-                owner.append(t)
-                sizes.append(len(found))
-                said.append(sentence)
+                if found:
+                    flat += [place[w] if w in place else self._new(w) for w in found]
+                    owner.append(t)
+                    sizes.append(len(found))
+                    said.append(sentence)
         if not owner:
             return np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(self.trees.languages))), said
         sizes = np.array(sizes)
-        bits = np.add.reduceat(np.array(rows)[np.array(flat)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        bits = np.add.reduceat(self.table[np.array(flat)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
         return np.array(owner), sizes, bits, said
 
 
