@@ -1 +1 @@
-
+"""Where documents come from: files and their routes, and what is read from them."""
