@@ -20,7 +20,7 @@ ROUTES = [
     ("image", [".jpg", ".jpeg", ".png", ".gif"], [], "image/"),
     ("ignored", [".css", ".js"], [], None),
 ]
-ICON_WORDS = ["icon", "logo", "bullet", "arrow", "button", "spacer", "pixel"]
+ICON_WORDS = "icon logo spacer bullet btn button pixel".split()
 
 
 def extension(path: Column) -> Column:
