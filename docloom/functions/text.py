@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ NAVIGATION_WORDS = "previous next contents index print".split()
 SPACE = r"[\s\p{Z}\x{85}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` needs it (also within the lambdas of arrays)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """``text`` without white space of any script at both ends."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -58,8 +65,8 @@ def tokens(normalized: Column) -> Column:
 
 def fingerprint(heading: Column, text: Column, length: int = 1500) -> Column:
     """What two hits with the same content share: the normalized heading and the beginning of the normalized text."""
-    h, body = normalize(heading), F.substring(normalize(text), 1, length)
-    return F.when(h != "", F.concat(h, F.lit("\n"), body)).otherwise(body)
+    body = F.substring(normalize(text), 1, length)
+    return let(normalize(heading), lambda h: F.concat(F.when(h != "", F.concat(h, F.lit("\n"))).otherwise(""), body))
 
 
 def is_image_line(line: Column) -> Column:
@@ -68,8 +75,8 @@ def is_image_line(line: Column) -> Column:
 
 def is_navigation_line(line: Column) -> Column:
     """Nothing readable, or up to eight different words with one of navigation among them."""
-    words = F.array_distinct(tokens(normalize(line)))
-    return (F.size(words) == 0) | (F.arrays_overlap(words, F.array(*map(F.lit, NAVIGATION_WORDS))) & (F.size(words) <= 8))
+    named = F.array(*map(F.lit, NAVIGATION_WORDS))
+    return let(F.array_distinct(tokens(normalize(line))), lambda w: (F.size(w) == 0) | (F.arrays_overlap(w, named) & (F.size(w) <= 8)))
 
 
 def _links(line: Column) -> Column:
@@ -82,10 +89,10 @@ def _visible(line: Column) -> Column:
 
 def is_breadcrumb_line(line: Column, max_words: int = 20, separator: bool = True) -> Column:
     """Two links or a ``>``, a separator (unless told otherwise) and few words."""
-    visible = _visible(line)
-    separators = F.regexp_count(visible, F.lit(">| / "))
-    linked = (_links(line) >= 2) | F.contains(line, F.lit(">"))
-    return linked & ((separators >= 1) if separator else F.lit(True)) & (F.size(tokens(normalize(visible))) <= max_words)
+    linked = F.contains(line, F.lit(">")) | (_links(line) >= 2)
+    parted = lambda v: F.regexp_count(v, F.lit(">| / ")) >= 1 if separator else F.lit(True)
+    # most lines fail the first test, so the rest is not computed for them
+    return F.when(linked, let(_visible(line), lambda v: parted(v) & (F.size(tokens(normalize(v))) <= max_words))).otherwise(False)
 
 
 def without_front_matter(text: Column) -> Column:
@@ -94,7 +101,7 @@ def without_front_matter(text: Column) -> Column:
 
 def body_for_near_duplicates(text: Column) -> Column:
     """Normalized content lines: no front matter, images, navigation, breadcrumbs or addresses."""
-    lines = F.transform(F.split(F.regexp_replace(without_front_matter(sanitize(text)), r"\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(without_front_matter(sanitize(text)), r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~is_image_line(x) & ~is_navigation_line(x) & ~is_breadcrumb_line(x))
     t = unlink(F.lower(F.array_join(kept, "\n")))
     return without_punctuation(F.regexp_replace(t, r"https?://\S+", " "))
@@ -102,24 +109,29 @@ def body_for_near_duplicates(text: Column) -> Column:
 
 def shingles(normalized: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` words; the distinct words of a shorter text."""
-    t = tokens(normalized)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, size), " "))
-    return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(F.array_distinct(t))
+
+    def runs(t):
+        all_ = F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, size), " "))
+        return F.array_distinct(F.when(F.size(t) >= size, all_).otherwise(t))
+
+    return let(tokens(normalized), runs)
 
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; for sets of nearly the same size the containment if that is greater; 0 if one is empty."""
     na, nb = F.size(a), F.size(b)
-    overlap = F.size(F.array_intersect(a, b))
-    jaccard = overlap / (na + nb - overlap)
-    contained = overlap / F.least(na, nb)
+    return let(F.size(F.array_intersect(a, b)), lambda overlap: _similarity(na, nb, overlap))
+
+
+def _similarity(na: Column, nb: Column, overlap: Column) -> Column:
+    jaccard, contained = overlap / (na + nb - overlap), overlap / F.least(na, nb)
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).when(F.least(na, nb) / F.greatest(na, nb) < 0.75, jaccard).otherwise(F.greatest(contained, jaccard))
 
 
 def truncate_at_word(text: Column, limit: int) -> Column:
     """Squeezed text; beyond ``limit`` characters it is cut after a word and ends with dots."""
-    t = squeeze(sanitize(text))
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.trim(F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*\z", "")), F.lit("...")))
+    cut = lambda t: F.concat(F.trim(F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*\z", "")), F.lit("..."))
+    return let(squeeze(sanitize(text)), lambda t: F.when(F.length(t) <= limit, t).otherwise(cut(t)))
 
 
 def query_terms(question: Column, stopwords: bool = True) -> Column:
@@ -132,10 +144,12 @@ def query_terms(question: Column, stopwords: bool = True) -> Column:
 
 def query_phrases(terms: Column) -> Column:
     """Runs of four, three and two terms, the longest first, once each."""
-    sized = lambda n: F.when(
-        F.size(terms) >= n, F.transform(F.sequence(F.lit(1), F.size(terms) - n + 1), lambda i: F.array_join(F.slice(terms, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(sized(4), sized(3), sized(2)))
+
+    def sized(t, n):
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return let(terms, lambda t: F.array_distinct(F.concat(sized(t, 4), sized(t, 3), sized(t, 2))))
 
 
 def context_terms(question: Column) -> Column:
@@ -152,7 +166,7 @@ def context_terms(question: Column) -> Column:
 
 def context_lines(text: Column, first: int = 20) -> Column:
     """Front matter and breadcrumb lines among the first lines of a text, joined by spaces."""
-    lines = F.filter(F.transform(F.slice(F.split(sanitize(text), "\n"), 1, first), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.split(sanitize(text), "\n"), 1, first), lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
 
     def step(state, x):
@@ -165,9 +179,12 @@ def context_lines(text: Column, first: int = 20) -> Column:
 
 def fallback_language(text: Column) -> Column:
     """``ru``, ``en`` or ``unknown`` by the letters of the first 4,000 characters."""
-    sample = F.substring(sanitize(text), 1, 4000)
-    cyrillic, latin = F.regexp_count(sample, F.lit("[Ѐ-ӿ]")), F.regexp_count(sample, F.lit("[A-Za-z]"))
-    return F.when(cyrillic > latin, "ru").when(latin > 0, "en").otherwise("unknown")
+
+    def by_letters(sample):
+        cyrillic, latin = F.regexp_count(sample, F.lit("[Ѐ-ӿ]")), F.regexp_count(sample, F.lit("[A-Za-z]"))
+        return F.when(cyrillic > latin, "ru").when(latin > 0, "en").otherwise("unknown")
+
+    return let(F.substring(sanitize(text), 1, 4000), by_letters)
 
 
 #: Hints of chunk types.
@@ -185,34 +202,43 @@ def _any(text: Column, hints: list[str]) -> Column:
 
 def chunk_type(text: Column, html_tag: Column | None = None, role: Column | None = None) -> Column:
     """empty, navigation, table, procedure, reference or content; the first rule that holds decides."""
-    t = sanitize(text)
-    low = F.lower(t)
     none = F.lit(None).cast("string")
-    crumbs = low.startswith("![") | low.rlike(r"\.(?:gif|jpg|png)\)\z") | ((F.regexp_count(t, F.lit(">")) >= 2) & (F.length(t) < 200))
-    return (
-        F.when(t == "", "empty")
-        .when(crumbs, "navigation")
-        .when((html_tag if html_tag is not None else none) == "table", "table")
-        .when((role if role is not None else none) == "navigation", "navigation")
-        .when((F.length(t) < 80) & _any(low, NAVIGATION_HINTS), "navigation")
-        .when(_any(low, PROCEDURE_HINTS), "procedure")
-        .when(_any(low, REFERENCE_HINTS), "reference")
-        .otherwise("content")
-    )
+
+    def rules(t):
+        low = F.lower(t)
+        crumbs = low.startswith("![") | low.rlike(r"\.(?:gif|jpg|png)\)\z") | ((F.regexp_count(t, F.lit(">")) >= 2) & (F.length(t) < 200))
+        return (
+            F.when(t == "", "empty")
+            .when(crumbs, "navigation")
+            .when((html_tag if html_tag is not None else none) == "table", "table")
+            .when((role if role is not None else none) == "navigation", "navigation")
+            .when((F.length(t) < 80) & _any(low, NAVIGATION_HINTS), "navigation")
+            .when(_any(low, PROCEDURE_HINTS), "procedure")
+            .when(_any(low, REFERENCE_HINTS), "reference")
+            .otherwise("content")
+        )
+
+    return let(sanitize(text), rules)
 
 
 def looks_like_heading(text: Column) -> Column:
     """A short text without a final full stop that is numbered, mostly capitals, or capitalized word by word."""
-    t = strip(F.coalesce(text, F.lit("")))
-    upper, letters = F.regexp_count(t, F.lit(r"\p{Lu}")), F.regexp_count(t, F.lit(r"\p{L}"))
-    titled = t.rlike(r"^\P{L}*\p{Lu}") & ~t.rlike(r"(?<!\p{L})[\p{Ll}]") & ~t.rlike(r"(?<=\p{L})\p{Lu}")
-    worded = (F.size(F.split(squeeze(t), " ")) <= 10) & t.rlike(r"^\p{Lu}") & ((upper / F.greatest(letters, F.lit(1)) > 0.6) | titled)
-    return (t != "") & (F.length(t) <= 120) & ~t.endswith(".") & (t.rlike(r"^\d+(\.\d+)*\s+\S+") | worded)
+
+    def look(t):
+        upper, letters = F.regexp_count(t, F.lit(r"\p{Lu}")), F.regexp_count(t, F.lit(r"\p{L}"))
+        titled = t.rlike(r"^\P{L}*\p{Lu}") & ~t.rlike(r"(?<!\p{L})[\p{Ll}]") & ~t.rlike(r"(?<=\p{L})\p{Lu}")
+        worded = (F.size(F.split(squeeze(t), " ")) <= 10) & t.rlike(r"^\p{Lu}") & ((upper / F.greatest(letters, F.lit(1)) > 0.6) | titled)
+        return (t != "") & (F.length(t) <= 120) & ~t.endswith(".") & (t.rlike(r"^\d+(\.\d+)*\s+\S+") | worded)
+
+    return let(strip(F.coalesce(text, F.lit(""))), look)
 
 
 def uuid5(namespace: Column, name: Column) -> Column:
     """The UUID of version 5 of a name in the namespace of a UUID."""
-    digest = F.sha1(F.concat(F.unhex(F.translate(namespace, "-", "")), F.encode(name, "UTF-8")))
+    return let(F.sha1(F.concat(F.unhex(F.translate(namespace, "-", "")), F.encode(name, "UTF-8"))), _uuid_of)
+
+
+def _uuid_of(digest: Column) -> Column:
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    h = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    parts = [F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12)]
+    return F.concat_ws("-", *parts)

@@ -43,7 +43,7 @@ def prompts(final: DataFrame, questions: DataFrame, max_chars: int = 12_000, sys
 
 def without_noise(text: Column) -> Column:
     """Readable text in one line: no front matter, images or breadcrumbs, links as their text."""
-    lines = F.transform(F.split(F.regexp_replace(T.without_front_matter(text), r"\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(T.without_front_matter(text), r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~T.is_image_line(x) & ~T.is_breadcrumb_line(x, 50, separator=False))
     return T.squeeze(T.unlink(F.array_join(kept, "\n")))
 
@@ -68,7 +68,7 @@ def unique(final: DataFrame, limit: int = 3) -> DataFrame:
     item = "struct<r:int,f:string,w:array<string>>"
 
     def like(a, b):
-        common = F.size(F.array_intersect(a["w"], b["w"]))
+        common = F.size(F.array_intersect(a["w"], b["w"]))  # both sides are values, not expressions
         near = (common / F.least(F.size(a["w"]), F.size(b["w"])) >= 0.88) | (common / F.size(F.array_union(a["w"], b["w"])) >= 0.82)
         return (a["f"] == b["f"]) | ((F.size(a["w"]) > 0) & (F.size(b["w"]) > 0) & F.coalesce(near, F.lit(False)))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from docloom.functions import text as T
 from docloom.operators import chunking
@@ -41,7 +42,7 @@ def hashing_embedder(size: int) -> Callable[[list[str]], np.ndarray]:
 
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], text_col: str = "content", batch: int = 256) -> DataFrame:
     """``chunks`` with ``embedding`` (array<float>): texts go to ``embed`` in batches across documents."""
-    schema = chunks.schema.add("embedding", "array<float>")
+    schema = ST.StructType([*chunks.schema.fields, ST.StructField("embedding", ST.ArrayType(ST.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
