@@ -202,6 +202,9 @@ def train(chunks: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from at most ``sample`` labelled chunks a language (by a hash of their id); at least 20 are needed."""
     labelled = chunks.select(F.col("vector_id"), label_code(F.col("chunk_metadata")["language"]).alias("language"), F.col("content").alias("text"))
     labelled = labelled.where("language IS NOT NULL AND length(text) >= 100").select("language", "text", F.xxhash64("vector_id").alias("h"))
+    # a share of each language's chunks that holds the sample twice over is cut out where they are read
+    sizes = labelled.groupBy("language").agg(F.count("*").alias("size"))  # a row a language
+    labelled = labelled.join(F.broadcast(sizes), "language").where(F.pmod("h", F.lit(1_000_003)) < F.lit(2.0 * sample * 1_000_003) / F.col("size"))
     ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("h"))).where(F.col("rank") <= sample)
     kept = written(ranked.select("language", "text"), "language-sample")
     enough = [r.language for r in kept.groupBy("language").count().where("count >= 20").collect()]
