@@ -57,7 +57,10 @@ def source_type(route_: Column) -> Column:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a folder and those below it: (path, length, modified, content, route, content_type, file_hash)."""
+    """The files of a folder and those below it: (path, length, modified, content, route, content_type, file_hash).
+
+    Files of no length are not listed by Spark's file source.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return with_route(files.select("path", "length", F.col("modificationTime").alias("modified"), "content"))
 
