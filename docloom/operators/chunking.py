@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.storage import by_key
 
 #: Fixed values.
 HEADING_STYLES = ["title", "heading 1", "heading 2", "heading 3"]
@@ -24,7 +25,8 @@ def normalized_blocks(documents: DataFrame, id_col: str = "doc_id", blocks_col:
 
     A block is a heading by its style, by being equal to its own heading, or by its look. Blank blocks are left out.
     """
-    b = documents.select(id_col, F.posexplode(blocks_col).alias("block_no", "b")).withColumn("_t", T.squeeze(T.sanitize(F.col("b.text")))).withColumn("_h", T.sanitize(F.col("b.heading"))).where("_t <> ''")
+    # one shuffle, of whole documents: the window here and the fold of each document keep it
+    b = by_key(documents.select(id_col, blocks_col), id_col).select(id_col, F.posexplode(blocks_col).alias("block_no", "b")).withColumn("_t", T.squeeze(T.sanitize(F.col("b.text")))).withColumn("_h", T.sanitize(F.col("b.heading"))).where("_t <> ''")
     head = F.lower(F.coalesce("b.style", F.lit(""))).isin(HEADING_STYLES) | ((F.col("_h") != "") & (F.col("_h") == F.col("_t"))) | T.looks_like_heading(F.col("_t"))
     b = b.withColumn("_head", head).withColumn("_name", F.when(F.col("_head"), F.coalesce(F.nullif("_h", F.lit("")), "_t")))
     order = Window.partitionBy(id_col).orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)

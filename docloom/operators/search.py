@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import dedupe, ranking
 from docloom.params import Params
-from docloom.storage import spread
+from docloom.storage import by_key, spread
 
 #: Query vectors that one block holds.
 BLOCK = 4096
@@ -22,7 +22,7 @@ def corpus(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with file name, path and title of their document; rows sent twice count once."""
     d = documents.select("document_id", "filename", "source_path", F.get_json_object("doc_metadata", "$.title").alias("title"))
     d = d.groupBy("document_id").agg(*[F.min(c).alias(c) for c in ("filename", "source_path", "title")])
-    c = chunks.select("document_id", "vector_id", "chunk_index", "heading", "content", "chunk_type")
+    c = by_key(chunks.select("document_id", "vector_id", "chunk_index", "heading", "content", "chunk_type"), "vector_id")
     c = c.groupBy("vector_id").agg(*[F.min(x).alias(x) for x in ("document_id", "chunk_index", "heading", "content", "chunk_type")])
     return c.join(d, "document_id")
 

@@ -9,12 +9,12 @@ from docloom.functions import text as T
 from docloom.operators import answers, chunking, dedupe, ingestion, jobs, ranking, search
 from docloom.plans import sql
 from docloom.sources import files, markdown
-from docloom.storage import table, written
+from docloom.storage import by_key, spread, table, written
 from docloom.streaming import ingest as streams
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "retrieved_chunks").where("query_id IS NOT NULL").distinct()
+    return by_key(table(spark, sf_dir, "retrieved_chunks").where("query_id IS NOT NULL"), "query_id").dropDuplicates(["query_id", "hit_id"])
 
 
 def _questions(hits: DataFrame) -> DataFrame:
@@ -32,11 +32,11 @@ def _corpus(spark, sf_dir) -> DataFrame:
 
 
 def sanitize_text(spark, sf_dir):
-    return table(spark, sf_dir, "document_chunks").select("vector_id", T.sanitize(F.col("content")).alias("sanitized")).distinct()
+    return spread(table(spark, sf_dir, "document_chunks").select("vector_id", "content")).select("vector_id", T.sanitize(F.col("content")).alias("sanitized")).distinct()
 
 
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "document_chunks").select("vector_id", T.normalize(F.col("content")).alias("normalized"), T.normalize(F.col("heading")).alias("heading")).distinct()
+    return spread(table(spark, sf_dir, "document_chunks").select("vector_id", "content", "heading")).select("vector_id", T.normalize(F.col("content")).alias("normalized"), T.normalize(F.col("heading")).alias("heading")).distinct()
 
 
 def query_terms(spark, sf_dir):
@@ -52,7 +52,7 @@ def context_terms(spark, sf_dir):
 
 
 def classify_chunk_type(spark, sf_dir):
-    return table(spark, sf_dir, "document_chunks").select("vector_id", T.chunk_type(F.col("content"), F.col("chunk_metadata")["html_tag"]).alias("chunk_type")).distinct()
+    return spread(table(spark, sf_dir, "document_chunks").select("vector_id", "content", "chunk_metadata")).select("vector_id", T.chunk_type(F.col("content"), F.col("chunk_metadata")["html_tag"]).alias("chunk_type")).distinct()
 
 
 def fallback_language(spark, sf_dir):

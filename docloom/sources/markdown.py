@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.storage import by_key
 
 SEPARATOR = r"^\s*\|?\s*:?-{3,}"
 RULE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
@@ -75,7 +76,8 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts give no rows. Rows with the same id are one document.
     """
     body = F.regexp_replace(unix_lines(F.col(text_col)), FRONT, "")
-    lines = documents.where(F.col(text_col).isNotNull()).select(id_col, title_col, F.posexplode(F.split(body, "\n", -1)).alias("n", "raw")).withColumn("line", T.sanitize(F.col("raw")))
+    whole = by_key(documents.where(F.col(text_col).isNotNull()).select(id_col, title_col, text_col), id_col)
+    lines = whole.select(id_col, title_col, F.posexplode(F.split(body, "\n", -1)).alias("n", "raw")).withColumn("line", T.sanitize(F.col("raw")))
     lines = lines.where(~T.is_image_line(F.col("line")) & ~is_breadcrumb_only(F.col("line")))
     order = Window.partitionBy(id_col).orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -57,6 +57,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` for all that follows: windows, groups and joins on them shuffle no more.
+
+    The number of partitions is that of the session's shuffles, and at least the number of cores: partitions that are small
+    in bytes may still hold much work, so they are not merged.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for ``df`` if it has at most ``max_rows`` rows (counted first), else ``df`` for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
