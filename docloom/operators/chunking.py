@@ -25,12 +25,18 @@ def normalized_blocks(documents: DataFrame, id_col: str = "doc_id", blocks_col:
 
     A block is a heading by its style, by being equal to its own heading, or by its look. Blank blocks are left out.
     """
+
+    def read(b):
+        return T.let(T.squeeze(T.sanitize(b["text"])), lambda t: T.let(T.sanitize(b["heading"]), lambda h: judged(b, t, h)))
+
+    def judged(b, t, h):
+        head = F.lower(F.coalesce(b["style"], F.lit(""))).isin(HEADING_STYLES) | ((h != "") & (h == t)) | T.looks_like_heading(t)
+        return F.struct(t.alias("text"), F.when(head, F.coalesce(F.nullif(h, F.lit("")), t)).alias("name"), b["html_tag"].alias("html_tag"))
+
     # one shuffle, of whole documents: the window here and the fold of each document keep it
-    b = by_key(documents.select(id_col, blocks_col), id_col).select(id_col, F.posexplode(blocks_col).alias("block_no", "b")).withColumn("_t", T.squeeze(T.sanitize(F.col("b.text")))).withColumn("_h", T.sanitize(F.col("b.heading"))).where("_t <> ''")
-    head = F.lower(F.coalesce("b.style", F.lit(""))).isin(HEADING_STYLES) | ((F.col("_h") != "") & (F.col("_h") == F.col("_t"))) | T.looks_like_heading(F.col("_t"))
-    b = b.withColumn("_head", head).withColumn("_name", F.when(F.col("_head"), F.coalesce(F.nullif("_h", F.lit("")), "_t")))
+    b = by_key(documents.select(id_col, blocks_col), id_col).select(id_col, F.posexplode(F.transform(blocks_col, read)).alias("block_no", "b")).where("b.text <> ''")
     order = Window.partitionBy(id_col).orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.withColumn("heading", F.last("_name", ignorenulls=True).over(order)).where("NOT _head").select(id_col, "block_no", F.col("_t").alias("text"), "heading", F.col("b.html_tag").alias("html_tag"))
+    return b.withColumn("heading", F.last("b.name", ignorenulls=True).over(order)).where("b.name IS NULL").select(id_col, "block_no", "b.text", "heading", "b.html_tag")
 
 
 def chunked(blocks: DataFrame, id_col: str = "doc_id", max_chars: int = 1800, min_chars: int = 300) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +63,9 @@ def _similarity(a: frozenset, b: frozenset) -> float:
     return jaccard if small / large < 0.75 else max(common / small, jaccard)
 
 
-def grouped(pdf: pd.DataFrame, threshold: float, per_group: int) -> pd.DataFrame:
-    """The greedy grouping of one query's candidates (at most those of both searches), in the order of their ranks."""
-    rows = pdf.sort_values("rank", kind="stable").to_dict("records")
+def grouped(rows: list[dict], threshold: float, per_group: int) -> list[tuple]:
+    """(seq, kept, group_no, duplicate_of_seq, similarity) by greedy grouping of one query's candidates in the order of ``rank``."""
+    rows = sorted(rows, key=lambda r: r["rank"])
     groups: list[list[int]] = []
     faces: list[frozenset] = []
     sets = [frozenset(r["shingles"]) for r in rows]
@@ -80,13 +81,13 @@ def grouped(pdf: pd.DataFrame, threshold: float, per_group: int) -> pd.DataFrame
             faces.append(own)
     out = []
     for g, members in enumerate(groups):
-        order = sorted(members, key=lambda i: (-rows[i]["contexts"], -rows[i]["phrase_hits"], -rows[i]["score"], i)) if len(members) > per_group else members
-        kept, gone = order[:per_group] if len(members) > per_group else order, order[per_group:] if len(members) > per_group else []
-        out += [(rows[i]["query_id"], rows[i]["seq"], True, g, None, None) for i in kept]
-        for i in gone:
+        order = members if len(members) <= per_group else sorted(members, key=lambda i: (-rows[i]["contexts"], -rows[i]["phrase_hits"], -rows[i]["score"], i))
+        kept = order if len(members) <= per_group else order[:per_group]
+        out += [(rows[i]["seq"], True, g, None, None) for i in kept]
+        for i in order[len(kept) :]:
             near = max(kept, key=lambda k: _similarity(sets[i], sets[k]))
-            out.append((rows[i]["query_id"], rows[i]["seq"], False, g, rows[near]["seq"], round(_similarity(sets[i], sets[near]), 6)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in NEAR.split(", ")]).astype({"duplicate_of_seq": "Int32"})
+            out.append((rows[i]["seq"], False, g, rows[near]["seq"], round(_similarity(sets[i], sets[near]), 6)))
+    return out
 
 
 def near_duplicates(ranked: DataFrame, features: DataFrame, threshold: float = 0.92, per_group: int = 1) -> DataFrame:
@@ -95,15 +96,23 @@ def near_duplicates(ranked: DataFrame, features: DataFrame, threshold: float = 0
     Candidates join the most similar group so far (sets of five-word shingles of their content lines) from ``threshold`` on;
     of each group ``per_group`` stay: those that name most of the question's context terms, then phrases, then the higher
     score. Candidates without content lines are groups of their own. The grouping depends on the order within a query, so a
-    query's candidates (at most both search limits) form one pandas group.
+    query's candidates, at most as many as both searches return, are read together.
     """
     words = F.array_distinct(F.concat("context", "terms"))
     about = F.concat_ws(" ", F.col("metadata.title"), F.array_join(F.col("metadata.breadcrumbs"), " "), T.context_lines(F.col("text")), F.col("metadata.heading"), F.col("metadata.chunk_type"), F.col("metadata.section_group"))
     c = ranked.join(features.select("query_id", words.alias("_words"), "phrases"), "query_id").withColumn("_about", T.normalize(about))
     hits = lambda terms: F.size(F.filter(terms, lambda t: F.contains(F.col("_about"), t)))
-    slim = c.select(F.col("query_id").cast("bigint"), F.col("seq").cast("int"), F.col("rank").cast("int"), F.expr(EFFECTIVE).alias("score"), T.shingles(T.body_for_near_duplicates(F.col("text"))).alias("shingles"), hits("_words").alias("contexts"), hits("phrases").alias("phrase_hits"))
+    tokens = F.transform(T.shingles(T.body_for_near_duplicates(F.col("text"))), lambda x: F.xxhash64(x))
+    slim = c.select(F.col("query_id").cast("bigint"), F.struct(F.col("rank").cast("int").alias("rank"), F.col("seq").cast("int").alias("seq"), F.expr(EFFECTIVE).alias("score"), tokens.alias("shingles"), hits("_words").alias("contexts"), hits("phrases").alias("phrase_hits")).alias("c"))
     per_group = max(per_group, 1)
-    return slim.groupBy("query_id").applyInPandas(lambda pdf: grouped(pdf, threshold, per_group), NEAR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(q, *r) for q, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in grouped(group, threshold, per_group)]
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in NEAR.split(", ")])
+
+    return slim.groupBy("query_id").agg(F.collect_list("c").alias("c")).mapInArrow(run, NEAR)
 
 
 def pair_similarity(candidates: DataFrame) -> DataFrame:
