@@ -55,6 +55,7 @@ _WORD = re.compile(r"[^\W_]+")
 _NUMBERED = re.compile(r"^\s*\d+\s*[.)]\s+\S")
 _BULLET = re.compile(r"^\s*[-–•*>▪·▲]\s*")
 _ITEMS = re.compile(r"\s+[|·»›>/]\s+|\s*\|\s*|\]\s*\[|\s+•\s+")
+_PATH = re.compile(r"\s[»›>/]\s.*\s[»›>/]\s")
 _ENDS = re.compile(r"[.!?…;:]['\"»)”*\s]*$")
 
 
@@ -83,6 +84,8 @@ def kind_of(line: Line, heading: str) -> str:
     body = _BULLET.sub("", text)
     if marked and not text.startswith(("*", "▲")) and len(words) >= 6 and _ENDS.search(text):
         return "step"
+    if len(words) <= 16 and _PATH.search(body) and not _ENDS.search(text):
+        return "items"
     items = [x for x in _ITEMS.split(body.strip("[]* ")) if x.strip()]
     if len(items) >= 3 and all(len(_WORD.findall(x)) <= 4 for x in items):
         return "items"

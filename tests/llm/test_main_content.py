@@ -15,6 +15,10 @@ def test_page_furniture_goes_and_the_body_stays():
     assert M.page_furniture("Printers - Alba", PAGE) == [0, 1, 2, 3, 10, 11, 12, 13, 14]
 
 
+def test_paths_end_in_titles_of_any_length():
+    assert M.page_furniture(None, "Home > Support › Slips for an early breakfast - Alba") == [0]
+
+
 def test_texts_without_furniture_stay_whole():
     assert M.page_furniture(None, "A sentence that says something, and another one.\nOne more of the kind follows here.") == []
     assert M.page_furniture(None, None) == [] and M.page_furniture("x", " \n\t\n") == []
