@@ -41,6 +41,13 @@ def sanitize(text: Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def sanitize_map(metadata: Column) -> Column:
+    """A map with sanitized keys and values; of keys that become equal the last stays; null stays null."""
+    pairs = F.transform(F.map_entries(metadata), lambda e: F.struct(sanitize(e["key"]).alias("key"), F.when(e["value"].isNotNull(), sanitize(e["value"])).alias("value")))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda o: o["key"] == e["key"]))
+    return let(pairs, lambda p: F.map_from_entries(last(p)))
+
+
 def unlink(text: Column) -> Column:
     """Markdown links, images and bracketed words as their visible text."""
     t = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]+\)", "$1")

@@ -69,6 +69,20 @@ def upserted(points: DataFrame, batch: DataFrame, key: str = "vector_id", newest
     return points.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+def reindexed(chunks: DataFrame, documents: DataFrame, embed: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
+    """Stored chunks with new vectors under the same ids; documents without chunks have none."""
+    return embedded(chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi"), embed, batch=batch)
+
+
+def deleted(documents: DataFrame, chunks: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables without the documents of ``ids`` (document_id): their chunks and links go, links to them lose their target."""
+    gone = ids.select("document_id").where("document_id IS NOT NULL").distinct()
+    target = gone.select(F.col("document_id").alias("_gone"))
+    kept = links.join(gone.withColumnRenamed("document_id", "source_document_id"), "source_document_id", "left_anti").join(target, F.col("target_document_id") == F.col("_gone"), "left")
+    kept = kept.withColumn("target_document_id", F.when(F.col("_gone").isNull(), F.col("target_document_id"))).drop("_gone").select(*links.columns)
+    return documents.join(gone, "document_id", "left_anti"), chunks.join(gone, "document_id", "left_anti"), kept
+
+
 def index_status(points: DataFrame, vector_col: str = "embedding", id_col: str = "vector_id") -> DataFrame:
     """(points, vector_size): different points and the greatest length of their vectors."""
     return points.agg(F.count_distinct(id_col).alias("points"), F.coalesce(F.max(F.size(vector_col)), F.lit(0)).alias("vector_size"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, chunking, dedupe, ingestion, jobs, ranking, search
+from docloom.operators import answers, chunking, dedupe, ingestion, jobs, ranking, search, vector_index
 from docloom.plans import sql
 from docloom.sources import files, markdown
 from docloom.storage import by_key, spread, table, written
@@ -153,6 +153,27 @@ def vector_status(spark, sf_dir):
     return ingestion.index_status(table(spark, sf_dir, "embeddings"), id_col="vec_id")
 
 
+def vector_index_recall(spark, sf_dir):
+    """The recall of the index against the exact neighbours of the query set."""
+    v = table(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centers = vector_index.centers_of(v, cells=16)
+    found = vector_index.search(queries, written(vector_index.with_cells(v, centers), "cells"), centers, k=10, probes=10)
+    return vector_index.recall(found, search.vector_top_k(queries, v, k=10))
+
+
+def deleted_documents(spark, sf_dir):
+    """The links that are left when the documents in processing are deleted."""
+    d, c, links = (table(spark, sf_dir, n) for n in ("source_documents", "document_chunks", "document_links"))
+    left = ingestion.deleted(d, c, links.distinct(), d.where("status = 'processing'"))[2]
+    return left.select("link_id", "source_document_id", "target_document_id")
+
+
+def sanitize_metadata(spark, sf_dir):
+    """Sanitized metadata of chunks, entry by entry."""
+    return table(spark, sf_dir, "document_chunks").select("vector_id", F.explode(T.sanitize_map(F.col("chunk_metadata"))).alias("key", "value")).distinct()
+
+
 def hybrid_search(spark, sf_dir):
     """Both searches over embedded chunks for the query set, merged, ranked and deduplicated."""
     questions, corpus = _titles(spark, sf_dir), written(_corpus(spark, sf_dir), "corpus")
@@ -280,7 +301,7 @@ def queries():
     all_ = (
         sanitize_text, normalize_text, query_terms, query_phrases, context_terms, classify_chunk_type, fallback_language, line_kinds, keyword_search, merge_hits, merge_diagnostics,
         metadata_filter, min_score, rank_boosts, rank_topk, rerank_topn, shingle_counts, shingle_pairs, near_duplicate_groups, retrieve_final, answer_contexts, answer_prompts, answer_facts,
-        retrieval_answers, vector_topk, vector_status, hybrid_search, upsert_points, route_files, route_counts, route_samples, new_files, resolve_links, link_targets, image_filter, new_images,
+        retrieval_answers, vector_topk, vector_status, vector_index_recall, deleted_documents, sanitize_metadata, hybrid_search, upsert_points, route_files, route_counts, route_samples, new_files, resolve_links, link_targets, image_filter, new_images,
         point_ids, document_stats, import_stats, chunk_documents, markdown_blocks, markdown_chunks, front_matter, sentences, jobs_latest, jobs_listed, jobs_progress, event_windows, event_sessions,
     )
     return {f.__name__: f for f in all_}

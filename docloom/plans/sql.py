@@ -193,6 +193,9 @@ l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(s, '
 t AS (SELECT doc_id, {squeeze(unlink("array_to_string(x, chr(10))"))} AS t FROM l),
 p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM t)
 SELECT doc_id, sentence FROM p WHERE length(sentence) >= 35""",
+        "deleted_documents": """WITH g AS (SELECT DISTINCT document_id FROM source_documents WHERE status = 'processing')
+SELECT DISTINCT link_id, source_document_id, CASE WHEN target_document_id IN (SELECT document_id FROM g) THEN NULL ELSE target_document_id END AS target_document_id FROM document_links WHERE source_document_id NOT IN (SELECT document_id FROM g)""",
+        "sanitize_metadata": f"SELECT DISTINCT vector_id, {sanitize('e.key')} AS key, CASE WHEN e.value IS NOT NULL THEN {sanitize('e.value')} END AS value FROM (SELECT vector_id, unnest(map_entries(chunk_metadata)) AS e FROM document_chunks)",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     }
     return out
