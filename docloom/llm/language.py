@@ -83,6 +83,15 @@ class Trees:
         self.flat = np.full(k, 8.0)
         del self.seen
 
+    def __getstate__(self):
+        """Rows of one matrix instead of many small arrays, as the trees travel to every worker."""
+        pack = lambda d: (list(d), np.array(list(d.values())))
+        return {"languages": self.languages, "flat": self.flat, "escape": pack(self.escape), "code": pack(self.code)}
+
+    def __setstate__(self, state):
+        self.languages, self.flat = state["languages"], state["flat"]
+        self.escape, self.code = (dict(zip(*state[name])) for name in ("escape", "code"))
+
     def byte_bits(self, gram: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
         """Code length of the last byte of ``gram`` after the bytes before it; shorter contexts are looked up in ``known``."""
         bits = known.get(gram)
