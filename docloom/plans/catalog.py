@@ -28,7 +28,7 @@ def _titles(spark, sf_dir) -> DataFrame:
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return search.corpus(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
+    return written(search.corpus(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents")), "corpus")
 
 
 def sanitize_text(spark, sf_dir):
@@ -176,7 +176,7 @@ def sanitize_metadata(spark, sf_dir):
 
 def hybrid_search(spark, sf_dir):
     """Both searches over embedded chunks for the query set, merged, ranked and deduplicated."""
-    questions, corpus = _titles(spark, sf_dir), written(_corpus(spark, sf_dir), "corpus")
+    questions, corpus = _titles(spark, sf_dir), _corpus(spark, sf_dir)
     embed = ingestion.hashing_embedder(128)
     vectors = ingestion.embedded(corpus.select("vector_id", "content"), embed).select("vector_id", "embedding")
     queries = ingestion.embedded(questions.select("query_id", F.col("question").alias("content")), embed)
