@@ -161,7 +161,7 @@ def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     no rows; rows sent twice count once; other columns are ignored; an empty table gives an empty result.
     """
     html = documents.where("document_id IS NOT NULL AND lower(trim(source_type)) = 'html'").select("document_id").distinct()
-    pages = chunks.where("vector_id IS NOT NULL AND length(trim(content)) > 0").select("document_id", "vector_id", "heading", "content").join(broadcast_if_small(html, BROADCAST_ROWS), "document_id", "left_semi")
+    pages = spread(chunks.where("vector_id IS NOT NULL AND length(trim(content)) > 0").select("document_id", "vector_id", "heading", "content")).join(broadcast_if_small(html, BROADCAST_ROWS), "document_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
                 ids, at = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int32())], ["vector_id", "line_no"])
 
-    return spread(pages).mapInArrow(run, "vector_id string, line_no int").distinct()
+    return pages.mapInArrow(run, "vector_id string, line_no int").distinct()
 
 
 def main_content(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def matrix_pairs(texts: DataFrame, run: int, threshold: float) -> DataFrame:
     """(scope, first_id, second_id, similarity) of records of any number, through the token-group matrix."""
-    records = written(records_of(spread(texts), run, threshold), "records").withColumn("uid", F.xxhash64("scope", "id"))
+    records = written(records_of(texts, run, threshold), "records").withColumn("uid", F.xxhash64("scope", "id"))
     # copies: all but the smallest id of each key
     groups = records.where("length(copy) > 0").groupBy("scope", "copy").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     groups = broadcast_if_small(written(groups, "copy-groups"), BROADCAST_ROWS // 4)
@@ -268,7 +268,7 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.8, run: int = 5) -> Dat
     Null ids, null texts and texts shorter than a run have no pairs; rows sent twice count once; an empty table gives an
     empty result; other columns are ignored.
     """
-    texts = texts.select("id", "scope", "text", "kind").where("id IS NOT NULL AND text IS NOT NULL")
+    texts = spread(texts.select("id", "scope", "text", "kind").where("id IS NOT NULL AND text IS NOT NULL"))
     wide = texts.where("scope IS NOT NULL").groupBy("scope").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("scope")
     wide = broadcast_if_small(written(wide, "wide-scopes"), BROADCAST_ROWS // 4)
     scoped = texts.where("scope IS NOT NULL")
