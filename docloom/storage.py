@@ -70,7 +70,8 @@ def _clear() -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin ``df`` over the cluster where its scan has fewer partitions than there are cores (few small files).
 
-    On large inputs the scan already has more partitions and nothing is shuffled.
+    On large inputs the scan already has more partitions and nothing is shuffled. Only for scans, filters and projections:
+    asking a plan with a shuffle for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
