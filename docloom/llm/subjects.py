@@ -6,8 +6,8 @@ calibrated on labelled documents; a document, if at least one in five of its sen
 
 The terms are curated: they begin with word stems kept below and with the labelled documents, and a term is kept only
 where it is far more frequent in documents of its subject than documents of the same language let expect. Its weight is
-the logarithm of that ratio, so common words weigh nothing. The sample that terms come from is bounded (``SAMPLE``
-labelled and as many other documents); every document is read whole when subjects are assigned.
+the logarithm of that ratio, so common words weigh nothing. How often a term stands in documents, and in those of each
+subject, is counted over all documents; bounded (``SAMPLE``) is only the number of labelled documents whose labels are used.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from docloom.llm.language import label_code
 from docloom.storage import spread, written
 
-#: Labelled documents, and other documents, that the terms are drawn from (by a hash of their ids).
+#: Labelled documents that the first model and the threshold are fitted to (by a hash of their ids).
 SAMPLE = 5000
 #: Share of the sentences that must deal with a subject.
 SHARE = 0.2
@@ -45,7 +45,7 @@ STEMS = {
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _MATTER = re.compile(r"\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)", re.S)
-_SENTENCE = re.compile(r"(?<=[.!?…;])[\"'»)”\]]*\s+|\n+")
+_SENTENCE = re.compile(r"[.!?…;\n](?:(?<!\n)[\"'»)”\]]*\s+|(?<=\n)\n*)")
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
@@ -54,10 +54,17 @@ def sentences_of(text: str | None) -> list[list[str]]:
     return [w for s in _SENTENCE.split(body.lower()) if len(w := _WORD.findall(s)) >= 3]
 
 
-def terms_of(words: list[str]) -> set[str]:
+def terms_of(sentences: list[list[str]]) -> set[str]:
     """Words of four letters or more and pairs of words, without digits."""
-    plain = [w if w.isalpha() else None for w in words]
-    return {w for w in plain if w and len(w) >= 4} | {f"{a} {b}" for a, b in zip(plain, plain[1:]) if a and b}
+    out: set[str] = set()
+    for words in sentences:
+        if "".join(words).isalpha():
+            out.update(map(" ".join, zip(words, words[1:])))
+            out.update([w for w in words if len(w) >= 4])
+        else:
+            plain = [w if w.isalpha() else None for w in words]
+            out.update([w for w in plain if w and len(w) >= 4], [f"{a} {b}" for a, b in zip(plain, plain[1:]) if a and b])
+    return out
 
 
 class Model:
@@ -92,17 +99,17 @@ class Model:
     def best(self, words: list[str]) -> tuple[int, float] | None:
         """The subject of a sentence, whatever the threshold: the one with more than twice the weight of any other."""
         scores = self.scores(words)
-        if not scores:
+        if not any(scores):
             return None
         order = sorted(range(len(scores)), key=scores.__getitem__)
         k = order[-1]
         second = scores[order[-2]] if len(order) > 1 else 0.0
         return (k, scores[k]) if scores[k] > 2 * second and scores[k] > 0 else None
 
-    def counts(self, text: str | None, threshold: float | None = None) -> tuple[int, Counter, Counter]:
-        """Sentences of a text, and sentences and weight of each subject."""
+    def counts(self, sentences: list[list[str]], threshold: float | None = None) -> tuple[int, Counter, Counter]:
+        """The number of sentences, and sentences and weight of each subject."""
         least = self.threshold if threshold is None else threshold
-        sentences, n, weight = sentences_of(text), Counter(), Counter()
+        n, weight = Counter(), Counter()
         for words in sentences:
             top = self.best(words)
             if top and top[1] >= least:
@@ -111,61 +118,72 @@ class Model:
         return len(sentences), n, weight
 
 
-def sampled(texts: DataFrame, labels: DataFrame, subjects: list[str], size: int) -> DataFrame:
-    """A bounded sample (language, text, labels): labelled documents with their subjects, and others without."""
+def marked(texts: DataFrame, labels: DataFrame, subjects: list[str], size: int) -> DataFrame:
+    """Every text (language, text, labels); ``labels`` are the subjects of a bounded sample of labelled documents, else null."""
     place = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s, i)])
     known = labels.select("doc_id", F.try_element_at(place, F.lower(F.trim("subject"))).alias("k")).where("doc_id IS NOT NULL AND k IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("labels"))  # at most one a subject
-    hand = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "labelled-sample")
-    rest = texts.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left_anti")
-    rest = written(rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).withColumn("labels", F.lit(None).cast("array<int>")), "other-sample")
-    ids = F.broadcast(hand.unionByName(rest))  # at most 2 * size ids
-    chosen = spread(texts.where("text IS NOT NULL").select("doc_id", label_code(F.col("lang")).alias("language"), "text")).join(ids, "doc_id")
-    return written(chosen.drop("doc_id"), "subject-sample")
+    hand = F.broadcast(written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "labelled-sample"))  # at most size ids
+    return spread(texts.where("text IS NOT NULL").select("doc_id", label_code(F.col("lang")).alias("language"), "text")).join(hand, "doc_id", "left").drop("doc_id")
+
 
+def stem_finder(stems: list[tuple[str, ...]]) -> ahocorasick.Automaton:
+    """Finds beginnings of words, with the subjects that they stand for."""
+    of: dict[str, list[int]] = {}
+    for k, all_ in enumerate(stems):
+        for stem in all_:
+            of.setdefault(f" {stem}", []).append(k)
+    find = ahocorasick.Automaton()
+    for stem, ks in of.items():
+        find.add_word(stem, ks)
+    find.make_automaton()
+    return find
 
-def seeded(sentences: list[list[str]], stems: list[tuple[str, ...]]) -> list[int]:
+
+def seeded(sentences: list[list[str]], find: ahocorasick.Automaton) -> list[int]:
     """Subjects whose stems stand in two sentences and in at least a fifth of all."""
     n: Counter = Counter()
-    for words in sentences:
-        n.update({k for k, all_ in enumerate(stems) if all_ and any(w.startswith(all_) for w in words)})
+    if len(find):
+        for words in sentences:
+            n.update({k for _, ks in find.iter(f" {' '.join(words)}") for k in ks})
     top = max(n.values(), default=0)
     found = [k for k, v in n.items() if v >= 2 and v >= SHARE * len(sentences) and 3 * v >= top]
     return found if len(found) <= 2 else []
 
 
-def fitted(sample: DataFrame, subjects: list[str], model: Model | None) -> Model:
-    """Terms from the sample, its documents labelled by hand or stems (without a model) or by ``model``."""
+def fitted(corpus: DataFrame, subjects: list[str], model: Model | None) -> Model:
+    """Terms of all texts, these labelled by hand or stems (without a model) or by ``model``; texts of no known language are one group."""
     stems = [tuple(STEMS.get(s, "").split()) for s in subjects]
     width = len(subjects)
-    sent = sample.sparkSession.sparkContext.broadcast(model)
+    sent = corpus.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, list[int]] = {}
+        find = stem_finder(stems)
+        seen: dict[tuple, Counter] = {}
         for batch in batches:
             for language, text, labels in zip(*[c.to_pylist() for c in batch.columns]):
-                if not language:
-                    continue
                 sentences = sentences_of(text)
                 if sent.value is None:
-                    ks = labels if labels else seeded(sentences, stems)
+                    ks = labels if labels else seeded(sentences, find)
                 else:
-                    n, by, _ = sent.value.counts(text)
+                    n, by, _ = sent.value.counts(sentences)
                     ks = [k for k, v in by.items() if v >= SHARE * n]
-                for term in {"", *(t for words in sentences for t in terms_of(words))}:
-                    row = seen.setdefault((language, term), [0] * (width + 1))
-                    row[width] += 1
-                    for k in ks:
-                        row[k] += 1
-            if len(seen) > 400_000:
+                seen.setdefault((language or "", *sorted(ks)), Counter()).update(terms_of(sentences) | {""})
+            if sum(map(len, seen.values())) > 400_000:
                 yield flush(seen)
                 seen.clear()
         yield flush(seen)
 
     def flush(seen):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["language", "term", "n"])
-
-    per = sample.select("language", "text", "labels").mapInArrow(run, "language string, term string, n array<bigint>")
+        rows: dict[tuple, list[int]] = {}
+        for (language, *ks), terms in seen.items():
+            for term, n in terms.items():
+                row = rows.setdefault((language, term), [0] * (width + 1))
+                for k in (*ks, width):
+                    row[k] += n
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["language", "term", "n"])
+
+    per = corpus.select("language", "text", "labels").mapInArrow(run, "language string, term string, n array<bigint>")
     per = per.groupBy("language", "term").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(width + 1)])
     per = written(per, "term-counts")
     totals = F.broadcast(per.where("term = ''").drop("term").select("language", *[F.col(f"n{i}").alias(f"t{i}") for i in range(width + 1)]))
@@ -175,7 +193,7 @@ def fitted(sample: DataFrame, subjects: list[str], model: Model | None) -> Model
     lifts = F.array(*[F.struct((F.col(f"v{i}") / F.col(f"e{i}")).alias("lift"), F.lit(i).alias("k"), F.col(f"v{i}").alias("v"), F.col(f"e{i}").alias("e")) for i in range(width)])
     top = stats.select("term", F.sort_array(lifts, asc=False).alias("l")).select("term", F.col("l")[0].alias("a"), F.coalesce(F.col("l")[1]["lift"], F.lit(0.0)).alias("second") if width > 1 else F.lit(0.0).alias("second"))
     kept = top.where((F.col("a.v") >= 2) & (F.col("a.lift") >= 2) & (F.col("a.lift") >= 1.7 * F.col("second")) & ((F.col("a.v") - F.col("a.e")) / F.sqrt("a.e") >= 3.5))
-    rows = kept.select("term", "a.k", (F.log("a.lift") * F.least(F.lit(1.0), F.col("a.v") / 4)).alias("weight")).collect()  # terms of a bounded sample
+    rows = kept.select("term", "a.k", (F.log("a.lift") * F.least(F.lit(1.0), F.col("a.v") / 4)).alias("weight")).collect()  # those that pass
     return Model(subjects, {r.term: (r.k, r.weight) for r in rows})
 
 
@@ -187,25 +205,27 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
         tally = {t: [0, 0, 0] for t in GRID}
         for batch in batches:
             for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sentences = sentences_of(text)
                 for t in GRID:
-                    n, by, _ = sent.value.counts(text, t)
+                    n, by, _ = sent.value.counts(sentences, t)
                     said = {k for k, v in by.items() if v >= SHARE * n}
                     for i, x in enumerate((said & set(labels), said - set(labels), set(labels) - said)):
                         tally[t][i] += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.float64()), *[pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3)]], ["t", "tp", "fp", "fn"])
 
-    rows = sample.where("labels IS NOT NULL").select("text", "labels").mapInArrow(run, "t double, tp bigint, fp bigint, fn bigint").groupBy("t").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect()
+    rows = sample.select("text", "labels").mapInArrow(run, "t double, tp bigint, fp bigint, fn bigint").groupBy("t").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect()
     scored = [(2 * r.tp / max(1, 2 * r.tp + r.fp + r.fn), r.t) for r in rows]
     return Model(model.subjects, model.terms, max(scored)[1] if scored and max(scored)[0] > 0 else 1.0)
 
 
 def train(texts: DataFrame, labels: DataFrame, subjects: DataFrame, size: int = SAMPLE) -> Model:
-    """A model from bounded samples: a first one from labels and stems, a second from what the first assigns."""
+    """A model from all texts: a first one from a sample of the labels and stems, a second from what the first assigns."""
     names = sorted({r[0].strip().lower() for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect()})  # a small table
     if not names:
         return Model([], {})
-    sample = sampled(texts, labels, names, size)
-    return calibrated(fitted(sample, names, fitted(sample, names, None)), sample)
+    corpus = marked(texts, labels, names, size)
+    sample = written(corpus.where("labels IS NOT NULL"), "subject-sample")  # at most size documents
+    return calibrated(fitted(corpus, names, fitted(corpus, names, None)), sample)
 
 
 def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +234,7 @@ def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_
     Only subjects of at least one sentence come out. Null and empty texts, and texts without a sentence of three words,
     give no rows. Null ids stay null; repeated rows give repeated rows; other columns are ignored.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
+    sent = texts.sparkSession.sparkContext.broadcast(model)  # terms and weights
     schema = T.StructType([T.StructField(id_col, texts.schema[id_col].dataType), *[T.StructField(n, t) for n, t in (("subject", T.StringType()), ("sentences", T.IntegerType()), ("share", T.DoubleType()), ("weight", T.DoubleType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +242,7 @@ def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                n, by, weight = m.counts(text)
+                n, by, weight = m.counts(sentences_of(text))
                 rows += [(i, m.subjects[k], v, v / n, float(weight[k])) for k, v in sorted(by.items())]
             if rows:
                 at, *rest = zip(*rows)

@@ -57,3 +57,12 @@ def test_empty_tables(spark, data):
     (docs, labels, subjects), _ = data
     assert U.found(docs.limit(0), labels.limit(0), subjects).count() == 0
     assert U.found(docs, labels.limit(0), subjects.limit(0)).count() == 0
+
+
+def test_statistics_cover_all_documents(spark, data):
+    (docs, labels, subjects), _ = data
+    rng = random.Random(8)
+    rare = [(1000 + i, " ".join(sentence(rng, "law") for _ in range(5)) + " The usufruct ends.", lang, "c", "c") for i, lang in enumerate(["en", None] * 4)]
+    filler = [(2000 + i, " ".join(sentence(rng, None) for _ in range(5)), lang, "c", "c") for i, lang in enumerate(["en", None] * 750)]
+    model = U.train(docs.unionByName(spark.createDataFrame(rare + filler, DOC)), labels, subjects, size=100)
+    assert model.terms["usufruct"][0] == model.subjects.index("law")
