@@ -1,11 +1,11 @@
 """Problem 3: the main body of web pages without menus, notices, sidebars and footers.
 
-Tree scoring: a page, or the part of it that a chunk holds, is a tree of blocks and lines. A block is a run of lines of one
+Tree scoring: a page is a tree of chunks, blocks and lines. A block is a run of lines of one
 kind; lines that follow the head of a list of links belong to its block. Each line passes points for its length and its
 commas to its block and half of them to the page, discounted by its link density: the part of it that leads elsewhere or
 serves the page as such. Link density comes from the form of a line (menus, paths, rows of short
-items) and from cues that page furniture uses in every language of the corpus. The best container of the page and those of
-its siblings that hold enough text for their size, compared with it, are kept; lines of kept blocks that are links
+items) and from cues that page furniture uses in every language of the corpus. The best container of the page, whichever
+chunk holds it, and those of its siblings that hold enough text for their size, compared with it, are kept; lines of kept blocks that are links
 themselves fall out.
 """
 
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import broadcast_if_small, spread
+from docloom.storage import broadcast_if_small, spread, written
 
 #: More documents than this are joined with a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
 #: A sibling of the best container is kept from this part of its points a line on.
 SIBLING = 0.2
+#: Points that the commas of a line, and its length, give at most.
+MOST = 3
 #: Words up to which a cue makes a line furniture.
 CUE_WORDS = 24
 #: What page furniture says, as beginnings of words in lower case, by language.
@@ -70,7 +72,7 @@ class Line:
         self.bare = " ".join(self.words)
         self.kind = kind_of(self, heading)
         self.links = link_density(self)
-        self.points = (1 + self.text.count(",") + min(len(self.text) / 100, 3.0)) * (1 - self.links)
+        self.points = (1 + min(self.text.count(","), MOST) + min(len(self.text) / 100, MOST)) * (1 - self.links)
 
 
 def kind_of(line: Line, heading: str) -> str:
@@ -138,25 +140,35 @@ def blocks_of(lines: list[Line]) -> list[list[Line]]:
     return blocks
 
 
-def page_furniture(heading: str | None, content: str | None) -> list[int]:
-    """The numbers of the non-blank lines of a page, or part of one, that are outside its main body."""
+def judged(heading: str | None, content: str | None) -> tuple[list[tuple[int, float | None]], float]:
+    """The lines of a page, or part of one, that may be outside its main body, and the points a line of its best block.
+
+    A line has its number and the points a line of its block, which the best block of the page decides on; a link has none.
+    """
     head = "".join(_WORD.findall((heading or "").lower()))
     blocks = blocks_of([Line(i, x, head) for i, x in enumerate((content or "").split("\n")) if x.strip()])
     points = [sum(x.points for x in b) for b in blocks]
     page = sum(points) / 2
     score = [(p + 0.01 * page) / len(b) for b, p in zip(blocks, points)]
-    best = max(score, default=0.0)
     out = []
     for block, s in zip(blocks, score):
         # headings, rows and steps are short: they stand or fall with their own links, not with their block's text
-        kept = s >= SIBLING * best or any(x.kind in ("heading", "row", "step") and x.links < 0.5 for x in block)
-        out += [x.at for x in block if not kept or x.links >= 0.5]
-    return out
+        stays = any(x.kind in ("heading", "row", "step") and x.links < 0.5 for x in block)
+        out += [(x.at, None if x.links >= 0.5 else s) for x in block if not stays or x.links >= 0.5]
+    return out, max(score, default=0.0)
+
+
+def page_furniture(heading: str | None, content: str | None) -> list[int]:
+    """The numbers of the non-blank lines of a page in one piece that are outside its main body."""
+    lines, best = judged(heading, content)
+    return [at for at, s in lines if s is None or s < SIBLING * best]
 
 
 def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(vector_id, line_no) of the non-blank lines outside the main body, in chunks of html documents.
 
+    The chunks of a document are one page: blocks are compared with the best of them all.
+
     Chunks of documents that aren't html, or aren't known, null ids, and null or blank contents give
     no rows; rows sent twice count once; other columns are ignored; an empty table gives an empty result.
     """
@@ -165,12 +177,20 @@ def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for v, h, c in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]) for r in ((v, i) for i in page_furniture(h, c))]
+            rows, most = [], {}
+            for d, v, h, c in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                lines, best = judged(h, c)
+                rows += [(d, v, at, s, None) for at, s in lines]
+                most[d] = max(best, most.get(d, 0.0))
+            rows += [(d, None, None, None, best) for d, best in most.items()]
             if rows:
-                ids, at = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int32())], ["vector_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["document_id", "vector_id", "line_no", "score", "best"])
 
-    return pages.mapInArrow(run, "vector_id string, line_no int").distinct()
+    lines = written(pages.mapInArrow(run, "document_id string, vector_id string, line_no int, score double, best double"), "page-lines")
+    best = broadcast_if_small(lines.where("best IS NOT NULL").groupBy("document_id").agg(F.max("best").alias("most")), BROADCAST_ROWS)
+    links = lines.where("line_no IS NOT NULL AND score IS NULL").select("vector_id", "line_no")
+    low = lines.where("score IS NOT NULL").join(best, "document_id").where(F.col("score") < SIBLING * F.col("most")).select("vector_id", "line_no")
+    return links.unionByName(low).distinct()
 
 
 def main_content(chunks: DataFrame, documents: DataFrame) -> DataFrame:

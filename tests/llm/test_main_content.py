@@ -34,3 +34,17 @@ def test_only_html_documents_count(spark):
     assert len(out) == 2 and out[0].removed_lines == 9 and "cookies" not in out[0].content and out[0].source_type == "x"
     assert M.main_content(chunks, docs).count() == 6
     assert M.found(chunks.limit(0), docs.limit(0)).count() == 0
+
+
+def test_many_commas_do_not_outweigh_paragraphs():
+    listed = "The parts are " + ", ".join(f"piece{i}" for i in range(60)) + "."
+    plain = "The printers of the second floor are kept in a room of their own."
+    assert M.page_furniture(None, f"{plain}\nHome | Products | Support | Careers\n{listed}") == [1]
+
+
+def test_blocks_are_compared_over_the_chunks_of_a_document(spark):
+    rich = "The printers of the second floor, the noise, the heat, and the paper need space, " + "and so do all the people who work there every day " * 5 + "now."
+    poor = "We do it on a day as we go."
+    chunks = spark.createDataFrame([("a", "v1", None, rich, 1, "x"), ("a", "v2", None, poor, 1, "x"), ("b", "v3", None, poor, 1, "x")], CHUNK)
+    docs = spark.createDataFrame([("a", "html", "x"), ("b", "html", "x")], DOC)
+    assert [(r.vector_id, r.line_no) for r in M.found(chunks, docs).collect()] == [("v2", 0)]
