@@ -9,8 +9,7 @@ meets a member of a group in a prefix token is bounded against the whole group:
 tokens that no member shares. Only groups whose bound reaches the threshold are opened, and the pairs in them are verified
 on all their tokens. Nothing is lost: places, columns and sizes only rule out pairs that can't reach the threshold.
 
-In scoped comparisons (candidates of one query) a scope of up to ``GROUP`` records is one group, opened at once, as nothing
-outside it can match; larger scopes go through the matrix with tokens of their own.
+In scoped comparisons (candidates of one query) each scope has tokens of its own, so its records share none with others.
 
 Copies that differ only in formatting are represented by their smallest id, so groups of copies never form pairs.
 """
@@ -20,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +28,6 @@ from pyspark.sql import functions as F
 
 from docloom.storage import broadcast_if_small, spread, written
 
-#: A scope of more records goes through the matrix.
-GROUP = 64
 #: Columns of the matrix, in longs of 64.
 LONGS = 4
 BITS = 64 * LONGS
@@ -176,26 +172,6 @@ def fits(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
 
 
-def closed_pairs(texts: DataFrame, run: int, threshold: float) -> DataFrame:
-    """(scope, first_id, second_id, similarity) within scopes of up to GROUP records: each is one group and is opened."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(run)
-        for batch in batches:
-            ids, kinds, bodies = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            owner, token = tokens.of(bodies, [None] * len(bodies))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(bodies)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([copy_key(t, k) for t, k in zip(bodies, kinds)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64)))], ["scope", "id", "copy", "tokens"])
-
-    sets = texts.select("scope", "id", "kind", "text").mapInArrow(work, "scope bigint, id string, copy binary, tokens array<bigint>")
-    groups = sets.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("copy", "id", "tokens"))).alias("m"))  # at most GROUP
-    # the first of each group of copies; a record without letters and digits is no copy of another
-    groups = groups.withColumn("m", F.filter("m", lambda x, i: (i == 0) | (x["copy"] != F.get(F.col("m"), i - 1)["copy"])))
-    pairs = groups.select("scope", "m", F.posexplode("m").alias("i", "x")).select("scope", "x", F.explode(F.slice("m", F.col("i") + 2, F.lit(GROUP))).alias("y"))
-    pairs = pairs.select("scope", F.least("x.id", "y.id").alias("first_id"), F.greatest("x.id", "y.id").alias("second_id"), F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb"))
-    return verified(pairs, threshold)
-
-
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """(scope, first_id, second_id, similarity) of the pairs whose token sets ``ta`` and ``tb`` reach the threshold."""
     sized = pairs.where((F.size("ta") > 0) & fits(F.size("ta"), F.size("tb"), threshold)).withColumn("common", F.size(F.array_intersect("ta", "tb")))
@@ -269,13 +245,7 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.8, run: int = 5) -> Dat
     empty result; other columns are ignored.
     """
     texts = spread(texts.select("id", "scope", "text", "kind").where("id IS NOT NULL AND text IS NOT NULL"))
-    wide = texts.where("scope IS NOT NULL").groupBy("scope").agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select("scope")
-    wide = broadcast_if_small(written(wide, "wide-scopes"), BROADCAST_ROWS // 4)
-    scoped = texts.where("scope IS NOT NULL")
-    parts = [closed_pairs(scoped.join(wide, "scope", "left_anti"), run, threshold)]
-    if not wide.isEmpty() or not texts.where("scope IS NULL").isEmpty():
-        parts.append(matrix_pairs(texts.where("scope IS NULL").unionByName(scoped.join(wide, "scope", "left_semi")), run, threshold))
-    return reduce(DataFrame.unionByName, parts).select("first_id", "second_id", "similarity").distinct()
+    return matrix_pairs(texts, run, threshold).select("first_id", "second_id", "similarity").distinct()
 
 
 def sources(chunks: DataFrame, retrieved: DataFrame) -> tuple[DataFrame, DataFrame]:

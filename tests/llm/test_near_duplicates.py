@@ -73,3 +73,12 @@ def test_very_long_text_and_empty_table(spark):
     rows = [("a", None, long, "content", 0.0, ""), ("b", None, long + " end", "content", 0.0, "")]
     assert N.similar_pairs(spark.createDataFrame(rows, TEXT), 0.6, 3).count() == 1
     assert N.similar_pairs(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_scoped_records_go_through_the_matrix(spark, monkeypatch):
+    scopes = []
+    through = N.matrix_pairs
+    monkeypatch.setattr(N, "matrix_pairs", lambda texts, *rest: (scopes.extend(r.scope for r in texts.select("scope").distinct().collect()), through(texts, *rest))[1])
+    rows = corpus(3, 30, [1, 2, None])
+    got = {(r.first_id, r.second_id) for r in N.similar_pairs(spark.createDataFrame(rows, TEXT), 0.6, 3).collect()}
+    assert set(scopes) == {1, 2, None} and got == brute(rows, 0.6, 3)
