@@ -1,20 +1,27 @@
 """Problem 3: the main body of web pages without menus, notices, sidebars and footers.
 
-Tree scoring: a page is a tree of chunks, blocks and lines. A block is a run of lines of one
-kind; lines that follow the head of a list of links belong to its block. Each line passes points for its length and its
-commas to its block and half of them to the page, discounted by its link density: the part of it that leads elsewhere or
-serves the page as such. Link density comes from the form of a line (menus, paths, rows of short
-items) and from cues that page furniture uses in every language of the corpus. The best container of the page, whichever
-chunk holds it, and those of its siblings that hold enough text for their size, compared with it, are kept; lines of kept blocks that are links
-themselves fall out.
+Tree scoring: a page is the tree of its document, the chunks of that, their blocks and the lines of those. A line passes
+points for its length and its commas to its block and part of them to its chunk, discounted by its link density. The best
+block of the document and those of its siblings that come near enough to it are kept, all others are furniture.
+
+The texts have no anchors left, so the link density of a line is measured: it is the probability that its wording belongs to
+the surroundings of a page. What stands before the title of a page (the line that repeats its heading) or after its last
+paragraph, step or table row is surroundings, whatever language it is in; a logistic regression on words, pairs and shapes
+learns from a bounded sample of chunks which wordings stand there, and then, relabelling its sample, that they are no main
+body where they stand between paragraphs either. No phrase of any language is given.
+
+``chunk_metadata['html_tag']`` tells which chunks are tables: a row of two cells is part of a table there, elsewhere only
+beside another such row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,175 +29,258 @@ from docloom.storage import broadcast_if_small, spread, written
 
 #: More documents than this are joined with a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
-#: A sibling of the best container is kept from this part of its points a line on.
-SIBLING = 0.2
-#: Points that the commas of a line, and its length, give at most.
+#: Chunks with a title line, and chunks without, in the sample that the link density is fitted on.
+SAMPLE = 2000
+#: Longer chunks aren't taken into the sample (they are judged like all others).
+SAMPLE_CHARS = 20_000
+#: A wording counts as surroundings in the next round of fitting from this probability on.
+RELABEL = 0.2
+ROUNDS = 3
+#: Lines that a word, pair or shape stands in at least to be a feature.
+FEATURE_LINES = 4
+#: Weight of the lines of chunks without a title in the first fits, as a share of the weight of the others.
+UNTITLED = 0.27
+#: How many times the odds of a line that doesn't end as a sentence are those of one that does.
+OPEN = 4.0
+#: A block is kept from this part of the best block's points a line on, and from these points on.
+SIBLING = 0.15
+FLOOR = 0.35
+#: Points that the commas of a line, and its length, give at most; the part of a chunk's points that its blocks share.
 MOST = 3
-#: Words up to which a cue makes a line furniture.
-CUE_WORDS = 24
-#: What page furniture says, as beginnings of words in lower case, by language.
-CUES = {
-    "en": "use cookies|uses cookies|cookie settings|privacy at|trackers|stores small files|accept all|newsletter|rights reserved|terms of use|privacy statement|imprint|sitemap|no liability|licensed users|last reviewed|last updated|documentation team|was this page|was this article|did this article|your feedback|your colleagues|share this|log in|sign in|signed in|sign up|skip to|back to top|open menu|toggle navigation|related topics|related articles|recently viewed|popular right now|you may also|in this section|advertisement|sponsored|no card needed|webinar|chat with|still stuck|reading time|print this page|save as pdf|report an error|choose language|prices without tax|created by|online help",
-    "de": "verwenden cookies|datenschutz|alle annehmen|rundbrief|newsletter|rechte vorbehalten|nutzungsbedingungen|impressum|haftet nicht|zuletzt geprüft|hilfreich|ihre meinung|kollegen|teilen sie|angemeldet als|zum inhalt|nach oben|menü öffnen|verwandte|ähnliche themen|zuletzt angesehen|beliebte|das könnte|in diesem abschnitt|in diesem bereich|lesezeit|seite drucken|sprache wählen|schlagwörter|stichwörter",
-    "fr": "utilisons des cookies|confidentialité|tout accepter|lettre de|newsletter|droits réservés|conditions d utilisation|mentions légales|décline toute responsabilité|mis à jour|mise à jour|vous a t il aidé|votre avis|vos collègues|connecté en tant|aller au contenu|haut de page|ouvrir le menu|sujets liés|articles liés|vus récemment|populaires|vous aimerez|dans cette rubrique|temps de lecture|imprimer cette page|choisir la langue|mots clés|aide de",
-    "es": "usamos cookies|privacidad|aceptar todo|boletín|derechos reservados|condiciones de uso|aviso legal|no se hace responsable|redacción|le ha ayudado|su opinión|su equipo|sesión iniciada|saltar al contenido|volver arriba|abrir menú|temas relacionados|vistos recientemente|lo más leído|también le puede|en esta sección|lectura de|tiempo de lectura|imprimir esta página|elegir idioma|ayuda de",
-    "it": "usiamo i cookie|riservatezza|accetta tutto|notiziario|newsletter|diritti riservati|condizioni d uso|note legali|non risponde degli|vi è stato utile|vostra opinione|con i colleghi|connesso come|vai al contenuto|torna su|apri il menù|argomenti correlati|visti di recente|i più letti|potrebbe interessar|in questa sezione|stampa la pagina|scegli la lingua|parole chiave|guida di",
-    "ru": "файлы cookie|конфиденциальн|принять все|рассылк|права защищены|условия использования|правовая информация|не несёт ответственности|помогла ли|ваше мнение|с коллегами|вы вошли как|перейти к содержанию|наверх|открыть меню|похожие темы|популярн|в этом разделе|время чтения|распечатать|выбрать язык",
-}
-#: The same, where a line begins with it; elsewhere these words may stand in any text.
-FIRST = {
-    "en": "previous|tags|comments|confidential|try|new book",
-    "de": "zurück|stand|anzeige|redaktion|startseite|vertraulich|anmelden|kommentare|testen|von der redaktion",
-    "fr": "précédent|accueil|rédaction|publicité|confidentiel|commentaires|connexion|essayez|par la rédaction",
-    "es": "anterior|acceder|publicidad|comentarios|confidencial|etiquetas|pruebe|por la redacción",
-    "it": "precedente|accedi|lettura|riservato|commenti|pubblicità|provate|a cura della",
-    "ru": "назад|справка|реклама|войти|метки|комментарии|обновлено|редакция|попробуйте",
-}
-#: Heads of lists of links.
-HEADS = "related topics|related articles|recently viewed|popular right now|you may also|in this section|verwandte|zuletzt angesehen|beliebte|das könnte|in diesem abschnitt|in diesem bereich|sujets liés|articles liés|vus récemment|articles populaires|vous aimerez|dans cette rubrique|temas relacionados|vistos recientemente|lo más leído|también le puede|en esta sección|argomenti correlati|visti di recente|i più letti|potrebbe interessar|in questa sezione|похожие темы|недавно|популярн|в этом разделе"
-_CUE = re.compile("(?<![^\\W_])(?:" + "|".join(CUES.values()) + ")")
-_FIRST = re.compile("(?:" + "|".join(FIRST.values()) + ")(?![^\\W_])")
-_PAGE = re.compile(r"^(?:page|seite|página|pagina|страница) \d+ (?:of|von|sur|de|di|из) \d+")
-_CODE = re.compile(r"\b[A-Z]{2}-\d+", re.I)
-_HEAD = re.compile("(?<![^\\W_])(?:" + HEADS + ")")
+SHARED = 0.05
+#: A line with so many characters that ends as a sentence is a paragraph.
+PARAGRAPH = 80
+
 _WORD = re.compile(r"[^\W_]+")
-_NUMBERED = re.compile(r"^\s*\d+\s*[.)]\s+\S")
-_BULLET = re.compile(r"^\s*[-–•*>▪·▲]\s*")
-_ITEMS = re.compile(r"\s+[|·»›>/]\s+|\s*\|\s*|\]\s*\[|\s+•\s+")
-_PATH = re.compile(r"\s[»›>/]\s.*\s[»›>/]\s")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_NUMBERED = re.compile(r"\s*\d+\s*[.)]\s+\S")
+_BULLET = re.compile(r"\s*[-–•*>▪·▲]\s*")
 _ENDS = re.compile(r"[.!?…;:]['\"»)”*\s]*$")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
+def bare(text: str | None) -> str:
+    return "".join(_WORD.findall((text or "").lower()))
+
+
+def is_row(text: str) -> bool:
+    """Whether a line has the form of a table row: two cells."""
+    return "|" in text and len([c for c in _BULLET.sub("", text, count=1).split("|") if c.strip()]) == 2
 
-class Line:
-    """One line of a chunk with its points and link density."""
-
-    __slots__ = ("at", "text", "words", "bare", "kind", "points", "links")
-
-    def __init__(self, at: int, text: str, heading: str):
-        self.at, self.text = at, text.strip()
-        self.words = _WORD.findall(self.text.lower())
-        self.bare = " ".join(self.words)
-        self.kind = kind_of(self, heading)
-        self.links = link_density(self)
-        self.points = (1 + min(self.text.count(","), MOST) + min(len(self.text) / 100, MOST)) * (1 - self.links)
-
-
-def kind_of(line: Line, heading: str) -> str:
-    """heading, step, row (of a table), items (a row of links), short or text."""
-    text, words = line.text, line.words
-    if heading and "".join(words) == heading:
-        return "heading"
-    if _NUMBERED.match(text):
-        return "step"
-    marked = _BULLET.match(text)
-    body = _BULLET.sub("", text)
-    if marked and not text.startswith(("*", "▲")) and len(words) >= 6 and _ENDS.search(text):
-        return "step"
-    if len(words) <= 16 and _PATH.search(body) and not _ENDS.search(text):
-        return "items"
-    items = [x for x in _ITEMS.split(body.strip("[]* ")) if x.strip()]
-    if len(items) >= 3 and all(len(_WORD.findall(x)) <= 4 for x in items):
-        return "items"
-    if len(items) == 2 and "|" in body:
-        return "row"
-    if re.search(r"[:=]\s", body) and len(words) <= 8 and _CODE.search(body):
-        return "row"
-    if re.search(r"\s[-–—]\s\w+\W*$", body) and len(words) <= 8 and not marked:
-        return "heading"
-    if len(words) <= 5 and not re.search(r"[.!?…]['\"»)”\s]*$", body):
-        return "short"
-    return "text"
-
-
-def link_density(line: Line) -> float:
-    if not line.words:
-        return 1.0
-    if line.kind == "step" or (line.kind == "row" and _CODE.search(line.text)):
-        return 0.0
-    # a long paragraph is no furniture, whatever words it has
-    cue = len(line.words) <= CUE_WORDS and _CUE.search(line.bare) or _FIRST.match(line.bare) or _PAGE.match(line.bare) or "©" in line.text or line.text.startswith("▲")
-    if line.kind in ("items", "short"):
-        return 1.0
-    if cue:
-        return 1.0 if line.kind != "heading" else 0.9
-    return 0.1 if line.kind == "text" else 0.3
-
-
-def blocks_of(lines: list[Line]) -> list[list[Line]]:
-    """Runs of lines: prose (text, steps, rows, headings) or links; what is listed under a head of links is part of it."""
-    blocks: list[list[Line]] = []
-    listing = False
-    for line in lines:
-        if _HEAD.search(line.bare) and len(line.words) <= 5 and line.kind != "step":
-            listing = True
-            blocks.append([line])
-            continue
-        listed = listing and len(line.words) <= 9 and line.kind != "step" and not re.search(r"[.!?]['\"»)”\s]*$", line.text)
-        listed = listed and (line.kind != "heading" or _BULLET.match(line.text) is not None) and line.kind != "items" and "|" not in line.text
-        if listed:
-            line.links, line.points = 1.0, 0.0
-            blocks[-1].append(line)
-            continue
-        listing = False
-        kind = line.links >= 0.5
-        if blocks and (blocks[-1][-1].links >= 0.5) == kind and not _HEAD.search(blocks[-1][0].bare):
-            blocks[-1].append(line)
-        else:
-            blocks.append([line])
-    return blocks
-
-
-def judged(heading: str | None, content: str | None) -> tuple[list[tuple[int, float | None]], float]:
-    """The lines of a page, or part of one, that may be outside its main body, and the points a line of its best block.
-
-    A line has its number and the points a line of its block, which the best block of the page decides on; a link has none.
+
+def is_step(text: str) -> bool:
+    return bool(_NUMBERED.match(text)) or bool(_BULLET.match(text)) and len(text) > 30 and bool(_ENDS.search(text))
+
+
+class Page:
+    """The non-blank lines of a chunk: their numbers, texts and forms, and the place of the title among them (or None)."""
+
+    __slots__ = ("at", "lines", "title", "rows", "steps")
+
+    def __init__(self, heading: str | None, content: str | None, tag: str | None):
+        kept = [(i, x.strip()) for i, x in enumerate((content or "").split("\n")) if x.strip()]
+        self.at, self.lines = [i for i, _ in kept], [x for _, x in kept]
+        head = bare(heading)
+        self.title = next((i for i, x in enumerate(self.lines) if len(x) <= 2 * len(heading) + 20 and bare(x) == head), None) if head else None
+        cells = [is_row(x) for x in self.lines]
+        in_table = (tag or "").strip().lower() == "table"
+        self.rows = [c and (in_table or cells[i - 1 : i] == [True] or cells[i + 1 : i + 2] == [True]) for i, c in enumerate(cells)]
+        self.steps = [is_step(x) for x in self.lines]
+
+
+class Features:
+    """Words, pairs of neighbours and pairs one word apart of many lines at once, as 64-bit keys."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+
+    def number(self, word: str) -> int:
+        i = self.known.get(word)
+        if i is None:
+            i = self.known[word] = len(self.known)
+            if i == len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[i] = xxhash.xxh64_intdigest(word)
+        return i
+
+    def of(self, lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of all features; digits are one word, so are the ends of a line."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        number = self.number
+        start, end, digits = number("\x02"), number("\x03"), number("0")
+        lists = [[start, *[digits if w[0].isdigit() else number(w) for w in _TOKEN.findall(x.lower())], end] for x in lines]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        h = self.hashes[np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(sizes.sum()))]
+        line = np.repeat(np.arange(len(lines)), sizes)
+        with np.errstate(over="ignore"):
+            pair, apart = (h[:-1] * _MIX) ^ h[1:], (h[:-2] * _MIX ^ np.uint64(7)) * _MIX ^ h[2:]
+        near, far = line[:-1] == line[1:], line[:-2] == line[2:]
+        return np.concatenate([line, line[:-1][near], line[:-2][far]]), np.concatenate([h, pair[near], apart[far]])
+
+
+class LinkDensity:
+    """The probability that a line belongs to the surroundings of a page: logistic regression on its known features."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
+        self.keys, self.weights, self.bias = keys, weights, bias
+
+    def of(self, lines: Sequence[str], features: Features) -> np.ndarray:
+        if not len(lines) or not len(self.keys):
+            return np.zeros(len(lines))
+        line, key = features.of(lines)
+        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[spot] == key
+        line, spot = line[hit], spot[hit]
+        n = np.maximum(np.bincount(line, minlength=len(lines)), 1)
+        return 1 / (1 + np.exp(-(np.bincount(line, self.weights[spot], minlength=len(lines)) / np.sqrt(n) + self.bias)))
+
+
+def fit(line: np.ndarray, column: np.ndarray, columns: int, labels: np.ndarray, weights: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and probabilities of a logistic regression on sparse rows of unit length (full batches, Adagrad)."""
+    n = len(labels)
+    value = (1 / np.sqrt(np.maximum(np.bincount(line, minlength=n), 1)))[line]
+    w, b, squares, square, total = np.zeros(columns), -2.0, np.full(columns, 1e-9), 1e-8, weights.sum()
+
+    def chance():
+        return 1 / (1 + np.exp(-(np.bincount(line, w[column] * value, minlength=n) + b)))
+
+    for _ in range(steps):
+        off = (chance() - labels) * weights
+        slope = np.bincount(column, off[line] * value, minlength=columns) / total + 1e-5 * w
+        squares += slope * slope
+        w -= 0.7 * slope / np.sqrt(squares)
+        mean = off.sum() / total
+        square += mean * mean
+        b -= 0.3 * mean / np.sqrt(square)
+    return w, b, chance()
+
+
+def outer_lines(page: Page, chance: np.ndarray) -> list[int]:
+    """The places of the lines before the title and after the last paragraph, step or row of a page with a title."""
+    last = None
+    for i, x in enumerate(page.lines):
+        if i > page.title and (page.rows[i] or page.steps[i] or len(x) >= PARAGRAPH and _ENDS.search(x) and chance[i] < 0.1):
+            last = i
+    return list(range(page.title)) + ([] if last is None else list(range(last + 1, len(page.lines))))
+
+
+def fitted(chunks: list[tuple]) -> LinkDensity:
+    """The link density learned from a sample of (heading, content, tag)."""
+    pages = [Page(*c) for c in chunks]
+    headings = [h.strip() for h, *_ in chunks if bare(h)]
+    lines = [x for p in pages for x in p.lines] + headings
+    if not any(p.title for p in pages):
+        return LinkDensity(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    starts = np.concatenate([[0], np.cumsum([len(p.lines) for p in pages])])
+    line, key = Features().of(lines)
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    line, key = line[first], key[first]
+    keys, column, count = np.unique(key, return_inverse=True, return_counts=True)
+    often = count >= FEATURE_LINES
+    line, column, keys = line[often[column]], (np.cumsum(often) - 1)[column[often[column]]], keys[often]
+    titled, heading, before = np.zeros(len(lines), dtype=bool), np.zeros(len(lines), dtype=bool), np.zeros(len(lines))
+    heading[starts[-1] :] = True
+    for p, low, high in zip(pages, starts, starts[1:]):
+        if p.title is not None:
+            titled[low:high], heading[low + p.title], before[low : low + p.title] = True, True, 1.0
+    weights = np.where(titled, 1.0, UNTITLED * titled.sum() / max((~titled).sum(), 1))
+    *_, chance = fit(line, column, len(keys), before, weights)
+    outer = before.copy()
+    for p, low in zip(pages, starts):
+        if p.title is not None:
+            outer[[low + i for i in outer_lines(p, chance[low:])]] = 1.0
+    w, b, chance = fit(line, column, len(keys), outer, weights)
+    for _ in range(ROUNDS):
+        labels = (((chance > RELABEL) & ~heading) | ((outer > 0) & (chance > 0.1))).astype(float)
+        w, b, chance = fit(line, column, len(keys), labels, np.ones(len(lines)))
+    return LinkDensity(keys, w, b)
+
+
+def links_of(page: Page, density: np.ndarray) -> np.ndarray:
+    """The link density of the lines: of a title none, of lines that don't end as sentences more than their wording says."""
+    odds = density / np.maximum(1 - density, 1e-9)
+    raised = odds * OPEN / (1 + odds * OPEN)
+    out = np.array([d if page.rows[i] or page.steps[i] or _ENDS.search(x) else r for i, (x, d, r) in enumerate(zip(page.lines, density, raised))])
+    if page.title is not None:
+        out[page.title] = 0.0
+    return out
+
+
+def judged(page: Page, density: np.ndarray) -> tuple[np.ndarray, float]:
+    """The points of the block of each line, and those of the best block.
+
+    A block is a run of lines that are all mostly links or all mostly text; it has the mean points of its lines and a share
+    in those of the whole chunk.
     """
-    head = "".join(_WORD.findall((heading or "").lower()))
-    blocks = blocks_of([Line(i, x, head) for i, x in enumerate((content or "").split("\n")) if x.strip()])
-    points = [sum(x.points for x in b) for b in blocks]
-    page = sum(points) / 2
-    score = [(p + 0.01 * page) / len(b) for b, p in zip(blocks, points)]
-    out = []
-    for block, s in zip(blocks, score):
-        # headings, rows and steps are short: they stand or fall with their own links, not with their block's text
-        stays = any(x.kind in ("heading", "row", "step") and x.links < 0.5 for x in block)
-        out += [(x.at, None if x.links >= 0.5 else s) for x in block if not stays or x.links >= 0.5]
-    return out, max(score, default=0.0)
+    if not page.lines:
+        return np.zeros(0), 0.0
+    links = links_of(page, density)
+    points = np.array([1 + min(x.count(","), MOST) + min(len(x) / 100, MOST) for x in page.lines]) * (1 - links)
+    block = np.concatenate([[0], np.cumsum(np.diff(links >= 0.5))])
+    scores = np.bincount(block, points) / np.bincount(block) + SHARED * points.mean()
+    return scores[block], float(scores.max())
+
+
+def furniture_of(page: Page, density: np.ndarray) -> list[int]:
+    """The numbers of the lines of a page in one piece that are outside its main body."""
+    scores, best = judged(page, density)
+    return [at for at, s in zip(page.at, scores) if s < max(SIBLING * best, FLOOR)]
 
 
-def page_furniture(heading: str | None, content: str | None) -> list[int]:
-    """The numbers of the non-blank lines of a page in one piece that are outside its main body."""
-    lines, best = judged(heading, content)
-    return [at for at, s in lines if s is None or s < SIBLING * best]
+def html_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, vector_id, heading, content, tag) of the chunks with text of html documents."""
+    html = documents.where("document_id IS NOT NULL AND lower(trim(source_type)) = 'html'").select("document_id").distinct()
+    tag = F.col("chunk_metadata")["html_tag"] if "chunk_metadata" in chunks.columns else F.lit(None).cast("string")
+    pages = chunks.where("vector_id IS NOT NULL AND length(trim(content)) > 0").select("document_id", "vector_id", "heading", "content", tag.alias("tag"))
+    return spread(pages).join(broadcast_if_small(html, BROADCAST_ROWS), "document_id", "left_semi")
+
+
+def link_density(pages: DataFrame) -> LinkDensity:
+    """Fitted on at most ``SAMPLE`` chunks that repeat their heading in the text and as many others, chosen by a hash."""
+    short = pages.where(F.length("content") <= SAMPLE_CHARS).select("heading", "content", "tag", F.xxhash64("vector_id", "content").alias("h"))
+    titled = F.coalesce(F.contains(F.col("content"), F.concat("heading", F.lit("\n"))), F.lit(False))
+    sides = [short.where(side).distinct().orderBy("h", "content").limit(SAMPLE) for side in (titled, ~titled)]
+    return fitted([(r.heading, r.content, r.tag) for r in sides[0].unionByName(sides[1]).orderBy("h", "content").collect()])  # 2 x SAMPLE
 
 
 def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(vector_id, line_no) of the non-blank lines outside the main body, in chunks of html documents.
 
-    The chunks of a document are one page: blocks are compared with the best of them all.
+    The chunks of a document are one page: blocks are compared with the best of them all. Without any page that repeats its
+    heading nothing is known of link density, and only lines too poor in points are furniture.
 
     Chunks of documents that aren't html, or aren't known, null ids, and null or blank contents give
     no rows; rows sent twice count once; other columns are ignored; an empty table gives an empty result.
     """
-    html = documents.where("document_id IS NOT NULL AND lower(trim(source_type)) = 'html'").select("document_id").distinct()
-    pages = spread(chunks.where("vector_id IS NOT NULL AND length(trim(content)) > 0").select("document_id", "vector_id", "heading", "content")).join(broadcast_if_small(html, BROADCAST_ROWS), "document_id", "left_semi")
+    pages = html_chunks(chunks, documents)
+    sent = pages.sparkSession.sparkContext.broadcast(link_density(pages))  # features of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, most = [], {}
-            for d, v, h, c in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                lines, best = judged(h, c)
-                rows += [(d, v, at, s, None) for at, s in lines]
-                most[d] = max(best, most.get(d, 0.0))
-            rows += [(d, None, None, None, best) for d, best in most.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["document_id", "vector_id", "line_no", "score", "best"])
+        model, features = sent.value, Features()
+        for whole in batches:
+            for batch in (whole.slice(low, 1000) for low in range(0, whole.num_rows, 1000)):
+                ids, vectors, *texts = [c.to_pylist() for c in batch.columns]
+                parts = [Page(*t) for t in zip(*texts)]
+                density = model.of([x for p in parts for x in p.lines], features)
+                rows, most, low = [], {}, 0
+                for d, v, p in zip(ids, vectors, parts):
+                    scores, best = judged(p, density[low : low + len(p.lines)])
+                    low += len(p.lines)
+                    rows += [(d, v, at, float(s), None) for at, s in zip(p.at, scores)]
+                    most[d] = max(best, most.get(d, 0.0))
+                rows += [(d, None, None, None, best) for d, best in most.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["document_id", "vector_id", "line_no", "score", "best"])
 
     lines = written(pages.mapInArrow(run, "document_id string, vector_id string, line_no int, score double, best double"), "page-lines")
     best = broadcast_if_small(lines.where("best IS NOT NULL").groupBy("document_id").agg(F.max("best").alias("most")), BROADCAST_ROWS)
-    links = lines.where("line_no IS NOT NULL AND score IS NULL").select("vector_id", "line_no")
-    low = lines.where("score IS NOT NULL").join(best, "document_id").where(F.col("score") < SIBLING * F.col("most")).select("vector_id", "line_no")
-    return links.unionByName(low).distinct()
+    low = lines.where("score IS NOT NULL").join(best, "document_id").where(F.col("score") < F.greatest(SIBLING * F.col("most"), F.lit(FLOOR)))
+    return low.select("vector_id", "line_no").distinct()
 
 
 def main_content(chunks: DataFrame, documents: DataFrame) -> DataFrame:
