@@ -34,12 +34,12 @@ SAMPLE = 2000
 #: Longer chunks aren't taken into the sample (they are judged like all others).
 SAMPLE_CHARS = 20_000
 #: A wording counts as surroundings in the next round of fitting from this probability on.
-RELABEL = 0.2
-ROUNDS = 3
+RELABEL = 0.15
+ROUNDS = 2
 #: Lines that a word, pair or shape stands in at least to be a feature.
 FEATURE_LINES = 4
 #: Weight of the lines of chunks without a title in the first fits, as a share of the weight of the others.
-UNTITLED = 0.27
+UNTITLED = 0.5
 #: How many times the odds of a line that doesn't end as a sentence are those of one that does.
 OPEN = 4.0
 #: A block is kept from this part of the best block's points a line on, and from these points on.

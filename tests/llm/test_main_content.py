@@ -110,7 +110,7 @@ def test_only_html_documents_count(spark):
 
 def test_blocks_are_compared_over_the_chunks_of_a_document(spark):
     rich = "The printers of the second floor, the noise, the heat, and the paper need space, " + "and so do all the people who work there every day " * 5 + "now."
-    poor = "We go."
+    poor = "..."
     chunks = spark.createDataFrame([("a", "v1", None, rich, 1, "x", {}), ("a", "v2", None, poor, 1, "x", {}), ("b", "v3", None, poor, 1, "x", {})], CHUNK)
     docs = spark.createDataFrame([("a", "html", "x"), ("b", "html", "x")], DOC)
     assert [(r.vector_id, r.line_no) for r in M.found(chunks, docs).collect()] == [("v2", 0)]
