@@ -8,9 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of a side of a join that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 _KEPT: set[str] = set()
 _SHIPPED: set[str] = set()
@@ -39,32 +44,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only if it is unset, a new local one is set, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Only a local session, as in tests, gets a temporary folder of its own where it is unset; a cluster must name one.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 def written(df: DataFrame, name: str = "work", partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: later reads survive lost executors and recompute nothing."""
+    """``df`` as a parquet table in the shared folder: later reads survive lost executors and recompute nothing.
+
+    The table is deleted when the session's program ends, or by ``clear``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if path.startswith("file://"):
-        _KEPT.add(path.removeprefix("file://"))
-    return spark.read.schema(df.schema).parquet(path)
+    _KEPT.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_docloom_path"] = path
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made; results that still read them must be written first."""
+    for path in list(_KEPT):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _KEPT.discard(path)
 
 
 @atexit.register
 def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone; local folders are removed below
+        pass
     for path in _KEPT:
-        if os.path.basename(path).startswith("docloom-"):
-            shutil.rmtree(path, ignore_errors=True)
+        local = path.removeprefix("file://")
+        if path.startswith("file://") and os.path.basename(local).startswith("docloom-"):
+            shutil.rmtree(local, ignore_errors=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -80,12 +109,34 @@ def spread(df: DataFrame) -> DataFrame:
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` partitioned by ``keys`` for all that follows: windows, groups and joins on them shuffle no more.
 
-    The number of partitions is that of the session's shuffles, and at least the number of cores: partitions that are small
-    in bytes may still hold much work, so they are not merged.
+    The number of partitions is left to the session, so adaptive execution may merge small ones and split others.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(*keys)
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [_bytes(c[f.name], f.dataType) for f in kind.fields], F.lit(8))
+    return F.lit(8)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The bytes that the rows of ``df`` hold, summed on the executors."""
+    row = reduce(Column.__add__, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` for one side of a join: with a broadcast hint if its rows hold at most ``max_bytes``, else for a shuffled join.
+
+    A plan that isn't a table yet is written first, so measuring it computes nothing twice.
+    """
+    kept = df if "_docloom_path" in df.__dict__ else written(df, "small-side")
+    return F.broadcast(kept) if bytes_of(kept) <= max_bytes else kept
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
