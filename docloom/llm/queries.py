@@ -42,6 +42,10 @@ def p5_found(spark, sf_dir):
     return near_duplicates.found(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "retrieved_chunks"))
 
 
+def p5_groups(spark, sf_dir):
+    return near_duplicates.groups(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "retrieved_chunks"))
+
+
 def p6_ids(spark, sf_dir):
     return tokenize.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -59,7 +63,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_ids, p7_found, p7_near, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p3_found, p4_found, p5_found, p5_groups, p6_ids, p7_found, p7_near, p8_found)}
 
 
 _SITE = r"nullif(regexp_extract(regexp_replace(replace(lower(trim({0})), '\', '/'), '^(?:[a-z][a-z0-9+.\-]*:/*|\./+|/+)+', ''), '^[^/]*', 0), '')"
@@ -91,6 +95,19 @@ keyed AS (SELECT * FROM chunk_keys WHERE k <> '' UNION SELECT * FROM document_ke
 sets AS (SELECT record, k, min(id) AS first_id, count(DISTINCT id) AS copies FROM keyed GROUP BY record, k)
 """
 
+_P5_PAIRS = """WITH texts AS (SELECT DISTINCT 'chunk' AS record, CAST(0 AS BIGINT) AS scope, vector_id AS id, content AS text, chunk_type AS kind FROM document_chunks WHERE content IS NOT NULL
+  UNION SELECT 'retrieved', query_id, hit_id, text, metadata.chunk_type FROM retrieved_chunks WHERE text IS NOT NULL AND query_id IS NOT NULL),
+keyed AS (SELECT *, CASE WHEN lower(trim(kind)) = 'table'
+      THEN array_to_string(list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g')), lambda x: x <> '')), chr(10))
+      ELSE regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') END AS k FROM texts),
+split AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM keyed),
+runs AS (SELECT DISTINCT record, scope, id, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM split)),
+sizes AS (SELECT record, scope, id, count(*) AS n FROM runs GROUP BY ALL),
+pairs AS (SELECT a.record, a.scope, a.id AS first_id, b.id AS second_id, count(*) AS c FROM runs a JOIN runs b ON a.record = b.record AND a.scope = b.scope AND a.g = b.g AND a.id < b.id AND a.k <> b.k GROUP BY ALL),
+alike AS (SELECT DISTINCT p.record, p.scope, first_id, second_id FROM pairs p JOIN sizes x ON x.record = p.record AND x.scope = p.scope AND x.id = first_id
+  JOIN sizes y ON y.record = p.record AND y.scope = p.scope AND y.id = second_id WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9)
+"""
+
 
 def oracle_sql():
     return {
@@ -103,18 +120,18 @@ SELECT DISTINCT c.vector_id, CASE WHEN g IS NULL OR c.content IS NULL THEN c.con
 FROM document_chunks c LEFT JOIN gone USING (vector_id)""",
         "p2_found": _P2_KEYS + "SELECT DISTINCT record, first_id, id AS copy_id FROM keyed JOIN sets USING (record, k) WHERE copies > 1 AND id <> first_id",
         "p2_counts": _P2_KEYS + "SELECT record, first_id, copies FROM sets",
-        "p5_found": """
-WITH texts AS (SELECT DISTINCT 'chunk' AS record, CAST(0 AS BIGINT) AS scope, vector_id AS id, content AS text, chunk_type AS kind FROM document_chunks WHERE content IS NOT NULL
-  UNION SELECT 'retrieved', query_id, hit_id, text, metadata.chunk_type FROM retrieved_chunks WHERE text IS NOT NULL AND query_id IS NOT NULL),
-keyed AS (SELECT *, CASE WHEN lower(trim(kind)) = 'table'
-      THEN array_to_string(list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g')), lambda x: x <> '')), chr(10))
-      ELSE regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') END AS k FROM texts),
-single AS (SELECT *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM keyed QUALIFY k = '' OR id = min(id) OVER (PARTITION BY record, scope, k)),
-runs AS (SELECT DISTINCT record, scope, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM single)),
-sizes AS (SELECT record, scope, id, count(*) AS n FROM runs GROUP BY ALL),
-pairs AS (SELECT a.record, a.scope, a.id AS first_id, b.id AS second_id, count(*) AS c FROM runs a JOIN runs b ON a.record = b.record AND a.scope = b.scope AND a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT DISTINCT p.record, first_id, second_id FROM pairs p JOIN sizes x ON x.record = p.record AND x.scope = p.scope AND x.id = first_id
-JOIN sizes y ON y.record = p.record AND y.scope = p.scope AND y.id = second_id WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9""",
+        "p5_found": _P5_PAIRS + "SELECT DISTINCT record, first_id, second_id FROM alike",
+        "p5_groups": _P5_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, shaped AS (SELECT record, scope, id, k, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM split),
+classes AS (SELECT *, min(id) OVER (PARTITION BY record, scope, k, g, CASE WHEN k = '' THEN id END) AS class_id FROM shaped),
+edges AS (SELECT DISTINCT s.record, s.scope, a.class_id AS x, b.class_id AS y FROM alike s JOIN classes a ON a.record = s.record AND a.scope = s.scope AND a.id = s.first_id JOIN classes b ON b.record = s.record AND b.scope = s.scope AND b.id = s.second_id
+  UNION SELECT DISTINCT record, scope, min(class_id) OVER (PARTITION BY record, scope, k), class_id FROM classes WHERE k <> ''),
+both_ways AS (SELECT record, scope, x, y FROM edges UNION SELECT record, scope, y, x FROM edges),
+reach AS (SELECT DISTINCT record, scope, class_id AS x, class_id AS y FROM classes UNION SELECT r.record, r.scope, r.x, b.y FROM reach r JOIN both_ways b ON b.record = r.record AND b.scope = r.scope AND b.x = r.y),
+roots AS (SELECT record, scope, x, min(y) AS group_id FROM reach GROUP BY ALL),
+linked AS (SELECT record, scope, x, count(*) AS links FROM (SELECT DISTINCT s.record, s.scope, a.class_id AS x, b.class_id AS y FROM alike s JOIN classes a ON a.record = s.record AND a.scope = s.scope AND (a.id = s.first_id OR a.id = s.second_id) JOIN classes b ON b.record = s.record AND b.scope = s.scope AND (b.id = s.first_id OR b.id = s.second_id) AND b.class_id <> a.class_id) GROUP BY ALL)
+SELECT DISTINCT c.record, CASE WHEN c.record = 'retrieved' THEN c.scope END AS query_id, c.id, c.class_id, r.group_id, coalesce(l.links, 0) AS links FROM classes c
+JOIN roots r ON r.record = c.record AND r.scope = c.scope AND r.x = c.class_id LEFT JOIN linked l ON l.record = c.record AND l.scope = c.scope AND l.x = c.class_id""",
         "p7_found": """
 WITH RECURSIVE dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
