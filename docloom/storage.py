@@ -139,6 +139,20 @@ def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if bytes_of(kept) <= max_bytes else kept
 
 
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join of ``left``, of whose keys one may hold any part of the rows, with ``right``, which has few rows a key.
+
+    A small ``right`` is broadcast. Otherwise each of its rows is sent ``salts`` times and each key of ``left`` is spread
+    over as many tasks, chosen by a hash of the row.
+    """
+    kept = small_side(right, max_bytes)
+    if kept._jdf.queryExecution().logical().getClass().getSimpleName() == "UnresolvedHint":
+        return left.join(kept, on)
+    rest = [c for c in left.columns if c not in on]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)))
+    return salted.join(kept.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), [*on, "_salt"]).drop("_salt")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for ``df`` if it has at most ``max_rows`` rows (counted first), else ``df`` for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -32,3 +32,12 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+def test_salted_join_is_a_join(spark):
+    left = spark.range(500).selectExpr("id % 3 AS k", "id AS v")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k bigint, t string")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, storage.skewed_join(left, right, ["k"]).select("k", "v", "t").collect())) == want
+    salted = storage.skewed_join(left, right, ["k"], max_bytes=-1).select("k", "v", "t")
+    assert sorted(map(tuple, salted.collect())) == want and "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
