@@ -22,6 +22,10 @@ def p1_clean(spark, sf_dir):
     return cleaned.select("vector_id", "content", "removed_lines").distinct()
 
 
+def p1_near(spark, sf_dir):
+    return repeated_lines.near_lines(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents")).select("vector_id", "line_no", "documents")
+
+
 def p2_found(spark, sf_dir):
     return ledger.found(table(spark, sf_dir, "document_chunks"), table(spark, sf_dir, "source_documents"))
 
@@ -63,7 +67,7 @@ def p8_found(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_counts, p3_found, p4_found, p5_found, p5_groups, p6_ids, p7_found, p7_near, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p1_near, p2_found, p2_counts, p3_found, p4_found, p5_found, p5_groups, p6_ids, p7_found, p7_near, p8_found)}
 
 
 _SITE = r"nullif(regexp_extract(regexp_replace(replace(lower(trim({0})), '\', '/'), '^(?:[a-z][a-z0-9+.\-]*:/*|\./+|/+)+', ''), '^[^/]*', 0), '')"
