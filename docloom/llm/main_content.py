@@ -25,10 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import broadcast_if_small, spread, written
+from docloom.storage import small_side, spread, written
 
-#: More documents than this are joined with a shuffle instead of a broadcast.
-BROADCAST_ROWS = 200_000
 #: Chunks with a title line, and chunks without, in the sample that the link density is fitted on.
 SAMPLE = 2000
 #: Longer chunks aren't taken into the sample (they are judged like all others).
@@ -237,7 +235,7 @@ def html_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     html = documents.where("document_id IS NOT NULL AND lower(trim(source_type)) = 'html'").select("document_id").distinct()
     tag = F.col("chunk_metadata")["html_tag"] if "chunk_metadata" in chunks.columns else F.lit(None).cast("string")
     pages = chunks.where("vector_id IS NOT NULL AND length(trim(content)) > 0").select("document_id", "vector_id", "heading", "content", tag.alias("tag"))
-    return spread(pages).join(broadcast_if_small(html, BROADCAST_ROWS), "document_id", "left_semi")
+    return spread(pages).join(small_side(html), "document_id", "left_semi")
 
 
 def link_density(pages: DataFrame) -> LinkDensity:
@@ -278,7 +276,7 @@ def furniture(chunks: DataFrame, documents: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["document_id", "vector_id", "line_no", "score", "best"])
 
     lines = written(pages.mapInArrow(run, "document_id string, vector_id string, line_no int, score double, best double"), "page-lines")
-    best = broadcast_if_small(lines.where("best IS NOT NULL").groupBy("document_id").agg(F.max("best").alias("most")), BROADCAST_ROWS)
+    best = small_side(lines.where("best IS NOT NULL").groupBy("document_id").agg(F.max("best").alias("most")))
     low = lines.where("score IS NOT NULL").join(best, "document_id").where(F.col("score") < F.greatest(SIBLING * F.col("most"), F.lit(FLOOR)))
     return low.select("vector_id", "line_no").distinct()
 
