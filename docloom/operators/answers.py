@@ -107,7 +107,8 @@ def facts(final: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
 
 def answers(final: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, answer): a short answer, the facts and the top sources; every question has a row."""
-    final = written(final, "final-candidates")  # read three times below
+    if "_docloom_path" not in final.__dict__:
+        final = written(final, "final-candidates")  # read three times below
     found = facts(final, questions).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fact_no", "fact"))), lambda x: x["fact"]).alias("facts"))
     first = final.where("final_rank = 1").select("query_id", T.truncate_at_word(F.coalesce(F.get(sentences(F.col("text")), F.lit(0)), without_noise(T.sanitize(F.col("text")))), 240).alias("excerpt"))
     line = F.struct("final_rank", F.concat(F.coalesce("source_file", F.lit("None")), F.lit(" — "), F.coalesce(F.nullif("heading", F.lit("")), "document", F.lit("None"))).alias("s"))

@@ -1,16 +1,23 @@
-"""Blocks of documents as chunks: headings carried forward, paragraphs packed up to a size."""
+"""Blocks of documents as chunks: headings carried forward, paragraphs packed up to a size.
+
+A document is one row with an array of blocks; everything happens within the row, so no plan here has a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from docloom.functions import text as T
-from docloom.storage import by_key
 
 #: Fixed values.
 HEADING_STYLES = ["title", "heading 1", "heading 2", "heading 3"]
 BLOCK = "struct<text:string,heading:string,style:string,html_tag:string>"
+PIECE = "struct<content:string,heading:string,html_tag:string>"
 
 
 def text_blocks(text: Column) -> Column:
@@ -20,10 +27,10 @@ def text_blocks(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(p.alias("text"), none.alias("heading"), none.alias("style"), none.alias("html_tag")))
 
 
-def normalized_blocks(documents: DataFrame, id_col: str = "doc_id", blocks_col: str = "blocks") -> DataFrame:
-    """(id_col, block_no, text, heading, html_tag): paragraphs with the last heading before them; headings are used up.
+def normalized_blocks(blocks: Column) -> Column:
+    """An array of BLOCK as an array of (text, name, html_tag) without blank ones; ``name`` is that of a heading, else null.
 
-    A block is a heading by its style, by being equal to its own heading, or by its look. Blank blocks are left out.
+    A block is a heading by its style, by being equal to its own heading, or by its look.
     """
 
     def read(b):
@@ -33,59 +40,68 @@ def normalized_blocks(documents: DataFrame, id_col: str = "doc_id", blocks_col:
         head = F.lower(F.coalesce(b["style"], F.lit(""))).isin(HEADING_STYLES) | ((h != "") & (h == t)) | T.looks_like_heading(t)
         return F.struct(t.alias("text"), F.when(head, F.coalesce(F.nullif(h, F.lit("")), t)).alias("name"), b["html_tag"].alias("html_tag"))
 
-    # one shuffle, of whole documents: the window here and the fold of each document keep it
-    b = by_key(documents.select(id_col, blocks_col), id_col).select(id_col, F.posexplode(F.transform(blocks_col, read)).alias("block_no", "b")).where("b.text <> ''")
-    order = Window.partitionBy(id_col).orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return b.withColumn("heading", F.last("b.name", ignorenulls=True).over(order)).where("b.name IS NULL").select(id_col, "block_no", "b.text", "heading", "b.html_tag")
+    return F.filter(F.transform(blocks, read), lambda b: b["text"] != "")
 
 
-def chunked(blocks: DataFrame, id_col: str = "doc_id", max_chars: int = 1800, min_chars: int = 300) -> DataFrame:
-    """(id_col, chunk_index, content, heading, html_tag, chunk_type, language, char_count) from normalized blocks.
+def packed(blocks: list[dict], max_chars: int, min_chars: int) -> list[dict]:
+    """Chunks (content, heading, html_tag) of normalized blocks, folded in order: where one ends depends on the one before.
 
-    Paragraphs of one heading share a chunk until the next would pass ``max_chars``, unless the chunk has fewer than
-    ``min_chars`` (line breaks don't count). A longer paragraph is cut into slices of ``max_chars``. The tag of the last
-    paragraph is the chunk's. Where a chunk ends depends on where the one before ended, so each document is folded in order.
+    A heading names the paragraphs after it and is used up. Paragraphs of one heading share a chunk until the next would
+    pass ``max_chars``, unless the chunk has fewer than ``min_chars`` (line breaks don't count). A longer paragraph is cut
+    into slices of ``max_chars``. The tag of the last paragraph that has one is the chunk's.
+    """
+    out: list[dict] = []
+    held: list[str] = []
+    size, heading, tag, name = 0, None, None, None
+
+    def flush():
+        if held:
+            out.append({"content": "\n\n".join(held).strip(), "heading": heading, "html_tag": tag})
+            held.clear()
+
+    for b in blocks:
+        if b["name"] is not None:
+            name = b["name"]
+            continue
+        text = b["text"]
+        if held and (name != heading or (size + len(text) > max_chars and size >= min_chars)) or len(text) > max_chars:
+            flush()
+            size, tag = 0, None
+        heading = name
+        if len(text) > max_chars:
+            slices = (text[low : low + max_chars].strip() for low in range(0, len(text), max_chars))
+            out += [{"content": x, "heading": heading, "html_tag": b["html_tag"]} for x in slices if x]
+            continue
+        held.append(text)
+        size, tag = size + len(text), b["html_tag"] or tag
+    flush()
+    return out
+
+
+def chunked(documents: DataFrame, id_col: str = "doc_id", blocks_col: str = "blocks", max_chars: int = 1800, min_chars: int = 300, searched_only: bool = False) -> DataFrame:
+    """(id_col, chunk_index, content, heading, html_tag, chunk_type, language, char_count) of documents with an array of BLOCK.
+
+    With ``searched_only`` chunks that aren't searched (empty, navigation) are left out before chunks are numbered from 0.
     """
-    para = F.array_sort(F.collect_list(F.struct("block_no", "text", "heading", "html_tag")))
-    docs = blocks.groupBy(id_col).agg(para.alias("b"))
-    chunk = "struct<content:string,heading:string,html_tag:string>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("html_tag"))
-    one = lambda content, heading, tag: F.array(F.struct(content.alias("content"), heading.alias("heading"), tag.alias("html_tag")).cast(chunk))
-
-    def flushed(s):
-        return F.when(F.size(s["buf"]) == 0, s["out"]).otherwise(F.concat(s["out"], one(T.strip(F.array_join(s["buf"], "\n\n")), s["heading"], s["html_tag"])))
-
-    def step(s, x):
-        length = F.length(x["text"])
-        has = F.size(s["buf"]) > 0
-        cut = has & (~s["heading"].eqNullSafe(x["heading"]) | ((s["size"] + length > max_chars) & (s["size"] >= min_chars)))
-        long = length > max_chars
-        slices = F.transform(F.sequence(F.lit(0), F.floor((length - 1) / max_chars)), lambda i: F.struct(T.strip(F.substring(x["text"], (i * max_chars + 1).cast("int"), F.lit(max_chars))).alias("content"), x["heading"].alias("heading"), x["html_tag"].alias("html_tag")).cast(chunk))
-        slices = F.filter(slices, lambda c: c["content"] != "")
-        empty = F.array().cast("array<string>")
-        return F.struct(
-            F.when(long, F.concat(flushed(s), slices)).when(cut, flushed(s)).otherwise(s["out"]).alias("out"),
-            F.when(long, empty).when(cut, F.array(x["text"])).otherwise(F.concat(s["buf"], F.array(x["text"]))).alias("buf"),
-            F.when(long, 0).when(cut, length).otherwise(s["size"] + length).alias("size"),
-            F.when(long, F.lit(None).cast("string")).otherwise(x["heading"]).alias("heading"),
-            F.when(long, F.lit(None).cast("string")).when(cut, x["html_tag"]).otherwise(F.coalesce(x["html_tag"], s["html_tag"])).alias("html_tag"),
-        )
-
-    out = docs.select(id_col, F.posexplode(F.aggregate("b", start, step, flushed)).alias("chunk_index", "c"))
-    out = out.select(id_col, "chunk_index", "c.content", "c.heading", "c.html_tag")
-    return out.withColumn("chunk_type", T.chunk_type(F.col("content"), F.col("html_tag"))).withColumn("language", T.fallback_language(F.col("content"))).withColumn("char_count", F.length("content"))
-
-
-def indexed(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Chunks without those that aren't searched (empty, navigation), numbered anew from 0."""
-    order = Window.partitionBy(id_col).orderBy("chunk_index")
-    return chunks.where(~F.col("chunk_type").isin("empty", "navigation")).withColumn("_i", F.row_number().over(order) - 1).drop("chunk_index").withColumnRenamed("_i", "chunk_index")
+    given = documents.select(id_col, normalized_blocks(F.col(blocks_col)).alias("blocks"))
+    list_type = pa.list_(pa.struct([(n, pa.string()) for n in ("content", "heading", "html_tag")]))
+    schema = ST.StructType([documents.schema[id_col], ST.StructField("pieces", ST._parse_datatype_string(f"array<{PIECE}>"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [packed(b or [], max_chars, min_chars) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, list_type)], [id_col, "pieces"])
+
+    typed = F.transform("pieces", lambda c: F.struct(c["content"].alias("content"), c["heading"].alias("heading"), c["html_tag"].alias("html_tag"), T.chunk_type(c["content"], c["html_tag"]).alias("chunk_type")))
+    kept = F.filter(typed, lambda c: ~c["chunk_type"].isin("empty", "navigation")) if searched_only else typed
+    out = given.mapInArrow(fold, schema).select(id_col, F.posexplode(kept).alias("chunk_index", "c")).select(id_col, "chunk_index", "c.*")
+    return out.withColumn("language", T.fallback_language(F.col("content"))).withColumn("char_count", F.length("content"))
 
 
 def chunk_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 1800, min_chars: int = 300) -> DataFrame:
-    """The indexed chunks of plain texts. Null and blank texts have none."""
+    """The searched chunks of plain texts, row by row. Null and blank texts have none."""
     blocks = documents.where(F.col(text_col).isNotNull()).select(id_col, text_blocks(F.col(text_col)).alias("blocks"))
-    return indexed(chunked(normalized_blocks(blocks, id_col), id_col, max_chars, min_chars), id_col)
+    return chunked(blocks, id_col, max_chars=max_chars, min_chars=min_chars, searched_only=True)
 
 
 def document_stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

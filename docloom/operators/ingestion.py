@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ from pyspark.sql import types as ST
 from docloom.functions import text as T
 from docloom.operators import chunking
 from docloom.params import Params
-from docloom.sources import extract
+from docloom.sources import extract, images
+from docloom.sources.files import is_small_image, route
 from docloom.storage import written
 
 
@@ -100,6 +103,31 @@ def target_path(source_path: Column, href: Column) -> Column:
     return F.when(~foreign & (clean != ""), F.when(source_path.isNull(), clean).otherwise(inside))
 
 
+def local_asset_path(source_path: Column, href: Column, root: Column) -> Column:
+    """``target_path`` with ``.`` and ``..`` resolved; null where it leads out of ``root``."""
+    start = F.array().cast("array<string>")
+
+    def step(out, x):
+        up = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(x == ".", out).when(x == "..", up).otherwise(F.concat(out, F.array(x)))
+
+    path = F.array_join(F.aggregate(F.split(target_path(source_path, href), "/"), start, step), "/")
+    inside = F.regexp_replace(root, "/+$", "")
+    return F.when((inside == "") & ~target_path(source_path, href).rlike(r"^(?:\./)*\.\.(?:/|$)"), path).when((inside != "") & path.startswith(F.concat(inside, F.lit("/"))), path)
+
+
+def image_assets(refs: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """(document_id, path, filename, file_hash, width, height, content_type, referenced_src): images that documents show and that are on disk.
+
+    ``refs`` has (document_id, source_path, src); ``files`` (path, file_hash, width, height, content_type). Icons and
+    references that lead out of ``root`` are left out. A reference made twice is one row.
+    """
+    r = refs.select("document_id", F.col("src").alias("referenced_src"), local_asset_path(F.col("source_path"), F.col("src"), F.lit(root)).alias("path")).where("path IS NOT NULL").distinct()
+    name = F.regexp_extract("path", r"[^/\\]*$", 0)
+    kept = r.join(files.select("path", "file_hash", "width", "height", "content_type"), "path").withColumn("filename", name).where(~is_small_image(name, F.col("width"), F.col("height")))
+    return kept.select("document_id", "path", "filename", "file_hash", "width", "height", "content_type", "referenced_src")
+
+
 def resolved_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """``links`` with ``target_document_id`` filled in where ``target_path`` is the path of a document, and ``newly_resolved``.
 
@@ -125,11 +153,12 @@ class Ingested:
     documents: DataFrame
     chunks: DataFrame
     links: DataFrame
+    images: DataFrame
     stats: DataFrame
 
 
-def ingest(files: DataFrame, known: DataFrame | None = None, params: Params = Params(), embed: Callable | None = None) -> Ingested:
-    """Files (path, content, route, file_hash) as documents, chunks with vectors, links and statistics.
+def ingest(files: DataFrame, known: DataFrame | None = None, params: Params = Params(), embed: Callable | None = None, root: str = "") -> Ingested:
+    """Files (path, content, route, file_hash) as documents, chunks with vectors, links, images and statistics.
 
     Files known by their hash are skipped before they are read. A file that can't be read, or has no text, has no document;
     it is counted and doesn't touch other files.
@@ -137,27 +166,66 @@ def ingest(files: DataFrame, known: DataFrame | None = None, params: Params = Pa
     readable = files.where(F.col("route").isin("html", "word", "text", "pdf"))
     fresh = written(extract.extracted(new_files(readable, known)).join(files.select("path", "file_hash", "route", "content_type"), "path"), "extracted")
     docs = fresh.withColumn("document_id", T.uuid5(F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), F.col("file_hash"))).withColumn("filename", F.regexp_extract("path", r"[^/\\]*$", 0))
-    chunks = chunking.indexed(chunking.chunked(chunking.normalized_blocks(docs, "document_id"), "document_id", params.max_chunk, params.min_chunk), "document_id")
+    chunks = chunking.chunked(docs, "document_id", "blocks", params.max_chunk, params.min_chunk, searched_only=True)
     chunks = chunks.join(docs.select("document_id", "filename"), "document_id").withColumn("vector_id", point_id(F.col("document_id"), F.col("filename"), F.col("chunk_index")))
     chunks = written(embedded(chunks.drop("filename"), embed or hashing_embedder(params.vector_size), batch=params.embed_batch), "chunks")
     size = chunking.document_stats(chunks, "document_id")
     documents = docs.join(size, "document_id").select("document_id", "filename", F.col("path").alias("source_path"), "file_hash", "content_type", F.col("route").alias("source_type"), F.lit("ingested").alias("status"), "text_length", "chunk_count", "title", "breadcrumbs")
     links = docs.join(size.select("document_id"), "document_id").select(F.col("document_id").alias("source_document_id"), F.col("path").alias("source_path"), F.explode("links").alias("l")).select("source_document_id", F.col("l.text").alias("link_text"), F.col("l.href").alias("href"), target_path(F.col("source_path"), F.col("l.href")).alias("target_path"), F.lit(None).cast("string").alias("target_document_id"))
-    links = resolved_links(links, documents).drop("newly_resolved")
+    links = written(resolved_links(links, documents), "links")
+    pictures = files.where("route = 'image'")
+    sized = written(pictures.select("path", "file_hash", "content_type").join(images.with_dimensions(pictures), "path"), "pictures")
+    refs = docs.join(size.select("document_id"), "document_id").select("document_id", F.col("path").alias("source_path"), F.explode("images").alias("i")).select("document_id", "source_path", "i.src")
+    assets = written(image_assets(refs, sized, root), "images")
     seen = files.groupBy().agg(F.count("*").alias("total_files"), *[F.count_if(F.col("route") == r).alias(f"route_{r}") for r in ("html", "word", "text", "pdf", "image", "ignored", "unsupported")])
-    read = fresh.agg(F.count("*").alias("files_read"), F.count_if(F.col("error").isNotNull()).alias("failed_files"))
-    done = documents.agg(F.count("*").alias("documents_ingested"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks_created"))
-    stats = seen.crossJoin(read).crossJoin(done)  # three single rows
+    read = fresh.agg(F.count("*").alias("files_read"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    done = documents.agg(F.count("*").alias("documents_ingested"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"))
+    shown = assets.agg(F.count("*").alias("images_stored"))
+    small = sized.agg(F.count_if(is_small_image(F.regexp_extract("path", r"[^/\\]*$", 0), F.col("width"), F.col("height"))).alias("images_skipped"))
+    found = links.agg(F.count_if("newly_resolved").alias("links_resolved"))
+    stats = reduce(DataFrame.crossJoin, [seen, read, done, shown, small, found])  # single rows
     supported = F.col("route_html") + F.col("route_word") + F.col("route_text") + F.col("route_pdf")
-    stats = stats.withColumn("skipped_duplicate", supported - F.col("files_read")).withColumn("skipped_empty", F.col("files_read") - F.col("failed_files") - F.col("documents_ingested"))
-    return Ingested(documents, chunks, links, stats)
+    stats = stats.withColumn("skipped_duplicate", supported - F.col("files_read")).withColumn("skipped_empty", F.col("files_read") - F.col("failed") - F.col("documents_ingested"))
+    stats = stats.withColumn("processed", F.col("total_files")).withColumn("indexed", F.col("documents_ingested")).withColumn("documents_skipped", F.col("skipped_duplicate") + F.col("skipped_empty")).withColumn("ignored", F.col("route_ignored") + F.col("route_unsupported"))
+    stats = stats.withColumn("batch_flushes", F.ceil(F.col("total_chunks") / params.embed_batch))
+    return Ingested(documents, chunks, links.drop("newly_resolved"), assets, stats)
 
 
 def ingest_folder(spark: SparkSession, folder: str, known: DataFrame | None = None, params: Params | None = None, embed: Callable | None = None) -> Ingested:
     """``ingest`` of a folder and those below it."""
     from docloom.sources.files import scan
 
-    return ingest(scan(spark, folder), known, params or Params.from_conf(spark), embed)
+    return ingest(scan(spark, folder), known, params or Params.from_conf(spark), embed, _uri(folder))
+
+
+def _uri(folder: str) -> str:
+    """A folder as the file source names the paths in it."""
+    return folder if "://" in folder or folder.startswith("file:") else "file:" + os.path.abspath(folder)
+
+
+def import_counters(documents: DataFrame, chunks: DataFrame, links: DataFrame, pictures: DataFrame, embed_batch: int = 256) -> DataFrame:
+    """One row with the counters of what the tables hold, as an import reports them.
+
+    Files recorded under a hash that an earlier path has are duplicates; ingested files without chunks are empty; rows sent
+    twice count once.
+    """
+    d = documents.select("document_id", "filename", "file_hash", "status", "content_type").distinct()
+    kind = route(F.col("filename"), F.col("content_type"))
+    has = chunks.where(~F.col("chunk_type").isin("empty", "navigation")).select("document_id", "vector_id").distinct().groupBy("document_id").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("filename", "document_id"))
+    d = d.join(has, "document_id", "left").withColumn("again", F.col("file_hash").isNotNull() & (first > 1)).withColumn("route", kind)
+    readable = F.col("route").isin("html", "word", "text", "pdf")
+    done = readable & ~F.col("again") & (F.col("status") == "ingested")
+    of_documents = d.agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("status") == "ingested").alias("processed"), F.count_if(readable & F.col("again")).alias("skipped_duplicate"), F.count_if(done & F.col("n").isNull()).alias("skipped_empty"),
+        F.count_if(done & F.col("n").isNotNull()).alias("documents_ingested"), F.count_if(F.col("route").isin("ignored", "unsupported")).alias("ignored"), F.coalesce(F.sum(F.when(done, F.col("n"))), F.lit(0)).alias("total_chunks"),
+    )
+    p = pictures.select("image_id", "filename", "width", "height").distinct()
+    small = is_small_image(F.col("filename"), F.col("width"), F.col("height"))
+    of_pictures = p.agg(F.count_if(~small).alias("images_stored"), F.count_if(small).alias("images_skipped"))
+    found = resolved_links(links.distinct(), documents).agg(F.count_if("newly_resolved").alias("links_resolved"))
+    out = of_documents.crossJoin(of_pictures).crossJoin(found)  # single rows
+    return out.withColumn("documents_skipped", F.col("skipped_duplicate") + F.col("skipped_empty")).withColumn("batch_flushes", F.ceil(F.col("total_chunks") / embed_batch))
 
 
 def import_stats(documents: DataFrame) -> DataFrame:

@@ -12,46 +12,49 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import dedupe, ranking
 from docloom.params import Params
-from docloom.storage import by_key, spread
+from docloom.storage import spread, written
 
 #: Query vectors that one block holds.
 BLOCK = 4096
 
 
 def corpus(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with file name, path and title of their document; rows sent twice count once."""
+    """Chunks with file name, path and title of their document; rows sent twice count once.
+
+    Of rows that share their id but differ, one whole row stays, chosen by a hash of it, so no row is put together from two.
+    """
+    one = lambda df, key, columns: df.groupBy(key).agg(F.max_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select(key, "r.*")
     d = documents.select("document_id", "filename", "source_path", F.get_json_object("doc_metadata", "$.title").alias("title"))
-    d = d.groupBy("document_id").agg(*[F.min(c).alias(c) for c in ("filename", "source_path", "title")])
-    c = by_key(chunks.select("document_id", "vector_id", "chunk_index", "heading", "content", "chunk_type"), "vector_id")
-    c = c.groupBy("vector_id").agg(*[F.min(x).alias(x) for x in ("document_id", "chunk_index", "heading", "content", "chunk_type")])
-    return c.join(d, "document_id")
+    d = one(d, "document_id", ["filename", "source_path", "title"])
+    return one(chunks, "vector_id", ["document_id", "chunk_index", "heading", "content", "chunk_type"]).join(d, "document_id")
 
 
-def keyword_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, vector_id): chunks of ``corpus`` in which a term of a question stands, in any field, as part of any word.
+def keyword_ranks(questions: DataFrame, chunks: DataFrame, k: int = 80) -> DataFrame:
+    """(query_id, vector_id, rank): the first ``k`` chunks of ``corpus``, by document and place, in which a term of the question stands.
 
-    Terms have no blanks, so each lies within one blank-separated word. The distinct words of the corpus meet the terms in
-    their first three characters and are checked as a whole; chunks join the words that passed. Nothing is compared with
-    every chunk.
+    A term stands in a chunk if it is part of any word of any field; terms have no blanks, so each lies within one
+    blank-separated word. Every word keeps its first ``k`` chunks, taken in each task before the shuffle: the first ``k``
+    chunks of a question are among those of the words that hold one of its terms. Words meet the terms in their first three
+    characters. Nothing is compared with every chunk, and no list grows with the chunks that a word stands in. Questions
+    without terms have no rows.
     """
+    place = ["document_id", "chunk_index", "vector_id"]
     terms = questions.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
     fields = F.concat_ws(" ", "content", "heading", "filename", "source_path", "title")
-    posted = chunks.select("vector_id", F.explode(F.array_distinct(F.split(F.lower(fields), T.SPACE + "+"))).alias("word")).where("length(word) >= 3")
+    posted = chunks.select(*place, F.explode(F.array_distinct(F.split(F.lower(fields), T.SPACE + "+"))).alias("word")).where("length(word) >= 3")
+    first = posted.withColumn("_n", F.row_number().over(Window.partitionBy("word").orderBy(*place))).where(F.col("_n") <= k).drop("_n")
+    first = written(first, "postings")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3))))
-    vocabulary = posted.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    vocabulary = first.select("word").distinct().select("word", F.explode(grams).alias("gram"))
     hit = vocabulary.join(terms.select("query_id", "term", F.substring("term", 1, 3).alias("gram")), "gram").where(F.contains(F.col("word"), F.col("term")))
-    return posted.join(hit.select("query_id", "word").distinct(), "word").select("query_id", "vector_id").distinct()
+    found = first.join(hit.select("query_id", "word").distinct(), "word").select("query_id", *place).distinct()
+    order = Window.partitionBy("query_id").orderBy(*place)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vector_id", "rank")
 
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 80, score: float = 0.45) -> DataFrame:
-    """The first ``k`` matching chunks of each question by document and place, all with the same score.
-
-    Questions without terms have none.
-    """
-    order = Window.partitionBy("query_id").orderBy("document_id", "chunk_index", "vector_id")
-    slim = keyword_matches(questions, chunks).join(chunks.select("vector_id", "document_id", "chunk_index"), "vector_id")
-    first = slim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return first.select("query_id", "vector_id", "rank").join(chunks, "vector_id").withColumn("score", F.lit(score)).withColumn("retrieval_type", F.lit("keyword"))
+    """``keyword_ranks`` with the chunks' columns, all with the same score."""
+    return keyword_ranks(questions, chunks, k).join(chunks, "vector_id").withColumn("score", F.lit(score)).withColumn("retrieval_type", F.lit("keyword"))
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 80, query_col: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -62,8 +65,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 80, query_col:
     query's or not finite have no cosine. Rows sent twice count once.
     """
     q = queries.where(f"{query_col} IS NOT NULL AND size({vector_col}) > 0").select(F.col(query_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["query_id"])
-    n = q.count()
-    blocks = -(-n // block) or 1
+    q = written(q, "query-vectors")  # read once for each block
+    blocks = -(-q.count() // block) or 1
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     id_type = vectors.schema[id_col].dataType.simpleString()
     rows = spread(vectors.where(f"{id_col} IS NOT NULL AND size({vector_col}) > 0").select(id_col, F.col(vector_col).cast("array<double>").alias("v")))

@@ -41,17 +41,24 @@ def with_cells(vectors: DataFrame, centers: np.ndarray, probes: int = 1, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for batch in batches:
-            keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(c) and len(v) == c.shape[1] and any(v)]
-            if not keep:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            keep = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & (sizes == c.shape[1])) if len(c) else np.zeros(0, dtype=int)
+            if not len(keep):
+                continue
+            values = lists.values.to_numpy(zero_copy_only=False)
+            x = values[lists.offsets.to_numpy()[:-1][keep][:, None] + np.arange(c.shape[1])[None, :]]
+            norm = np.linalg.norm(x, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            keep, x = keep[good], x[good] / norm[good, None]
+            if not len(keep):
                 continue
-            x = np.array([batch.column(1)[i].as_py() for i in keep])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
             k = min(probes, len(c))
             near = np.argpartition(-(x @ c.T), k - 1, axis=1)[:, :k]
             at = np.repeat(np.arange(len(keep)), k)
             flat = x[at]
             ends = np.arange(len(flat) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(keep)[at])), pa.array(near.reshape(-1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1)))], [id_col, "cell", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep[at])), pa.array(near.reshape(-1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1)))], [id_col, "cell", "v"])
 
     return spread(vectors.where(f"{id_col} IS NOT NULL").select(id_col, F.col(vector_col).cast("array<double>").alias("v"))).mapInArrow(run, f"{id_col} {kind}, cell int, v array<double>")
 

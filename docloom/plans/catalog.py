@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, chunking, dedupe, ingestion, jobs, ranking, search, vector_index
+from docloom.operators import answers, chunking, dedupe, diagnostics, ingestion, jobs, ranking, search, vector_index
 from docloom.plans import sql
 from docloom.sources import files, markdown
-from docloom.storage import by_key, spread, table, written
+from docloom.storage import spread, table, written
 from docloom.streaming import ingest as streams
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return by_key(table(spark, sf_dir, "retrieved_chunks").where("query_id IS NOT NULL"), "query_id").dropDuplicates(["query_id", "hit_id"])
+    """The different rows of the candidates, as a table: what follows reads it several times."""
+    hits = table(spark, sf_dir, "retrieved_chunks").where("query_id IS NOT NULL")
+    return written(hits.withColumn("_row", F.xxhash64(*hits.columns)).dropDuplicates(["query_id", "hit_id", "_row"]).drop("_row"), "hits")
 
 
 def _questions(hits: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def line_kinds(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    return search.keyword_search(_titles(spark, sf_dir), _corpus(spark, sf_dir)).select("query_id", "vector_id", "rank")
+    return search.keyword_ranks(_titles(spark, sf_dir), _corpus(spark, sf_dir))
 
 
 def merge_hits(spark, sf_dir):
@@ -121,13 +123,23 @@ def near_duplicate_groups(spark, sf_dir):
 
 def _final(spark, sf_dir):
     hits = _hits(spark, sf_dir)
-    return search.retrieve(hits, _questions(hits)), _questions(hits)
+    questions = written(_questions(hits), "questions")
+    return written(search.retrieve(hits, questions), "final"), questions
 
 
 def retrieve_final(spark, sf_dir):
     return _final(spark, sf_dir)[0].select("query_id", "final_rank", "hit_id", "score", "ranking_reason")
 
 
+def retrieval_diagnostics(spark, sf_dir):
+    """A row for each candidate and stage of retrieval; of the boosts their sum."""
+    hits = _hits(spark, sf_dir)
+    _, rows, _ = diagnostics.diagnosed(hits, written(_questions(hits), "questions"))
+    boosts = sum((F.col(f"metadata_boosts.{b}") for b in ranking.BOOSTS[1:]), F.col(f"metadata_boosts.{ranking.BOOSTS[0]}"))
+    plain = [c for c in diagnostics.FIELDS if c != "metadata_boosts"]
+    return rows.select("query_id", "seq", "stage", *plain, F.round(boosts, 6).alias("boost"), F.col("duplicate_of.source_file").alias("duplicate_of_file"), F.col("duplicate_of.chunk_index").alias("duplicate_of_chunk"), F.round("similarity", 6).alias("similarity"))
+
+
 def answer_contexts(spark, sf_dir):
     return answers.contexts(_final(spark, sf_dir)[0])
 
@@ -154,12 +166,12 @@ def vector_status(spark, sf_dir):
 
 
 def vector_index_recall(spark, sf_dir):
-    """The recall of the index against the exact neighbours of the query set."""
+    """(queries, reached): whether the index finds at least 0.9 of the exact neighbours of the query set."""
     v = table(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     centers = vector_index.centers_of(v, cells=16)
     found = vector_index.search(queries, written(vector_index.with_cells(v, centers), "cells"), centers, k=10, probes=10)
-    return vector_index.recall(found, search.vector_top_k(queries, v, k=10))
+    return vector_index.recall(found, search.vector_top_k(queries, v, k=10)).select("queries", (F.col("recall") >= 0.9).alias("reached"))
 
 
 def deleted_documents(spark, sf_dir):
@@ -250,17 +262,28 @@ def import_stats(spark, sf_dir):
     return ingestion.import_stats(table(spark, sf_dir, "source_documents"))
 
 
+def import_counters(spark, sf_dir):
+    return ingestion.import_counters(*(table(spark, sf_dir, n) for n in ("source_documents", "document_chunks", "document_links", "image_assets")))
+
+
+def asset_paths(spark, sf_dir):
+    """The local paths that links lead to, with dots resolved, for those that stay within the folder."""
+    d = table(spark, sf_dir, "source_documents").groupBy("document_id").agg(F.min("source_path").alias("source_path"))
+    links = table(spark, sf_dir, "document_links").join(d, F.col("source_document_id") == F.col("document_id"), "left")
+    return links.select("link_id", ingestion.local_asset_path(F.col("source_path"), F.col("href"), F.lit("")).alias("path")).where("path IS NOT NULL").distinct()
+
+
 def chunk_documents(spark, sf_dir):
-    return chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.chunk_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def markdown_blocks(spark, sf_dir):
-    return markdown.blocks(table(spark, sf_dir, "documents").select("doc_id", "text", "title"))
+    return markdown.blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "title")))
 
 
 def markdown_chunks(spark, sf_dir):
-    blocks = markdown.as_chunk_blocks(markdown.blocks(table(spark, sf_dir, "documents").select("doc_id", "text", "title")))
-    return chunking.indexed(chunking.chunked(chunking.normalized_blocks(blocks)))
+    lists = markdown.block_lists(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "title")))
+    return chunking.chunked(markdown.as_chunk_blocks(lists), searched_only=True)
 
 
 def front_matter(spark, sf_dir):
@@ -300,9 +323,9 @@ def entry(spark, sf_dir) -> DataFrame:
 def queries():
     all_ = (
         sanitize_text, normalize_text, query_terms, query_phrases, context_terms, classify_chunk_type, fallback_language, line_kinds, keyword_search, merge_hits, merge_diagnostics,
-        metadata_filter, min_score, rank_boosts, rank_topk, rerank_topn, shingle_counts, shingle_pairs, near_duplicate_groups, retrieve_final, answer_contexts, answer_prompts, answer_facts,
+        metadata_filter, min_score, rank_boosts, rank_topk, rerank_topn, shingle_counts, shingle_pairs, near_duplicate_groups, retrieve_final, retrieval_diagnostics, answer_contexts, answer_prompts, answer_facts,
         retrieval_answers, vector_topk, vector_status, vector_index_recall, deleted_documents, sanitize_metadata, hybrid_search, upsert_points, route_files, route_counts, route_samples, new_files, resolve_links, link_targets, image_filter, new_images,
-        point_ids, document_stats, import_stats, chunk_documents, markdown_blocks, markdown_chunks, front_matter, sentences, jobs_latest, jobs_listed, jobs_progress, event_windows, event_sessions,
+        point_ids, document_stats, import_stats, import_counters, asset_paths, chunk_documents, markdown_blocks, markdown_chunks, front_matter, sentences, jobs_latest, jobs_listed, jobs_progress, event_windows, event_sessions,
     )
     return {f.__name__: f for f in all_}
 

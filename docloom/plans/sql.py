@@ -2,88 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import NAVIGATION_HINTS, NAVIGATION_WORDS, PROCEDURE_HINTS, REFERENCE_HINTS, STOPWORDS
+from docloom.functions.text import NAVIGATION_WORDS, STOPWORDS
 from docloom.operators.ranking import BOOSTS, GENERIC_TERMS, LOW_VALUE_TYPES, PREFERRED_TYPES, UNREQUESTED_MARKERS
-from docloom.sources.files import ICON_WORDS, ROUTES, TYPES
-
-PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def lst(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def squeeze(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
-
-
-def sanitize(x: str) -> str:
-    x = rf"regexp_replace(coalesce({x}, ''), '[^\P{{C}}\t\n\r]', ' ', 'g')"
-    x = rf"regexp_replace({x}, '[ \t\f\v]+', ' ', 'g')"
-    x = rf"regexp_replace({x}, ' *\r?\n *', chr(10), 'g')"
-    x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return rf"regexp_replace(regexp_replace({x}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')"
-
-
-def unlink(x: str) -> str:
-    x = rf"regexp_replace({x}, '!\[([^\]]*)\]\([^)]+\)', '\1', 'g')"
-    x = rf"regexp_replace({x}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
-    return rf"regexp_replace({x}, '\[([^\]]+)\]', '\1', 'g')"
-
-
-def plain(x: str) -> str:
-    return squeeze(f"translate({x}, '{PUNCTUATION}', '{' ' * 32}')")
-
-
-def normalize(x: str) -> str:
-    return plain(unlink(f"lower({sanitize(x)})"))
-
-
-def tokens(x: str) -> str:
-    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
-
-
-def ordered_distinct(x: str) -> str:
-    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
-
-
-def query_terms(x: str, stop: bool = True) -> str:
-    raw = f"string_split({squeeze(f'''replace(lower({sanitize(x)}), '/', ' ')''')}, ' ')"
-    terms = rf"list_transform({raw}, lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}_\-]', '', 'g'))"
-    return f"list_filter({terms}, lambda t: length(t) >= 3" + (f" AND NOT list_contains({lst(STOPWORDS)}, t))" if stop else ")")
-
-
-def context_terms(x: str) -> str:
-    raw = rf"list_transform(string_split({squeeze(sanitize(x))}, ' '), lambda t: regexp_replace(regexp_replace(t, '^[!-/:-@\[-`{{-~]+', ''), '[!-/:-@\[-`{{-~]+$', ''))"
-    parts = rf"flatten(list_transform({raw}, lambda t: regexp_split_to_array(t, '[/\\|]+')))"
-    clean = rf"list_transform({parts}, lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}_\-]', '', 'g'))"
-    kept = rf"list_filter({clean}, lambda t: length(t) >= 2 AND regexp_matches(t, '\p{{L}}') AND ((upper(t) = t AND regexp_matches(t, '\p{{Lu}}')) OR regexp_matches(t, '\p{{N}}')))"
-    return f"list_transform({kept}, lambda t: lower(t))"
-
-
-def chunk_type(x: str, tag: str) -> str:
-    has = lambda hints: " OR ".join(f"contains(lower(s), '{h}')" for h in hints)
-    return f"""CASE WHEN s = '' THEN 'empty'
-    WHEN starts_with(lower(s), '![') OR regexp_matches(lower(s), '\\.(gif|jpg|png)\\)$') OR (length(s) - length(replace(s, '>', '')) >= 2 AND length(s) < 200) THEN 'navigation'
-    WHEN {tag} = 'table' THEN 'table'
-    WHEN length(s) < 80 AND ({has(NAVIGATION_HINTS)}) THEN 'navigation'
-    WHEN {has(PROCEDURE_HINTS)} THEN 'procedure' WHEN {has(REFERENCE_HINTS)} THEN 'reference' ELSE 'content' END"""
-
-
-def route(path: str, kind: str) -> str:
-    ext = rf"coalesce(lower(regexp_extract(regexp_extract({path}, '[^/\\]*$', 0), '[^.](\.[^.]*)$', 1)), '')"
-    types = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in TYPES.items()) + "}"
-    mime = f"coalesce({kind}, {types}[{ext}], '')"
-    out = "CASE"
-    for name, extensions, mimes, prefix in ROUTES:
-        test = f"list_contains({lst(extensions)}, {ext})"
-        if mimes:
-            test += f" OR list_contains({lst(mimes)}, {mime})"
-        if prefix:
-            test += f" OR starts_with({mime}, '{prefix}')"
-        out += f" WHEN {test} THEN '{name}'"
-    return out + " ELSE 'unsupported' END"
-
+from docloom.plans import sql_documents, sql_retrieval
+from docloom.plans.sql_text import chunk_type, context_terms, lst, normalize, ordered_distinct, plain, query_terms, route, sanitize, squeeze, tokens, unlink
+from docloom.sources.files import ICON_WORDS
 
 HITS = "hits AS (SELECT DISTINCT * FROM retrieved_chunks WHERE query_id IS NOT NULL)"
 QUESTIONS = "questions AS (SELECT query_id, arg_min(document, seq) AS question FROM hits WHERE document IS NOT NULL GROUP BY query_id)"
@@ -168,6 +91,7 @@ SELECT query_id, seq, other_seq, round(CASE WHEN least(na, nb) / greatest(na, nb
         "vector_topk": """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(q.e, v.e) AS cosine FROM q, v)
 SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS n FROM s) WHERE n <= 80""",
+        "vector_index_recall": "SELECT count(DISTINCT vec_id) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0 AND len(embedding) > 0",
         "vector_status": "SELECT count(DISTINCT vec_id) AS points, CAST(coalesce(max(len(embedding)), 0) AS INTEGER) AS vector_size FROM embeddings",
         "upsert_points": """WITH t AS (SELECT quantile_disc(created_at, 0.5) AS cut FROM document_chunks), r AS (SELECT DISTINCT vector_id, document_id, chunk_index, char_count, created_at FROM document_chunks WHERE vector_id IS NOT NULL)
 SELECT vector_id, document_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN char_count + 1 ELSE char_count END AS char_count FROM r""",
@@ -185,6 +109,14 @@ FROM (SELECT l.link_id, l.href, d.source_path, regexp_replace(l.href, '#.*$', ''
         "new_images": "SELECT DISTINCT image_id FROM image_assets i WHERE status <> 'stored' AND NOT EXISTS (SELECT 1 FROM image_assets k WHERE k.status = 'stored' AND k.file_hash IS NOT DISTINCT FROM i.file_hash AND k.path IS NOT DISTINCT FROM i.path AND k.referenced_by_document_id IS NOT DISTINCT FROM i.referenced_by_document_id)",
         "document_stats": "SELECT document_id, CAST(sum(length(content)) AS INTEGER) AS text_length, CAST(count(*) AS INTEGER) AS chunk_count FROM (SELECT DISTINCT vector_id, document_id, content FROM document_chunks WHERE chunk_type NOT IN ('empty', 'navigation')) GROUP BY document_id",
         "import_stats": "SELECT source_type, count(*) AS documents, sum(coalesce(chunk_count, 0))::BIGINT AS chunks, sum(coalesce(text_length, 0))::BIGINT AS text_length, count(*) FILTER (status = 'processing') AS processing FROM (SELECT DISTINCT document_id, source_type, status, chunk_count, text_length FROM source_documents) GROUP BY source_type",
+        "import_counters": f"""WITH d AS (SELECT DISTINCT document_id, filename, file_hash, status, content_type FROM source_documents),
+n AS (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT document_id, vector_id FROM document_chunks WHERE chunk_type NOT IN ('empty', 'navigation')) GROUP BY document_id),
+k AS (SELECT d.*, n.n, file_hash IS NOT NULL AND row_number() OVER (PARTITION BY file_hash ORDER BY filename, d.document_id) > 1 AS again, {route('filename', 'content_type')} AS route FROM d LEFT JOIN n USING (document_id)),
+c AS (SELECT *, route IN ('html', 'word', 'text', 'pdf') AS readable, route IN ('html', 'word', 'text', 'pdf') AND NOT again AND status = 'ingested' AS done FROM k),
+a AS (SELECT count(*) AS total_files, count(*) FILTER (status = 'ingested') AS processed, count(*) FILTER (readable AND again) AS skipped_duplicate, count(*) FILTER (done AND n IS NULL) AS skipped_empty, count(*) FILTER (done AND n IS NOT NULL) AS documents_ingested, count(*) FILTER (route IN ('ignored', 'unsupported')) AS ignored, coalesce(sum(CASE WHEN done THEN n END), 0)::BIGINT AS total_chunks FROM c),
+i AS (SELECT count(*) FILTER (NOT small) AS images_stored, count(*) FILTER (small) AS images_skipped FROM (SELECT (regexp_matches(lower(coalesce(filename, '')), '{'|'.join(ICON_WORDS)}') OR coalesce(width <= 32 AND height <= 32, false)) AS small FROM (SELECT DISTINCT image_id, filename, width, height FROM image_assets))),
+l AS (SELECT count(*) AS links_resolved FROM (SELECT DISTINCT * FROM document_links) x WHERE target_document_id IS NULL AND coalesce(target_path, '') <> '' AND target_path IN (SELECT source_path FROM source_documents WHERE source_path IS NOT NULL))
+SELECT *, skipped_duplicate + skipped_empty AS documents_skipped, ceil(total_chunks / 256)::BIGINT AS batch_flushes FROM a, i, l""",
         "jobs_latest": f"WITH {LATEST_JOBS} SELECT id, status, processed_files, failed_files, updated_at FROM jobs",
         "jobs_listed": f"WITH {LATEST_JOBS} SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 50",
         "jobs_progress": f"WITH {LATEST_JOBS} SELECT status, count(*) AS jobs, sum(coalesce(total_files, 0))::BIGINT AS total_files, sum(coalesce(processed_files, 0))::BIGINT AS processed_files, sum(coalesce(failed_files, 0))::BIGINT AS failed_files, sum(epoch(date_trunc('second', finished_at))::BIGINT - epoch(date_trunc('second', started_at))::BIGINT)::BIGINT AS seconds FROM jobs GROUP BY status",
@@ -198,4 +130,9 @@ SELECT DISTINCT link_id, source_document_id, CASE WHEN target_document_id IN (SE
         "sanitize_metadata": f"SELECT DISTINCT vector_id, {sanitize('e.key')} AS key, CASE WHEN e.value IS NOT NULL THEN {sanitize('e.value')} END AS value FROM (SELECT vector_id, unnest(map_entries(chunk_metadata)) AS e FROM document_chunks)",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     }
-    return out
+    # dots as a recursion: a step with .. takes the one before it away
+    out["asset_paths"] = f"""WITH RECURSIVE targets AS ({out["link_targets"]}),
+steps AS (SELECT link_id, string_split(target, '/') AS p, 1 AS i, []::VARCHAR[] AS kept FROM targets WHERE target IS NOT NULL AND NOT regexp_matches(target, '^(?:\\./)*\\.\\.(?:/|$)')
+  UNION ALL SELECT link_id, p, i + 1, CASE WHEN p[i] = '.' THEN kept WHEN p[i] = '..' THEN kept[1:len(kept) - 1] ELSE list_append(kept, p[i]) END FROM steps WHERE i <= len(p))
+SELECT DISTINCT link_id, array_to_string(kept, '/') AS path FROM steps WHERE i > len(p)"""
+    return out | sql_documents.oracle_sql() | sql_retrieval.oracle_sql(RANKED, BODY, SHINGLES)

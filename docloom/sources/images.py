@@ -1,4 +1,4 @@
-"""Sizes of images from the first bytes of their files."""
+"""Sizes of images from the headers of their files."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def dimensions(head: bytes) -> tuple[int | None, int | None]:
-    """(width, height) of a PNG, GIF, BMP or JPEG; (None, None) for anything else or a broken file."""
+    """(width, height) of a PNG, GIF, BMP or JPEG; (None, None) for anything else or a broken file.
+
+    The segments of a JPEG are followed to its frame, however far behind its metadata that stands.
+    """
     try:
         if head[:8] == b"\x89PNG\r\n\x1a\n":
             return struct.unpack(">II", head[16:24])
@@ -33,12 +36,12 @@ def dimensions(head: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-def with_dimensions(files: DataFrame, first_bytes: int = 1 << 20) -> DataFrame:
-    """(path, width, height) of files (path, content); only the first bytes of each are sent to Python."""
+def with_dimensions(files: DataFrame) -> DataFrame:
+    """(path, width, height) of files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [dimensions(c or b"") for c in batch.column(1).to_pylist()]
+            sizes = [dimensions(memoryview(c.as_buffer()).cast("B") if c.is_valid else b"") for c in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([s[i] for s in sizes], pa.int32()) for i in (0, 1)]], ["path", "width", "height"])
 
-    return files.select("path", F.substring("content", 1, first_bytes).alias("content")).mapInArrow(run, "path string, width int, height int")
+    return files.select("path", "content").mapInArrow(run, "path string, width int, height int")

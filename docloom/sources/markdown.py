@@ -1,17 +1,25 @@
-"""Markdown as typed blocks, line by line with window functions."""
+"""Markdown as typed blocks. A text is one row: its lines are read as an array, so nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from docloom.functions import text as T
-from docloom.storage import by_key
 
+#: What tells tables, fences and navigation apart.
 SEPARATOR = r"^\s*\|?\s*:?-{3,}"
 RULE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 FRONT = r"(?s)\A---\n(.*?\n)?[ \t]*---[ \t]*(?:\n|\z)"
 NAVIGATION = "previous next printer print welcome contents".split()
+HEADING = r"^#{1,6}\s+(.+)$"
+#: Characters of a table that don't count for its length, and the length below which one with navigation words is navigation.
+TABLE_MARKS = r"[|\-:\s\[\]()_./]+"
+NAVIGATION_CHARS = 80
 
 
 def unix_lines(text: Column) -> Column:
@@ -69,40 +77,88 @@ def is_breadcrumb_only(line: Column) -> Column:
     return F.contains(line, F.lit(">")) & (F.regexp_count(line, F.lit(r"\[[^\]]+]\([^)]+\)|\[[^\]]+]")) >= 2) & (F.trim(F.translate(plain, ">", "")) == "")
 
 
-def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
-    """(id_col, block_no, text, heading, kind) of markdown texts; ``kind`` is title, heading, table or paragraph.
+def lines_of(text: Column) -> Column:
+    """The lines of a text after its front matter, without image and breadcrumb lines, as structs.
+
+    ``line`` is sanitized, ``head`` the text of a heading or null; for lines with a bar ``row`` has their cells (null without
+    any), ``bare`` their lower case without marks, ``rule`` tells whether a table's head stands above.
+    """
+    raw = F.split(F.regexp_replace(unix_lines(text), FRONT, ""), "\n", -1)
+
+    def read(r):
+        return T.let(T.sanitize(r), lambda x: parts(r, x))
+
+    def parts(r, x):
+        bar = F.contains(r, F.lit("|"))
+        cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim(r), r"^\|+|\|+$", ""), r"\|"), T.sanitize), lambda c: c != "")
+        row = T.let(cells, lambda c: F.when(~r.rlike(RULE) & (F.size(c) > 0), F.array_join(c, " | ")))
+        return F.struct(
+            (T.is_image_line(x) | is_breadcrumb_only(x)).alias("skip"), x.alias("line"), F.nullif(T.sanitize(F.regexp_extract(x, HEADING, 1)), F.lit("")).alias("head"),
+            bar.alias("bar"), F.when(bar, row).alias("row"), F.when(bar, F.lower(r)).alias("low"), r.rlike(SEPARATOR).alias("rule"),
+        )
+
+    return F.filter(F.transform(raw, read), lambda x: ~x["skip"])
+
+
+def grouped(lines: list[dict], title: str | None) -> list[dict]:
+    """Blocks (block_no, text, heading, kind) of the lines of one text.
 
-    Image lines, breadcrumb lines and tables of navigation are left out. A document without a title has no title block.
-    Null texts give no rows. Rows with the same id are one document.
+    A table begins with a line with a bar above a rule and goes on as long as lines have bars. Lines of one kind are one
+    block; a heading is a block of its own and names those after it.
     """
-    body = F.regexp_replace(unix_lines(F.col(text_col)), FRONT, "")
-    whole = by_key(documents.where(F.col(text_col).isNotNull()).select(id_col, title_col, text_col), id_col)
-    lines = whole.select(id_col, title_col, F.posexplode(F.split(body, "\n", -1)).alias("n", "raw")).withColumn("line", T.sanitize(F.col("raw")))
-    lines = lines.where(~T.is_image_line(F.col("line")) & ~is_breadcrumb_only(F.col("line")))
-    order = Window.partitionBy(id_col).orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pipe = F.contains(F.col("raw"), F.lit("|"))
-    lines = lines.withColumn("pipe", pipe).withColumn("run", F.sum(F.when(pipe, 0).otherwise(1)).over(upto)).withColumn("starts", pipe & F.coalesce(F.lead("raw").over(order).rlike(SEPARATOR), F.lit(False)))
-    in_run = Window.partitionBy(id_col, "run").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("table", F.col("pipe") & (F.max(F.col("starts").cast("int")).over(in_run) == 1))
-    head = F.when(~F.col("table"), F.nullif(T.sanitize(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)), F.lit("")))
-    lines = lines.withColumn("head", head).withColumn("kind", F.when(F.col("table"), "table").when(F.col("head").isNotNull(), "heading").when(F.col("line") == "", "blank").otherwise("paragraph"))
-    new = F.when((F.col("kind") == "heading") | ~F.col("kind").eqNullSafe(F.lag("kind").over(order)), 1).otherwise(0)
-    lines = lines.withColumn("block_no", F.sum(new).over(upto)).withColumn("heading", F.coalesce(F.last("head", ignorenulls=True).over(upto), F.col(title_col)))
-    cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\|+|\|+$", ""), r"\|"), T.sanitize), lambda c: c != "")
-    row = F.when(F.col("raw").rlike(RULE) | (F.size(cells) == 0), F.lit(None)).otherwise(F.array_join(cells, " | "))
-    piece = F.when(F.col("kind") == "table", row).when(F.col("kind") == "heading", F.col("head")).otherwise(F.col("line"))
-    out = lines.where("kind <> 'blank'").groupBy(id_col, "block_no", "kind", "heading").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("t"), F.lower("raw").alias("low")))).alias("l"))
-    joined = lambda f: F.array_join(F.filter(F.transform("l", lambda x: x[f]), lambda t: t.isNotNull()), "\n")
-    low = joined("low")
-    navigation = (F.col("kind") == "table") & low.rlike("|".join(NAVIGATION)) & (F.length(F.regexp_replace(low, r"[|\-:\s\[\]()_./]+", "")) < 80)
-    out = out.where(~navigation).select(id_col, "block_no", T.sanitize(joined("t")).alias("text"), "heading", "kind").where("text <> ''")
-    titles = documents.where(F.col(text_col).isNotNull() & F.col(title_col).isNotNull()).select(id_col, F.lit(0).cast("bigint").alias("block_no"), T.sanitize(F.col(title_col)).alias("text"), F.col(title_col).alias("heading"), F.lit("title").alias("kind")).distinct()
-    return titles.unionByName(out)
-
-
-def as_chunk_blocks(blocks_: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, blocks) as the chunker takes them."""
-    block = F.struct("block_no", "text", F.when(F.col("kind").isin("title", "heading"), F.col("text")).otherwise(F.col("heading")).alias("heading"), F.when(F.col("kind").isin("title", "heading"), "heading 1").alias("style"), F.when(F.col("kind") == "table", "table").alias("html_tag"))
-    lists = blocks_.groupBy(id_col).agg(F.array_sort(F.collect_list(block)).alias("b"))
-    return lists.select(id_col, F.transform("b", lambda x: F.struct(x["text"].alias("text"), x["heading"].alias("heading"), x["style"].alias("style"), x["html_tag"].alias("html_tag"))).alias("blocks"))
+    out: list[dict] = []
+    number, before, heading, in_table = 0, None, title, False
+    for i, x in enumerate(lines):
+        in_table = x["bar"] and (in_table or (i + 1 < len(lines) and lines[i + 1]["rule"]))
+        kind = "table" if in_table else "heading" if x["head"] is not None else "blank" if x["line"] == "" else "paragraph"
+        if kind == "heading":
+            heading = x["head"]
+        if kind == "heading" or kind != before:
+            number += 1
+            out.append({"block_no": number, "parts": [], "low": [], "heading": heading, "kind": kind})
+        before = kind
+        out[-1]["parts"].append(x["row"] if kind == "table" else x["head"] if kind == "heading" else x["line"])
+        out[-1]["low"].append(x["low"])
+    return out
+
+
+def block_lists(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
+    """(id_col, md): the blocks (block_no, text, heading, kind) of each row's markdown text, in order.
+
+    ``kind`` is title, heading, table or paragraph. Image lines, breadcrumb lines and tables of navigation are left out. A
+    row without a title has no title block; a null text has no row.
+    """
+    given = documents.where(F.col(text_col).isNotNull()).select(id_col, F.col(title_col).alias("title"), lines_of(F.col(text_col)).alias("lines"))
+    fields = [("block_no", pa.int32()), ("text", pa.string()), ("low", pa.string()), ("heading", pa.string()), ("kind", pa.string())]
+    schema = ST.StructType([documents.schema[id_col], ST.StructField("title", ST.StringType()), ST.StructField("md", ST._parse_datatype_string("array<struct<block_no:int,text:string,low:string,heading:string,kind:string>>"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for title, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                blocks_ = [b for b in grouped(lines, title) if b["kind"] != "blank"]
+                lists.append([{**b, "text": "\n".join(x for x in b["parts"] if x is not None).strip(), "low": "\n".join(b["low"]) if b["kind"] == "table" else None} for b in blocks_])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{n: b[n] for n, _ in fields} for b in x] for x in lists], pa.list_(pa.struct(fields)))], [id_col, "title", "md"])
+
+    navigation = lambda b: F.coalesce(b["low"].rlike("|".join(NAVIGATION)) & (F.length(F.regexp_replace(b["low"], TABLE_MARKS, "")) < NAVIGATION_CHARS), F.lit(False))
+    kept = F.filter("md", lambda b: (b["text"] != "") & ~navigation(b))
+    plain = F.transform(kept, lambda b: F.struct(b["block_no"].alias("block_no"), b["text"].alias("text"), b["heading"].alias("heading"), b["kind"].alias("kind")))
+    first = F.struct(F.lit(0).alias("block_no"), T.sanitize(F.col("title")).alias("text"), F.col("title").alias("heading"), F.lit("title").alias("kind"))
+    titled = F.when(T.sanitize(F.col("title")) != "", F.concat(F.array(first), plain)).otherwise(plain)
+    return given.mapInArrow(fold, schema).select(id_col, titled.alias("md"))
+
+
+def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
+    """(id_col, block_no, text, heading, kind): one row for each block of ``block_lists``."""
+    return block_lists(documents, id_col, text_col, title_col).select(id_col, F.explode("md").alias("b")).select(id_col, "b.*")
+
+
+def as_chunk_blocks(lists: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, blocks) of ``block_lists`` as the chunker takes them."""
+
+    def one(b):
+        names = b["kind"].isin("title", "heading")
+        none = F.lit(None).cast("string")
+        return F.struct(b["text"].alias("text"), F.when(names, b["text"]).otherwise(b["heading"]).alias("heading"), F.when(names, "heading 1").otherwise(none).alias("style"), F.when(b["kind"] == "table", "table").otherwise(none).alias("html_tag"))
+
+    return lists.select(id_col, F.transform("md", one).alias("blocks"))

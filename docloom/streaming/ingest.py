@@ -16,7 +16,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def watch_folder(spark: SparkSession, folder: str, table_dir: str, checkpoint: str, params: Params | None = None, embed: Callable | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Ingest files as they appear under ``folder`` into the tables documents, chunks, links and stats of ``table_dir``.
+    """Ingest files as they appear under ``folder`` into the tables documents, chunks, links, images and stats of ``table_dir``.
 
     Each micro-batch skips contents that the documents table holds. A batch that is run again writes the same files under
     its number in place of the first try's, so nothing is counted twice. Default trigger: what is there now, then stop.
@@ -29,8 +29,8 @@ def watch_folder(spark: SparkSession, folder: str, table_dir: str, checkpoint: s
         known = _table(s, table_dir, "documents")
         if known is not None:
             known = known.where(F.col("batch") != number)
-        out = ingestion.ingest(with_route(batch.select("path", "length", "content")), known, params, embed)
-        for name in ("documents", "chunks", "links", "stats"):
+        out = ingestion.ingest(with_route(batch.select("path", "length", "content")), known, params, embed, ingestion._uri(folder))
+        for name in ("documents", "chunks", "links", "images", "stats"):
             getattr(out, name).write.mode("overwrite").parquet(f"{table_dir}/{name}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

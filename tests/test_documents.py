@@ -42,7 +42,7 @@ in two lines.
 | room rate | 10 |
 """
 HTML = b"""<html><head><title>Night  audit</title><style>x</style></head><body><nav><a href='n.htm'>Nav</a></nav><div class="breadcrumbs">Home &gt; Daily</div>
-<h1>Start</h1><p>Text with a <a href='sub/x.htm#top'>link</a> and <b>bold<p>Second one<ul><li>Item <li>Other</ul><img src="../img/p.png"><a href="mailto:x@y.z">mail</a>
+<h1>Start</h1><p>Text with a <a href='sub/x.htm#top'>link</a> and <b>bold<p>Second one<ul><li>Item <li>Other</ul><img src="sub/../p.png"><img src="icon.png"><img src="../out.png"><a href="mailto:x@y.z">mail</a>
 <table><tr><td>Name</td><td>Value</td></tr></table><script>var x;</script></body></html>"""
 
 
@@ -65,13 +65,27 @@ def model(blocks, limit, least):
     return out + ([("\n\n".join(buf), head)] if buf else [])
 
 
-def test_packing_agrees_with_the_rule(spark):
+def test_packing_agrees_with_the_rule():
     rng = random.Random(1)
-    docs = {d: [("w" * rng.choice([5, 30, 60, 130, 260]), rng.choice([None, "A", "B"])) for _ in range(rng.randint(1, 12))] for d in range(40)}
-    rows = [(d, i, t, h, None) for d, b in docs.items() for i, (t, h) in enumerate(b)]
-    got = chunking.chunked(spark.createDataFrame(rows, "doc_id bigint, block_no int, text string, heading string, html_tag string"), max_chars=100, min_chars=40).collect()
-    for d, b in docs.items():
-        assert [(r.content, r.heading) for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r.chunk_index)] == model(b, 100, 40)
+    for _ in range(200):
+        b = [("w" * rng.choice([5, 30, 60, 130, 260]), rng.choice([None, "A", "B"])) for _ in range(rng.randint(1, 12))]
+        given, name = [], None
+        for text, heading in b:
+            if heading != name and heading is None:
+                heading = name  # a heading holds until the next
+            if heading != name:
+                given.append({"text": heading, "name": heading, "html_tag": None})
+                name = heading
+            given.append({"text": text, "name": None, "html_tag": None})
+        carried, name = [], None
+        for g in given:
+            name = g["name"] or name
+            carried += [] if g["name"] else [(g["text"], name)]
+        assert [(c["content"], c["heading"]) for c in chunking.packed(given, 100, 40)] == model(carried, 100, 40)
+
+
+def no_shuffle(df):
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_chunks_of_texts(spark):
@@ -79,7 +93,7 @@ def test_chunks_of_texts(spark):
     got = {(r.doc_id, r.chunk_index): r for r in chunking.chunk_documents(df).collect()}
     assert set(got) == {(1, 0), (1, 1), (4, 0), (4, 1), (4, 2)}
     assert got[1, 0].content == "First words of it.\n\nSecond words of it." and got[1, 0].heading == "NIGHT AUDIT" and got[1, 1].heading == "OTHER"
-    assert chunking.chunk_documents(df.limit(0)).count() == 0
+    assert chunking.chunk_documents(df.where("doc_id > 9")).count() == 0 and no_shuffle(chunking.chunk_documents(df))
     stats = {r.doc_id: (r.text_length, r.chunk_count) for r in chunking.document_stats(chunking.chunk_documents(df)).collect()}
     assert stats[4] == (5000, 3)
 
@@ -93,7 +107,8 @@ def test_markdown(spark):
         ("title", "Night audit", "Night audit"), ("heading", "Start", "Start"), ("paragraph", "First paragraph of the text,\nin two lines.", "Start"), ("paragraph", "1. Open the screen\n2. Close it", "Start"),
         ("heading", "Values", "Values"), ("table", "name | value\nroom rate | 10", "Values"),
     ]
-    chunks = chunking.chunked(chunking.normalized_blocks(markdown.as_chunk_blocks(markdown.blocks(df))))
+    chunks = chunking.chunked(markdown.as_chunk_blocks(markdown.block_lists(df)))
+    assert no_shuffle(chunks) and no_shuffle(markdown.blocks(df))
     assert all(r.heading for r in chunks.where("doc_id = 'd'").collect())
     assert {r.chunk_type for r in chunks.where("html_tag = 'table'").collect()} == {"table"}
 
@@ -101,20 +116,50 @@ def test_markdown(spark):
 def test_html():
     page = extract.read_html(HTML, "daily/a.htm")
     assert page["title"] == "Night audit" and page["breadcrumbs"] == ["Home", "Daily"]
-    assert [b["text"] for b in page["blocks"]][:3] == ["Start", "Text with a link and bold", "Second one"] and "- Item" in [b["text"] for b in page["blocks"]]
+    texts = [b["text"] for b in page["blocks"]]
+    # the main heading comes first; the path is a block too, as it isn't among what is taken out of a page
+    assert texts[:5] == ["Start", "Home > Daily", "Start", "Text with a link (sub/x.htm#top) and bold", "Second one"] and "- Item" in texts
     assert {"text": "Name | Value", "heading": "Start", "style": None, "html_tag": "table"} in page["blocks"]
-    assert page["links"] == [{"href": "sub/x.htm#top", "text": "link"}] and page["images"] == ["../img/p.png"] or page["images"] == ["img/p.png"]
+    assert page["links"] == [{"href": "sub/x.htm#top", "text": "link"}] and [x["filename"] for x in page["images"]] == ["p.png", "icon.png", "out.png"]
+
+
+def test_html_chrome_root_and_assets():
+    repeated = "".join(f"<p>Paragraph number {i} of the page.</p>" for i in range(70)) + "<p>Paragraph number 0 of the page.</p>"
+    html = f"""<html><head><title>T</title><link rel=stylesheet href=b.CSS><link href=a.css><script src="s.js"></script><script src="s.js"></script></head><body>
+<div class="footer">foot</div><div id="nav">menu</div><span class="noprint">hidden</span><p><a href="p.htm">Print this page</a></p><p><a href="print.htm">x</a></p>
+<p>Outside the main part.</p><div id="Layer1"><p class="heading1">Main  heading</p><div><div>Inner text</div></div>{repeated}<ul><li>one</ul></div></body></html>""".encode()
+    page = extract.read_html(html, "d/x.htm")
+    texts = [b["text"] for b in page["blocks"]]
+    assert texts[0] == "Main heading" and page["blocks"][0]["style"] == "heading 1" and "Inner text" in texts and "- one" in texts
+    assert len([t for t in texts if t.startswith("Paragraph number 0 ")]) == 1 and len(texts) == len(set(texts)) + 1  # the heading is named first, then stands
+    assert not {"foot", "menu", "hidden", "Print this page", "Outside the main part."} & set(texts)
+    assert page["assets"] == ["a.css", "b.CSS", "s.js"] and page["links"] == []
+    other = extract.read_html(html.replace(b"Layer1", b"Other"), "d/x.htm")
+    assert "Outside the main part." in [b["text"] for b in other["blocks"]]
+    assert extract.read_html(b"<html><body>only <b>words</b></body></html>", "x.htm")["blocks"][0]["text"] == "only\n\nwords"
+    assert extract.read_html(b"", "x.htm")["blocks"] == []
 
 
 def docx(*paragraphs):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f'<w:p>{"<w:pPr><w:pStyle w:val=%r/></w:pPr>" % style if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>' for style, text in paragraphs).replace("'", '"')
+    body += "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell text</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("docProps/core.xml", '<cp:coreProperties xmlns:cp="c" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>Ann</dc:creator><dc:title>Word title</dc:title></cp:coreProperties>')
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
     return buffer.getvalue()
 
 
+def test_docx():
+    page = extract.read_docx(docx(("Heading1", "Part one"), (None, "A paragraph.")), "a.docx")
+    assert [b["text"] for b in page["blocks"]] == ["Part one", "A paragraph."] and page["title"] == "Word title"
+    assert page["properties"] == {"author": "Ann", "title": "Word title", "paragraph_count": "2"}
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (40).to_bytes(4, "big") + (50).to_bytes(4, "big")
+
+
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "sub").mkdir()
@@ -126,6 +171,8 @@ def folder(tmp_path):
     (tmp_path / "bad.docx").write_bytes(b"PK not a zip")
     (tmp_path / "e.doc").write_bytes(b"\xd0\xcf\x11Some printable words here\x00\x01\r\nok")
     (tmp_path / "empty.txt").write_bytes(b"  \n\n ")
+    (tmp_path / "p.png").write_bytes(PNG)
+    (tmp_path / "icon.png").write_bytes(PNG)
     (tmp_path / "s.zip").write_bytes(b"1")
     (tmp_path / "x.bin").write_bytes(b"1")
     return str(tmp_path)
@@ -137,9 +184,11 @@ def test_ingest(spark, folder):
     assert set(docs) == {"a.md", "b.html", "c.txt", "d.docx", "e.doc"}
     assert docs["a.md"].title == "Night audit" and docs["a.md"].breadcrumbs == ["Home", "Daily", "Audit"]
     s = out.stats.first()
-    assert (s.total_files, s.files_read, s.failed_files, s.documents_ingested, s.skipped_duplicate, s.skipped_empty, s.route_text, s.route_unsupported) == (10, 7, 1, 5, 1, 1, 4, 2)
+    assert (s.total_files, s.files_read, s.failed, s.documents_ingested, s.skipped_duplicate, s.skipped_empty, s.route_text, s.route_unsupported) == (12, 7, 1, 5, 1, 1, 4, 2)
+    assert (s.images_stored, s.images_skipped, s.documents_skipped, s.ignored, s.batch_flushes, s.links_resolved) == (1, 1, 2, 2, 1, 0)
+    assert [(r.filename, r.width, r.document_id) for r in out.images.collect()] == [("p.png", 40, docs["b.html"].document_id)]
     c = out.chunks.collect()
-    assert all(len(r.embedding) == 16 for r in c) and len({r.vector_id for r in c}) == len(c) == s.chunks_created
+    assert all(len(r.embedding) == 16 for r in c) and len({r.vector_id for r in c}) == len(c) == s.total_chunks
     a = next(r for r in c if r.document_id == docs["a.md"].document_id and r.chunk_index == 0)
     assert a.vector_id == str(uuid.uuid5(uuid.UUID(a.document_id), "a.md:0"))
     assert "Grüße" in next(r for r in c if r.document_id == docs["c.txt"].document_id).content

@@ -12,9 +12,10 @@ from docloom.sources import cases, images
 def test_image_sizes(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 40, 30)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 20, 10) + b"\0" * 12
-    rows = [("a", bytearray(png)), ("b", bytearray(b"GIF89a" + struct.pack("<HH", 7, 9))), ("c", bytearray(jpeg)), ("d", bytearray(b"x")), ("e", None), ("f", bytearray(png[:18]))]
+    late = b"\xff\xd8" + (b"\xff\xe1\xff\xff" + b"m" * 65533) * 20 + jpeg[8:]  # a frame behind 1.3 MB of metadata
+    rows = [("a", bytearray(png)), ("b", bytearray(b"GIF89a" + struct.pack("<HH", 7, 9))), ("c", bytearray(jpeg)), ("d", bytearray(b"x")), ("e", None), ("f", bytearray(png[:18])), ("g", bytearray(late))]
     got = {r.path: (r.width, r.height) for r in images.with_dimensions(spark.createDataFrame(rows, "path string, content binary")).collect()}
-    assert got == {"a": (40, 30), "b": (7, 9), "c": (10, 20), "d": (None, None), "e": (None, None), "f": (None, None)}
+    assert got == {"a": (40, 30), "b": (7, 9), "c": (10, 20), "d": (None, None), "e": (None, None), "f": (None, None), "g": (10, 20)}
 
 
 def test_index_recall(spark):
