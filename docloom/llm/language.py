@@ -9,6 +9,10 @@ A text belongs to the language that codes it shortest.
 Trees are trained on a bounded sample of the chunks whose metadata name a language (``SAMPLE`` a language). As labels are
 wrong in part and chunks mix languages, a first model, of whole chunks, relabels the sentences of the sample and the final
 model is trained on those.
+
+A text in a language that no tree was trained on is coded badly by all of them. What is usual is measured on the corpus
+itself: the median bits a byte of each language's passages. A passage that needs ``REJECT`` times as many is of no known
+language (``UNKNOWN``).
 """
 
 from __future__ import annotations
@@ -33,6 +37,13 @@ SAMPLE = 1500
 SWITCH = 14.0
 #: Words a passage has at least.
 PASSAGE = 8
+#: Labelled chunks that a language needs to have trees of its own; texts of rarer ones are left to ``REJECT``.
+LEAST = 20
+#: Times the usual bits a byte of its best language from which a passage of ``PASSAGE`` words is in no known language, and
+#: up to which it is as usual as any. Plain prose on other subjects than the corpus deals with needs three to four times as many.
+REJECT = 4.5
+USUAL = 2.5
+UNKNOWN = "und"
 #: Names of languages that metadata use, beside codes of two letters.
 NAMES = {
     "en": "eng english", "de": "deu ger german", "fr": "fra fre french", "es": "spa spanish", "it": "ita italian", "ru": "rus russian",
@@ -61,47 +72,46 @@ def contexts(word: str) -> bytes:
 
 
 class Trees:
-    """The frozen context trees of all languages."""
+    """The frozen context trees of all languages, as matrices with a row for each context and each context with its byte."""
 
-    def __init__(self, counts: dict[tuple[str, bytes], int]):
-        """``counts``: occurrences of each (language, context + byte)."""
-        self.languages = sorted({language for language, _ in counts})
+    def __init__(self, languages: list[str], grams: list[bytes], counts: list[int]):
+        """Occurrences of each language's context + byte, in columns."""
+        self.languages = sorted(set(languages))
         place = {language: i for i, language in enumerate(self.languages)}
-        k = len(self.languages)
-        self.seen: dict[bytes, np.ndarray] = {}
-        for (language, gram), n in counts.items():
-            self.seen.setdefault(gram, np.zeros(k))[place[language]] = n
-        total: dict[bytes, np.ndarray] = {}
-        kinds: dict[bytes, np.ndarray] = {}
-        for gram, n in self.seen.items():
-            total[gram[:-1]] = total.get(gram[:-1], 0) + n
-            kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + (n > 0)
+        self.gram_row: dict[bytes, int] = {}
+        self.context_row: dict[bytes, int] = {}
+        at = np.fromiter((self.gram_row.setdefault(g, len(self.gram_row)) for g in grams), dtype=np.int64, count=len(grams))
+        parent = np.fromiter((self.context_row.setdefault(g[:-1], len(self.context_row)) for g in self.gram_row), dtype=np.int64, count=len(self.gram_row))
+        n = np.zeros((len(self.gram_row), len(self.languages)), dtype=np.float32)
+        n[at, [place[x] for x in languages]] = counts
+        total, kinds = (np.zeros((len(self.context_row), n.shape[1]), dtype=np.float32) for _ in range(2))
+        np.add.at(total, parent, n)
+        np.add.at(kinds, parent, n > 0)
         # bits of an escape; a context that a language lacks costs nothing
-        self.escape = {c: np.where(kinds[c] > 0, np.log2(np.maximum(total[c] + kinds[c], 1)) - np.log2(np.maximum(kinds[c], 1)), 0.0) for c in total}
+        self.escape = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0)
         # bits of a byte that its context has seen, infinite elsewhere
-        self.code = {g: np.where(n > 0, np.log2(np.maximum(total[g[:-1]] + kinds[g[:-1]], 1)) - np.log2(np.maximum(n, 1)), np.inf) for g, n in self.seen.items()}
-        self.flat = np.full(k, 8.0)
-        del self.seen
+        self.code = np.where(n > 0, np.log2(np.maximum(total + kinds, 1))[parent] - np.log2(np.maximum(n, 1)), np.inf)
+        self.flat = np.full(n.shape[1], 8.0)
 
     def __getstate__(self):
-        """Rows of one matrix instead of many small arrays, as the trees travel to every worker."""
-        pack = lambda d: (list(d), np.array(list(d.values())))
-        return {"languages": self.languages, "flat": self.flat, "escape": pack(self.escape), "code": pack(self.code)}
+        """The keys without their places, which are their order."""
+        return {**self.__dict__, "gram_row": list(self.gram_row), "context_row": list(self.context_row)}
 
     def __setstate__(self, state):
-        self.languages, self.flat = state["languages"], state["flat"]
-        self.escape, self.code = (dict(zip(*state[name])) for name in ("escape", "code"))
+        self.__dict__.update(state)
+        self.gram_row, self.context_row = ({k: i for i, k in enumerate(state[name])} for name in ("gram_row", "context_row"))
 
     def byte_bits(self, gram: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
         """Code length of the last byte of ``gram`` after the bytes before it; shorter contexts are looked up in ``known``."""
         bits = known.get(gram)
         if bits is None:
             bits = self.byte_bits(gram[1:], known) if len(gram) > 1 else self.flat
-            escape = self.escape.get(gram[:-1])
-            if escape is not None:
-                bits = bits + escape
-                code = self.code.get(gram)
-                if code is not None:
+            context = self.context_row.get(gram[:-1])
+            if context is not None:
+                bits = bits + self.escape[context]
+                row = self.gram_row.get(gram)
+                if row is not None:
+                    code = self.code[row]
                     bits = np.where(np.isinf(code), bits, code)
             known[gram] = bits
         return bits
@@ -173,8 +183,8 @@ def best_path(bits: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def counted(texts: DataFrame, relabel=None) -> dict[tuple[str, bytes], int]:
-    """Context counts of a bounded sample (language, text); with ``relabel`` (sent trees), of its sentences by best language."""
+def counted(texts: DataFrame, relabel=None) -> tuple[list[str], list[bytes], list[int]]:
+    """Context counts, in columns, of a bounded sample (language, text); with ``relabel`` (sent trees), of its sentences by best language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -204,11 +214,12 @@ def counted(texts: DataFrame, relabel=None) -> dict[tuple[str, bytes], int]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in grams]), pa.array([k[1] for k in grams], pa.binary()), pa.array(list(grams.values()), pa.int64())], ["language", "gram", "n"])
 
     rows = texts.mapInArrow(run, "language string, gram binary, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    return {(r.language, bytes(r.gram)): r.n for r in rows.collect()}  # grams of a bounded sample
+    table = rows.toArrow()  # grams of a bounded sample; those that occur once are left out
+    return tuple(table.column(i).to_pylist() for i in range(3))
 
 
-def train(chunks: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from at most ``sample`` labelled chunks a language (by a hash of their id); at least 20 are needed."""
+def train(chunks: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Trees:
+    """Trees from at most ``sample`` labelled chunks of 100 characters a language (by a hash of their id), ``least`` at least."""
     labelled = chunks.select(F.col("vector_id"), label_code(F.col("chunk_metadata")["language"]).alias("language"), F.col("content").alias("text"))
     labelled = labelled.where("language IS NOT NULL AND length(text) >= 100").select("language", "text", F.xxhash64("vector_id").alias("h"))
     # a share of each language's chunks that holds the sample twice over is cut out where they are read
@@ -216,33 +227,36 @@ def train(chunks: DataFrame, sample: int = SAMPLE) -> Trees:
     labelled = labelled.join(F.broadcast(sizes), "language").where(F.pmod("h", F.lit(1_000_003)) < F.lit(2.0 * sample * 1_000_003) / F.col("size"))
     ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("h"))).where(F.col("rank") <= sample)
     kept = written(ranked.select("language", "text"), "language-sample")
-    enough = [r.language for r in kept.groupBy("language").count().where("count >= 20").collect()]
+    enough = [r.language for r in kept.groupBy("language").count().where(F.col("count") >= least).collect()]
     kept = spread(kept.where(F.col("language").isin(enough)) if enough else kept)
-    trees = Trees(counted(kept))
-    return Trees(counted(kept, kept.sparkSession.sparkContext.broadcast(trees))) if trees.languages else trees
+    trees = Trees(*counted(kept))
+    return Trees(*counted(kept, kept.sparkSession.sparkContext.broadcast(trees))) if trees.languages else trees
 
 
-SEGMENT = "vector_id string, document_id string, segment int, language string, confidence double, words int, sentences int"
+SEGMENT = "vector_id string, document_id string, segment int, language string, confidence double, words int, sentences int, bits double"
 
 
 def segments(chunks: DataFrame, trees: Trees | None = None) -> DataFrame:
     """Passages of one language in each chunk: (vector_id, document_id, segment, language, confidence, words, sentences).
 
-    ``segment`` counts from 0; ``confidence`` is the share of the best language among all, given equal odds before. A chunk
+    ``segment`` counts from 0. A passage that needs ``REJECT`` times the usual bits a byte is ``und``. ``confidence`` is the
+    share of the best language among all, given equal odds before, times how usual the passage is: 1 up to ``USUAL`` times
+    the median bits a byte of the language's passages in the corpus, falling to 0 at ``REJECT``. A chunk
     without words of letters (null, blank, signs or numbers only) has none. Rows sent twice count once. Null ids stay null; other columns are
     ignored; an empty table gives an empty result, and so does one without any labelled chunk to train on.
     """
     trees = trees or train(chunks)
     if not trees.languages:
-        return chunks.sparkSession.createDataFrame([], SEGMENT)
+        return chunks.sparkSession.createDataFrame([], SEGMENT).drop("bits")
     sent = chunks.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         languages = sent.value.languages
         for batch in batches:
-            owner, sizes, bits, _ = scorer.sentences(batch.column(2).to_pylist())
-            take, number, language, confidence, words, sentences = [], [], [], [], [], []
+            owner, sizes, bits, said = scorer.sentences(batch.column(2).to_pylist())
+            lengths = np.array([sum(len(w.encode()) + 1 for w in _WORD.findall(x) if not _DIGIT.search(w)) for x in said])
+            take, number, language, confidence, words, sentences, each = [], [], [], [], [], [], []
             starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]) if len(owner) else [0]
             for low, high in zip(starts[:-1], starts[1:]):
                 if not bits[low:high].any():
@@ -256,14 +270,24 @@ def segments(chunks: DataFrame, trees: Trees | None = None) -> DataFrame:
                     language.append(languages[path[i]])
                     confidence.append(float(1 / np.exp2(np.minimum(all_[path[i]] - all_, 60)).sum()))
                     words.append(int(sizes[low + i : low + j].sum()))
+                    each.append(float(all_[path[i]] / max(1, lengths[low + i : low + j].sum())))
                     sentences.append(int(j - i))
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(language, pa.string()), pa.array(confidence, pa.float64()), pa.array(words, pa.int32()), pa.array(sentences, pa.int32())],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(language, pa.string()), pa.array(confidence, pa.float64()), pa.array(words, pa.int32()), pa.array(sentences, pa.int32()), pa.array(each, pa.float64())],
                 [c.split()[0] for c in SEGMENT.split(", ")],
             )
 
-    return spread(chunks.select("vector_id", "document_id", "content")).mapInArrow(run, SEGMENT).distinct()
+    return usual(written(spread(chunks.select("vector_id", "document_id", "content")).mapInArrow(run, SEGMENT).distinct(), "language-segments"))
+
+
+def usual(found: DataFrame) -> DataFrame:
+    """``found`` segments without ``bits``: those far from what is usual in their language become ``und``."""
+    median = found.where(F.col("words") >= PASSAGE).groupBy("language").agg(F.percentile_approx("bits", 0.5).alias("median"))  # a row a language
+    times = F.coalesce(F.col("bits") / F.col("median"), F.lit(1.0))
+    fit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (REJECT - times) / (REJECT - USUAL)))
+    out = found.join(F.broadcast(median), "language", "left")
+    return out.withColumn("language", F.when((times >= REJECT) & (F.col("words") >= PASSAGE), UNKNOWN).otherwise(F.col("language"))).withColumn("confidence", F.col("confidence") * fit).select(*[c.split()[0] for c in SEGMENT.split(", ")[:-1]])
 
 
 def chunk_languages(found: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -280,7 +304,7 @@ def document_languages(found: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """p4_found: (record, record_id, language) wherever the metadata don't name what the text says."""
-    all_ = written(segments(chunks), "language-segments")
+    all_ = segments(chunks).where(F.col("language") != UNKNOWN)
     label = chunks.select(F.col("vector_id"), label_code(F.col("chunk_metadata")["language"]).alias("label")).where("vector_id IS NOT NULL").groupBy("vector_id").agg(F.max("label").alias("label"))
     spoken = chunk_languages(all_).groupBy("vector_id").agg(F.collect_set("language").alias("languages"))  # at most one a language
     of_chunks = spoken.join(label, "vector_id", "left").where((F.size("languages") > 1) | F.col("label").isNull() | ~F.array_contains("languages", F.coalesce("label", F.lit(""))))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from docloom.storage import spread, written
 
-#: Characters of test items that one block may hold.
+#: Characters of test items that one block may hold: about 3 million words, and 30 bytes of arrays for each of them.
 BLOCK_CHARS = 20_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,81 +65,90 @@ def piece_lengths(words: int, budget: int) -> list[int]:
 
 
 class Matcher:
-    """The pieces of a block of test items. Words are numbered; a word that no item has is 0."""
+    """The pieces of a block of test items as sorted arrays; words are hashes. Built once, sent to the tasks, shared by a worker."""
 
     def __init__(self, items: list[tuple], words: int, budget: int):
         self.words, self.budget = words, budget
-        self.number: dict[str, int] = {}
-        self.items: dict = {}
-        where: dict[int, dict[int, list[tuple]]] = {}
-        lengths = piece_lengths(words, budget)
-        hashes: list[int] = [0]
-        for item, text in items:
-            seq = []
-            for w in words_of(text):
-                if w not in self.number:
-                    self.number[w] = len(self.number) + 1
-                    hashes.append(xxhash.xxh64_intdigest(w))
-                seq.append(self.number[w])
-            self.items.setdefault(item, []).append(seq)
-        self.hash = np.array(hashes, dtype=np.uint64)
-        for item, seqs in self.items.items():
-            for k, seq in enumerate(seqs):
-                numbers = np.array(seq, dtype=np.int64)
-                keys = {n: self.rolling(numbers, n) for n in set(lengths)}
-                for start in range(len(seq) - words + 1):
-                    at = start
-                    for n in lengths:
-                        where.setdefault(n, {}).setdefault(int(keys[n][at]), []).append((item, k, start, at - start))
-                        at += n
-        self.where = where
-        self.sorted = {n: np.sort(np.fromiter(w, dtype=np.uint64, count=len(w))) for n, w in where.items()}
-
-    def rolling(self, numbers: np.ndarray, n: int) -> np.ndarray:
-        """A hash of the ``n`` words from each place on."""
-        if len(numbers) < n:
-            return np.zeros(0, dtype=np.uint64)
-        h = self.hash[numbers]
-        out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                out = out * _MIX + h[i : len(h) - n + 1 + i]
-        return out
+        self.known: dict[str, int] = {}
+        self.ids = [item for item, _ in items]
+        parts = [self.hashes(text) for _, text in items]
+        self.flat = np.concatenate([*parts, np.zeros(0, dtype=np.uint64)])
+        self.ends = np.cumsum([len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        starts = np.arange(max(0, len(self.flat) - words + 1))
+        starts = starts[owner[starts] == owner[starts + words - 1]] if len(starts) else starts
+        #: for each length of a piece: sorted hashes, where the passage of each begins in ``flat``, and its place in the passage
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        offset = 0
+        for n in piece_lengths(words, budget):
+            found.setdefault(n, []).append((rolling(self.flat, n)[starts + offset] if len(starts) else np.zeros(0, np.uint64), starts, offset))
+            offset += n
+        for n, all_ in found.items():
+            key, at = np.concatenate([k for k, _, _ in all_]), np.concatenate([s for _, s, _ in all_])
+            place = np.concatenate([np.full(len(k), o, dtype=np.int16) for k, _, o in all_])
+            order = np.argsort(key, kind="stable")
+            self.pieces[n] = key[order], at[order].astype(np.int32), place[order]
+        self.known = {}
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        known, out = self.known, []
+        for w in words_of(text):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w)
+            out.append(h)
+        if len(known) > 500_000:
+            known.clear()
+        return np.array(out, dtype=np.uint64)
 
     def match(self, texts: list[str | None]) -> Iterator[tuple[int, object, int]]:
         """(number of the text, item, least word edits) for each text that holds a passage of an item within the budget."""
-        number = self.number.get
-        seqs = [[number(w, 0) for w in words_of(t)] for t in texts]
-        sizes = np.array([len(s) for s in seqs], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.fromiter((x for s in seqs for x in s), dtype=np.int64, count=int(starts[-1]))
-        owner = np.repeat(np.arange(len(texts)), sizes)
+        seqs = [self.hashes(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+        flat = np.concatenate([*seqs, np.zeros(0, dtype=np.uint64)])
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
         best: dict[tuple, int] = {}
         seen: set[tuple] = set()
-        for n, known in self.sorted.items():
-            keys = self.rolling(flat, n)
+        for n, (known, where, place) in self.pieces.items():
+            keys = rolling(flat, n)
             if not len(keys) or not len(known):
                 continue
-            spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            low_at = np.searchsorted(known, keys)
+            spot = np.minimum(low_at, len(known) - 1)
             hit = (known[spot] == keys) & (owner[: len(keys)] == owner[n - 1 : n - 1 + len(keys)])
             for p in np.flatnonzero(hit):
                 d = int(owner[p])
                 low, high = int(starts[d]), int(starts[d + 1])
-                for item, k, start, offset in self.where[n][int(keys[p])]:
-                    if best.get((d, item)) == 0:
+                for e in range(int(spot[p]), int(np.searchsorted(known, keys[p], side="right"))):
+                    at, begin = int(where[e]), int(p) - int(place[e])
+                    item = self.ids[int(np.searchsorted(self.ends, at, side="right"))]
+                    if best.get((d, item)) == 0 or (d, at, begin) in seen:
                         continue
-                    begin = p - offset
-                    if (d, item, k, start, begin) in seen:
-                        continue
-                    seen.add((d, item, k, start, begin))
-                    window = flat[max(low, begin - self.budget) : min(high, begin + self.words + self.budget)].tolist()
-                    distance = myers_search(self.items[item][k][start : start + self.words], window)
+                    seen.add((d, at, begin))
+                    passage = self.flat[at : at + self.words]
+                    if begin >= low and begin + self.words <= high and np.array_equal(flat[begin : begin + self.words], passage):
+                        distance = 0
+                    else:
+                        window = flat[max(low, begin - self.budget) : min(high, begin + self.words + self.budget)]
+                        distance = myers_search(passage.tolist(), window.tolist())
                     if distance <= self.budget and distance < best.get((d, item), self.budget + 1):
                         best[d, item] = distance
         for (d, item), distance in best.items():
             yield d, item, distance
 
 
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each place on."""
+    if len(hashes) < n:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = out * _MIX + hashes[i : len(hashes) - n + 1 + i]
+    return out
+
+
 def blocks_of(items: DataFrame, id_col: str, text_col: str, max_chars: int = BLOCK_CHARS) -> list[DataFrame]:
     """The test items in blocks of about ``max_chars`` characters; null or blank texts are left out."""
     kept = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND trim(text) <> ''").distinct()
@@ -167,7 +176,7 @@ def leaks(texts: DataFrame, items: DataFrame, words: int = 13, budget: int = 1,
 
     def over(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, words, budget)
+            matcher = sent.value
             for batch in batches:
                 found = list(matcher.match(batch.column(1).to_pylist()))
                 if found:
@@ -178,7 +187,7 @@ def leaks(texts: DataFrame, items: DataFrame, words: int = 13, budget: int = 1,
 
     out = None
     for block in blocks_of(items, item_col, text_col):
-        sent = sc.broadcast([tuple(r) for r in block.collect()])  # at most BLOCK_CHARS and one item's text
+        sent = sc.broadcast(Matcher([tuple(r) for r in block.collect()], words, budget))  # at most BLOCK_CHARS and one item's text
         part = corpus.mapInArrow(over(sent), schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy(id_col, item_col).agg(F.min("edits").alias("edits"))

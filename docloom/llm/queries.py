@@ -136,6 +136,16 @@ roots AS (SELECT record, scope, x, min(y) AS group_id FROM reach GROUP BY ALL),
 linked AS (SELECT record, scope, x, count(*) AS links FROM (SELECT DISTINCT s.record, s.scope, a.class_id AS x, b.class_id AS y FROM alike s JOIN classes a ON a.record = s.record AND a.scope = s.scope AND (a.id = s.first_id OR a.id = s.second_id) JOIN classes b ON b.record = s.record AND b.scope = s.scope AND (b.id = s.first_id OR b.id = s.second_id) AND b.class_id <> a.class_id) GROUP BY ALL)
 SELECT DISTINCT c.record, CASE WHEN c.record = 'retrieved' THEN c.scope END AS query_id, c.id, c.class_id, r.group_id, coalesce(l.links, 0) AS links FROM classes c
 JOIN roots r ON r.record = c.record AND r.scope = c.scope AND r.x = c.class_id LEFT JOIN linked l ON l.record = c.record AND l.scope = c.scope AND l.x = c.class_id""",
+        # within a candidate, each word of the passage is a letter and every other word another sign; windows are compared by edit distance
+        "p7_near": r"""WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+passages AS (SELECT DISTINCT item_id, w[i:i + 12] AS pw FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw)),
+pieces AS (SELECT item_id, pw, o, n, array_to_string(pw[o + 1:o + n], ' ') AS g FROM passages, (VALUES (0, 5), (5, 4), (9, 4)) AS v(o, n)),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (VALUES (5), (4)) AS v(n))),
+meets AS (SELECT DISTINCT doc_id, item_id, pw, i - o AS b FROM grams JOIN pieces USING (n, g)),
+coded AS (SELECT doc_id, item_id, array_to_string(list_transform(pw, lambda x: chr(64 + list_position(pw, x))), '') AS p, array_to_string(list_transform(w[greatest(b - 2, 1):b + 14], lambda x: chr(64 + coalesce(list_position(pw, x), 0))), '') AS d FROM meets JOIN dw USING (doc_id)),
+scored AS (SELECT doc_id, item_id, levenshtein(p, substr(d, f, l)) AS e FROM coded, (SELECT unnest(range(1, 8))::INTEGER AS f), (SELECT unnest(range(11, 16))::INTEGER AS l) WHERE f + l - 1 <= length(d))
+SELECT doc_id, item_id, min(e)::INTEGER AS edits FROM scored WHERE e <= 2 GROUP BY doc_id, item_id""",
         "p7_found": """
 WITH RECURSIVE dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),

@@ -37,11 +37,22 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Tokens and merges of a vocabulary file (``tokenizers`` JSON, BPE), read once on the driver and sent to the tasks."""
+    """Tokens and merges of a vocabulary file (``tokenizers`` JSON, BPE), read once on the driver and sent to the tasks.
+
+    Only byte-level vocabularies without other steps are encoded here. One that normalizes texts, splits them by another
+    pattern or marks the ends of words would give other ids, so it is refused with a ValueError.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, splits = whole["model"], whole.get("pre_tokenizer") or {}
+        wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        wrong += ["model"] * (model.get("type") != "BPE") + ["normalizer"] * bool(whole.get("normalizer"))
+        wrong += ["pre_tokenizer"] * (splits.get("type") != "ByteLevel" or bool(splits.get("add_prefix_space")) or not splits.get("use_regex", True))
+        wrong += ["added_tokens"] * any(not t.get("special") for t in whole.get("added_tokens") or [])
+        if wrong:
+            raise ValueError(f"{path} can't be encoded exactly: {', '.join(wrong)}")
         letter = byte_alphabet()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # a token that is no merge and no byte (a special token) is not part of ordinary text

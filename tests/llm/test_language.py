@@ -49,6 +49,17 @@ def test_held_out_sentences_get_their_language(spark, data):
             assert trees.languages[int(bits.argmin())] == lang
 
 
+def test_texts_in_an_unknown_language_are_rejected(spark, data):
+    strange = "alla mattina cinque persone vanno verso il mercato vecchio con quattro cesti pieni di mele rosse".split()
+    rng = random.Random(3)
+    rows = [(f"s{i}", "ds", " ".join(rng.choice(strange) for _ in range(14)), None, "x", 1) for i in range(5)]
+    more = spark.createDataFrame(rows, CHUNK)
+    got = L.segments(data[0].unionByName(more)).collect()
+    assert {r.language for r in got if r.document_id == "ds"} == {"und"} and all(r.confidence < 0.05 for r in got if r.document_id == "ds")
+    assert all(r.language != "und" and r.confidence > 0.5 for r in got if r.document_id not in ("ds", "dn"))
+    assert not [r for r in L.found(data[0].unionByName(more), data[1]).collect() if r.record_id in ("ds", *[x[0] for x in rows])]
+
+
 def test_code_lengths_are_exact_sums(data):
     trees = L.train(data[0])
     known = {}

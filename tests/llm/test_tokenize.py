@@ -47,3 +47,14 @@ def test_tables(spark, encoder):
     assert {r.text for r in K.decoded(got, JSON).collect()} == {"Hello world", "", "a"}
     assert K.encoded(df.limit(0), JSON).count() == 0
     assert dict(got.dtypes) == {"doc_id": "bigint", "ids": "array<int>"}
+
+
+def test_other_kinds_of_vocabularies_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="normalizer"):
+        K.Vocabulary(f"{TOKENIZERS}/word_bpe_49k.json")
+    whole = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}
+    (tmp_path / "v.json").write_text(json.dumps(whole))
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        K.Vocabulary(str(tmp_path / "v.json"))
