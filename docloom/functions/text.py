@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 #: Fixed values.
 STOPWORDS = "a an and are do for how i in is of or the to what when where with".split()
@@ -48,6 +49,32 @@ def sanitize_map(metadata: Column) -> Column:
     return let(pairs, lambda p: F.map_from_entries(last(p)))
 
 
+def sanitize_value(value: Column, kind: ST.DataType) -> Column:
+    """A value of any depth with all its texts sanitized, map keys too; nulls stay null."""
+    if isinstance(kind, ST.StringType):
+        return F.when(value.isNotNull(), sanitize(value))
+    if isinstance(kind, ST.ArrayType):
+        return F.transform(value, lambda x: sanitize_value(x, kind.elementType))
+    if isinstance(kind, ST.StructType):
+        return F.when(value.isNotNull(), F.struct(*[sanitize_value(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ST.MapType) and isinstance(kind.valueType, ST.StringType):
+        return sanitize_map(value)
+    if isinstance(kind, ST.MapType):
+        return F.transform_values(value, lambda _, v: sanitize_value(v, kind.valueType))
+    return value
+
+
+def flattened(value: Column, kind: ST.DataType) -> Column:
+    """All values within a value of any depth as one text, parted by blanks; null if there are none."""
+    if isinstance(kind, ST.ArrayType):
+        return F.nullif(F.array_join(F.transform(value, lambda x: flattened(x, kind.elementType)), " "), F.lit(""))
+    if isinstance(kind, ST.MapType):
+        return flattened(F.map_values(value), ST.ArrayType(kind.valueType))
+    if isinstance(kind, ST.StructType):
+        return F.nullif(F.concat_ws(" ", *[flattened(value[f.name], f.dataType) for f in kind.fields]), F.lit(""))
+    return value.cast("string")
+
+
 def unlink(text: Column) -> Column:
     """Markdown links, images and bracketed words as their visible text."""
     t = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]+\)", "$1")

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.storage import written
 
+#: The sentences and section heads of an answer, and of the user's message.
 NOTHING_FOUND = "I could not find relevant documentation chunks for that question."
+NO_EXCERPT = "The retrieved sources contain relevant information, but no compact excerpt could be extracted."
+SECTIONS = ["Retrieval-only answer (no LLM provider is configured).", "Short answer:", "Relevant facts:", "Top sources:"]
+#: The messages of a prompt, in words of this library.
+USER_PROMPT = "Context from the documentation:\n{context}\n\nQuestion: {question}\n\nAnswer in the language of the question. {terms}"
 SYSTEM_PROMPT = "You are a documentation assistant. Answer only from the given context and say so when it doesn't hold the answer."
 
 
@@ -34,10 +39,8 @@ def contexts(final: DataFrame, max_chars: int = 12_000) -> DataFrame:
 
 def prompts(final: DataFrame, questions: DataFrame, max_chars: int = 12_000, system_prompt: str = SYSTEM_PROMPT, terms_instruction: str = "Keep the terms of the source.") -> DataFrame:
     """(query_id, messages): a system and a user message for each question that has candidates."""
-    user = F.concat(
-        F.lit(f"Use the following retrieved documentation context to answer.\n\nAnswer in the same language as the user when possible.\n\n{terms_instruction}\n\nContext:\n"),
-        F.col("context"), F.lit("\n\nQuestion: "), T.sanitize(F.col("question")),
-    )
+    before, middle, after = USER_PROMPT.replace("{terms}", terms_instruction).replace("{question}", "{context}").split("{context}")
+    user = F.concat(F.lit(before), F.col("context"), F.lit(middle), T.sanitize(F.col("question")), F.lit(after))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return contexts(final, max_chars).join(questions, "query_id").select("query_id", F.array(message("system", F.lit(system_prompt)), message("user", user)).alias("messages"))
 
@@ -116,8 +119,8 @@ def answers(final: DataFrame, questions: DataFrame) -> DataFrame:
     a = questions.select("query_id").join(first, "query_id", "left").join(found, "query_id", "left").join(sources, "query_id", "left").withColumn("facts", F.coalesce("facts", F.array("excerpt")))
     short = F.trim(F.array_join(F.slice("facts", 1, 2), " "))
     short = F.when(F.length(short) > 420, T.truncate_at_word(short, 420)).otherwise(short)
-    none = F.lit("The retrieved sources contain relevant information, but no compact excerpt could be extracted.")
+    none = F.lit(NO_EXCERPT)
     items = F.transform(F.filter("facts", lambda f: f != ""), lambda f: F.concat(F.lit("- "), f))
     empty = F.array(F.lit(""))
-    body = F.concat(F.array(F.lit("Retrieval-only answer (no LLM provider is configured)."), F.lit(""), F.lit("Short answer:"), F.coalesce(F.nullif(short, F.lit("")), none), F.lit(""), F.lit("Relevant facts:")), items, empty, F.array(F.lit("Top sources:")), F.col("sources"))
+    body = F.concat(F.array(F.lit(SECTIONS[0]), F.lit(""), F.lit(SECTIONS[1]), F.coalesce(F.nullif(short, F.lit("")), none), F.lit(""), F.lit(SECTIONS[2])), items, empty, F.array(F.lit(SECTIONS[3])), F.col("sources"))
     return a.select("query_id", F.when(F.col("sources").isNull(), NOTHING_FOUND).otherwise(F.trim(F.array_join(body, "\n"))).alias("answer"))

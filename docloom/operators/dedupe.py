@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from docloom.functions import text as T
 
@@ -51,6 +52,8 @@ def merge_diagnostics(candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Metadata that says where a candidate comes from, not what it is about.
+NO_CONTEXT = set("text content source filename source_file document_id chunk_index".split())
 NEAR = "query_id bigint, seq int, kept boolean, group_no int, duplicate_of_seq int, similarity double"
 
 
@@ -99,7 +102,7 @@ def near_duplicates(ranked: DataFrame, features: DataFrame, threshold: float = 0
     query's candidates, at most as many as both searches return, are read together.
     """
     words = F.array_distinct(F.concat("context", "terms"))
-    about = F.concat_ws(" ", F.col("metadata.title"), F.array_join(F.col("metadata.breadcrumbs"), " "), T.context_lines(F.col("text")), F.col("metadata.heading"), F.col("metadata.chunk_type"), F.col("metadata.section_group"))
+    about = F.concat_ws(" ", *metadata_values(ranked, ("title", "breadcrumbs")), T.context_lines(F.col("text")), *metadata_values(ranked))
     c = ranked.join(features.select("query_id", words.alias("_words"), "phrases"), "query_id").withColumn("_about", T.normalize(about))
     hits = lambda terms: F.size(F.filter(terms, lambda t: F.contains(F.col("_about"), t)))
     tokens = F.transform(T.shingles(T.body_for_near_duplicates(F.col("text"))), lambda x: F.xxhash64(x))
@@ -115,6 +118,15 @@ def near_duplicates(ranked: DataFrame, features: DataFrame, threshold: float = 0
     return slim.groupBy("query_id").agg(F.collect_list("c").alias("c")).mapInArrow(run, NEAR)
 
 
+def metadata_values(candidates: DataFrame, names: tuple[str, ...] | None = None) -> list[Column]:
+    """All values within ``metadata`` (or those of ``names``) as texts, from any depth of lists, maps and structs; null if absent."""
+    kind = candidates.schema["metadata"].dataType
+    if not isinstance(kind, ST.StructType):
+        return [T.flattened(F.col("metadata"), kind)] if names is None else []
+    fields = [f for f in kind.fields if f.name not in NO_CONTEXT and (f.name in names if names else True)]
+    return [T.flattened(F.col("metadata")[f.name], f.dataType) for f in fields]
+
+
 def pair_similarity(candidates: DataFrame) -> DataFrame:
     """(query_id, seq, other_seq, similarity) of the pairs of one query's candidates that share any shingle.
 

@@ -145,7 +145,9 @@ def answer_contexts(spark, sf_dir):
 
 
 def answer_prompts(spark, sf_dir):
-    return answers.prompts(*_final(spark, sf_dir))
+    """The two messages of each question's prompt."""
+    m = answers.prompts(*_final(spark, sf_dir))
+    return m.select("query_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
 def answer_facts(spark, sf_dir):

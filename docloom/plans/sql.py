@@ -5,7 +5,7 @@ from __future__ import annotations
 from docloom.functions.text import NAVIGATION_WORDS, STOPWORDS
 from docloom.operators.ranking import BOOSTS, GENERIC_TERMS, LOW_VALUE_TYPES, PREFERRED_TYPES, UNREQUESTED_MARKERS
 from docloom.plans import sql_documents, sql_retrieval
-from docloom.plans.sql_text import chunk_type, context_terms, lst, normalize, ordered_distinct, plain, query_terms, route, sanitize, squeeze, tokens, unlink
+from docloom.plans.sql_text import IMAGE_LINE, VISIBLE, chunk_type, context_terms, lst, normalize, ordered_distinct, plain, query_terms, route, sanitize, squeeze, tokens, unlink
 from docloom.sources.files import ICON_WORDS
 
 HITS = "hits AS (SELECT DISTINCT * FROM retrieved_chunks WHERE query_id IS NOT NULL)"
@@ -49,8 +49,6 @@ corpus AS (SELECT c.*, d.filename, d.source_path, d.title FROM (SELECT vector_id
 TITLES = "questions AS (SELECT DISTINCT doc_id AS query_id, title AS question FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL)"
 BODY = f"""lines AS (SELECT query_id, seq, list_filter(list_transform(string_split(regexp_replace(regexp_replace({sanitize('text')}, '^\\s*---\\s*\\n(?s:.*?)\\n---\\s*\\n?', ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM hits)"""
 
-IMAGE_LINE = r"regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]+\)\s*$')"
-VISIBLE = r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]', '\1', 'g')"
 NAVIGATION_LINE = f"(len({tokens(normalize('x'))}) = 0 OR (list_has_any({tokens(normalize('x'))}, {lst(NAVIGATION_WORDS)}) AND len(list_distinct({tokens(normalize('x'))})) <= 8))"
 BREADCRUMB_LINE = rf"((len(regexp_extract_all(x, '\[[^\]]+\]\([^)]+\)|\[[^\]]+\]')) >= 2 OR contains(x, '>')) AND len(regexp_extract_all({VISIBLE}, '>| / ')) >= 1 AND len({tokens(normalize(VISIBLE))}) <= 20)"
 SHINGLES = f"""{BODY},

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from docloom.operators.answers import SYSTEM_PROMPT, USER_PROMPT
 from docloom.operators.ranking import BOOSTS
+from docloom.plans import sql_answers
 from docloom.plans.sql_text import normalize, sanitize
 
 _VISIBLE = r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]', '\1', 'g')"
@@ -54,5 +56,8 @@ rows_ AS (SELECT query_id, seq, 'searched' AS stage, NULL AS reason, document, s
     FROM placed p JOIN merged m ON m.query_id = p.query_id AND m.seq = p.seq JOIN (SELECT query_id, group_no AS g, seq, i AS ki FROM placed WHERE place = 1) k ON k.query_id = p.query_id AND k.g = p.group_no JOIN merged o ON o.query_id = k.query_id AND o.seq = k.seq LEFT JOIN sims s ON s.query_id = p.query_id AND s.i = p.i AND s.j = k.ki WHERE place > 1
   UNION ALL SELECT f.query_id, f.seq, 'final', NULL, f.document, f.source_file, f.heading, f.chunk_index, f.document_id, f.raw_score, f.score, f.score, f.retrieval_type, f.ranking_reason, f.retrieval_stage_score, {{boost}}, NULL, NULL, NULL FROM final f JOIN placed p ON p.query_id = f.query_id AND p.seq = f.seq)
 SELECT query_id, seq, stage, document, source_file, heading, chunk_index, document_id, raw_score, score, retrieval_type, reason AS filtered_reason, ranking_reason, retrieval_stage_score, CASE WHEN retrieval_type = 'keyword' THEN 0.45::DOUBLE END AS keyword_score, NULL::DOUBLE AS reranker_score, final_score, round(boost, 6) AS boost, file AS duplicate_of_file, chunk AS duplicate_of_chunk, round(similarity, 6) AS similarity FROM rows_""".replace("{boost}", " + ".join(f"p.{b}" for b in BOOSTS)),
+        **sql_answers.oracle_sql(near),
+        "answer_prompts": f"""{blocks}, told AS (SELECT query_id, array_to_string(arg_max(parts, n), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context FROM budget GROUP BY query_id)
+SELECT t.query_id, '{SYSTEM_PROMPT.replace("'", "''")}' AS system, replace(replace('{USER_PROMPT.replace("{terms}", "Keep the terms of the source.")}', '{{question}}', {sanitize('question')}), '{{context}}', context) AS user FROM told t JOIN questions q ON q.query_id = t.query_id""",
         "answer_contexts": f"{blocks} SELECT query_id, array_to_string(arg_max(parts, n), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context FROM budget GROUP BY query_id",
     }

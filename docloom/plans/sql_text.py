@@ -82,3 +82,8 @@ def route(path: str, kind: str) -> str:
             test += f" OR starts_with({mime}, '{prefix}')"
         out += f" WHEN {test} THEN '{name}'"
     return out + " ELSE 'unsupported' END"
+
+
+#: Tests of a line ``x``, and its visible text.
+IMAGE_LINE = r"regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]+\)\s*$')"
+VISIBLE = r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]', '\1', 'g')"

@@ -151,8 +151,3 @@ def skewed_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 1
     rest = [c for c in left.columns if c not in on]
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(rest or on)), F.lit(salts)))
     return salted.join(kept.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), [*on, "_salt"]).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint for ``df`` if it has at most ``max_rows`` rows (counted first), else ``df`` for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -79,3 +79,12 @@ def test_canonical(spark):
     assert one(spark, "HTTPS://Help.X.example//a/b", C.site_of) == "help.x.example" and one(spark, ".\\Docs.x\\a", C.site_of) == "docs.x"
     assert one(spark, "/", C.site_of) is None and one(spark, None, C.site_of) is None
     assert one(spark, "SHA256=" + "AB" * 32, C.sha256_digits) == "ab" * 32 and one(spark, "ab" * 16, C.sha256_digits) is None
+
+
+def test_values_of_any_depth(spark):
+    df = spark.sql("SELECT named_struct('a', 'x\u0001 y ', 'b', array('p\u0000q', NULL), 'c', named_struct('n', 3, 'm', map('k', array(' v ')))) AS v UNION ALL SELECT NULL")
+    kind = df.schema["v"].dataType
+    rows = df.select(T.sanitize_value(F.col("v"), kind).alias("v"), T.flattened(F.col("v"), kind).alias("f")).collect()
+    one = next(r for r in rows if r.v is not None)
+    assert one.v.a == "x y" and one.v.b == ["pq", None] and one.v.c.n == 3 and one.v.c.m == {"k": ["v"]}
+    assert one.f.split() == ["x\x01", "y", "p\x00q", "3", "v"] and next(r for r in rows if r.v is None).f is None
