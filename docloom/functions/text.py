@@ -110,7 +110,10 @@ def is_image_line(line: Column) -> Column:
 def is_navigation_line(line: Column) -> Column:
     """Nothing readable, or up to eight different words with one of navigation among them."""
     named = F.array(*map(F.lit, NAVIGATION_WORDS))
-    return let(F.array_distinct(tokens(normalize(line))), lambda w: (F.size(w) == 0) | (F.arrays_overlap(w, named) & (F.size(w) <= 8)))
+    whole = let(F.array_distinct(tokens(normalize(line))), lambda w: (F.size(w) == 0) | (F.arrays_overlap(w, named) & (F.size(w) <= 8)))
+    # most lines are readable and name none, whatever normalizing changes, so the rest is not computed for them
+    plain = line.rlike("[a-zA-Z0-9]") & ~line.rlike(rf"(?i)[\[\x00]|{'|'.join(NAVIGATION_WORDS)}")
+    return F.when(plain, False).otherwise(whole)
 
 
 def _links(line: Column) -> Column:

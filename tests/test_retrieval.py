@@ -89,6 +89,52 @@ def test_pair_similarity_is_symmetric_and_bounded(spark):
     assert set(got) == {(1, 0, 1)} and 0.9 < got[1, 0, 1] <= 1
 
 
+def like(rows):
+    """The similarities of all pairs of rows, by brute force."""
+    words = [r.text.lower().replace(".", "").replace(",", "").split() for r in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set(w) for w in words]
+    out = []
+    for x, a in zip(rows, sets):
+        for y, b in zip(rows, sets):
+            if x.query_id == y.query_id and x.seq < y.seq and a & b:
+                c = len(a & b)
+                jaccard = c / len(a | b)
+                out.append((x.query_id, x.seq, y.seq, round(jaccard if min(len(a), len(b)) / max(len(a), len(b)) < 0.75 else max(c / min(len(a), len(b)), jaccard), 9)))
+    return sorted(out)
+
+
+def cut(seed, n, queries):
+    """Candidates that share beginnings or ends of BODY; every third place in a query is taken twice."""
+    rng = random.Random(seed)
+    words = BODY.split()
+    return [hit(i // 4 * 3 + min(i % 4, 2), " ".join(words[(k := rng.randrange(30)) : k + rng.randint(2, 20)]), query=1 + rng.randrange(queries)) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_pairs_of_all_rows_of_a_query(spark, monkeypatch, hot):
+    monkeypatch.setattr(dedupe, "HOT", hot)
+    h = hits(spark, *cut(3, 60, 3), hit(900, BODY), hit(900, BODY), hit(901, BODY))
+    got = sorted((r.query_id, r.seq, r.other_seq, round(r.similarity, 9)) for r in dedupe.pair_similarity(h).collect())
+    assert got == like(h.collect()) and got.count((1, 900, 901, 1.0)) == 2
+
+
+def test_shingles_are_never_broadcast(spark):
+    """They were few enough by the bytes of the rows they come from."""
+    plan = dedupe.pair_similarity(hits(spark, *cut(5, 20, 2)))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [at for at, x in enumerate(plan.split("\n")) if "Join " in x]
+    shingles = [at for at, x in enumerate(plan.split("\n")) if "Generate explode(" in x and "token" in x]
+    assert not any(j < g for j in joins for g in shingles)
+
+
+@pytest.mark.parametrize("line", ["Print", "pre[v]ious", "see the index", "\x00", "pr\x00int", "a plain line of text", "[x](y)", "*** ---", "", "Índex", "PREVIOUS next", "the contents of a b c d e f g h i", "–", "printer", "日本"])
+def test_navigation_lines_are_told_without_normalizing_most(spark, line):
+    from docloom.functions import text as T
+
+    words = spark.range(1).select(T.tokens(T.normalize(F.lit(line))).alias("w")).first().w
+    want = not words or (bool(set(words) & set(T.NAVIGATION_WORDS)) and len(set(words)) <= 8)
+    assert spark.createDataFrame([(line,)], "x string").select(T.is_navigation_line(F.col("x"))).first()[0] == want
+
+
 def test_filters(spark):
     h = hits(spark, hit(0, "a", chunk_type="table"), hit(1, "b"), hit(2, "c", chunk_type=None))
     assert [r.seq for r in dedupe.filtered(h, {"chunk_type": "table"}).collect()] == [0]
