@@ -101,10 +101,9 @@ class Model:
         scores = self.scores(words)
         if not any(scores):
             return None
-        order = sorted(range(len(scores)), key=scores.__getitem__)
-        k = order[-1]
-        second = scores[order[-2]] if len(order) > 1 else 0.0
-        return (k, scores[k]) if scores[k] > 2 * second and scores[k] > 0 else None
+        top = max(scores)
+        second = sorted(scores)[-2] if len(scores) > 1 else 0.0
+        return (scores.index(top), top) if top > 2 * second and top > 0 else None
 
     def counts(self, sentences: list[list[str]], threshold: float | None = None) -> tuple[int, Counter, Counter]:
         """The number of sentences, and sentences and weight of each subject."""
@@ -151,11 +150,17 @@ def seeded(sentences: list[list[str]], find: ahocorasick.Automaton) -> list[int]
     return found if len(found) <= 2 else []
 
 
-def fitted(corpus: DataFrame, subjects: list[str], model: Model | None) -> Model:
-    """Terms of all texts, these labelled by hand or stems (without a model) or by ``model``; texts of no known language are one group."""
+def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = None) -> DataFrame:
+    """(language, term, n0, n1, ...), to be summed: in how many texts of each subject a term stands, and last in how many of all.
+
+    Without a model the subjects are those labelled by hand or stems. With one, they are those that ``model`` assigns, and the
+    rows are what that changes: only texts whose subjects are others now are counted, up and down. Texts of no known
+    language are one group; the term ``''`` stands in every text.
+    """
     stems = [tuple(STEMS.get(s, "").split()) for s in subjects]
     width = len(subjects)
     sent = corpus.sparkSession.sparkContext.broadcast(model)
+    names = [f"n{i}" for i in range(width + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = stem_finder(stems)
@@ -163,12 +168,15 @@ def fitted(corpus: DataFrame, subjects: list[str], model: Model | None) -> Model
         for batch in batches:
             for language, text, labels in zip(*[c.to_pylist() for c in batch.columns]):
                 sentences = sentences_of(text)
+                gained, lost = set(labels if labels else seeded(sentences, find)), set()
                 if sent.value is None:
-                    ks = labels if labels else seeded(sentences, find)
+                    gained.add(width)
                 else:
                     n, by, _ = sent.value.counts(sentences)
-                    ks = [k for k, v in by.items() if v >= SHARE * n]
-                seen.setdefault((language or "", *sorted(ks)), Counter()).update(terms_of(sentences) | {""})
+                    now = {k for k, v in by.items() if v >= SHARE * n}
+                    gained, lost = now - gained, gained - now
+                if gained or lost:
+                    seen.setdefault((language or "", tuple(sorted(gained)), tuple(sorted(lost))), Counter()).update(terms_of(sentences) | {""})
             if sum(map(len, seen.values())) > 400_000:
                 yield flush(seen)
                 seen.clear()
@@ -176,17 +184,29 @@ def fitted(corpus: DataFrame, subjects: list[str], model: Model | None) -> Model
 
     def flush(seen):
         rows: dict[tuple, list[int]] = {}
-        for (language, *ks), terms in seen.items():
+        for (language, gained, lost), terms in seen.items():
             for term, n in terms.items():
                 row = rows.setdefault((language, term), [0] * (width + 1))
-                for k in (*ks, width):
+                for k in gained:
                     row[k] += n
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["language", "term", "n"])
+                for k in lost:
+                    row[k] -= n
+        counts = list(zip(*rows.values())) or [()] * (width + 1)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *[pa.array(c, pa.int64()) for c in counts]], ["language", "term", *names])
+
+    return written(corpus.select("language", "text", "labels").mapInArrow(run, ", ".join(["language string", "term string", *[f"{n} bigint" for n in names]])), "term-counts", compression="zstd")
+
 
-    per = corpus.select("language", "text", "labels").mapInArrow(run, "language string, term string, n array<bigint>")
-    per = per.groupBy("language", "term").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(width + 1)])
-    per = written(per, "term-counts")
-    totals = F.broadcast(per.where("term = ''").drop("term").select("language", *[F.col(f"n{i}").alias(f"t{i}") for i in range(width + 1)]))
+def fitted(counts: DataFrame, subjects: list[str]) -> Model:
+    """The model of the terms that ``counts`` (of ``term_counts``, one or several together) lets through.
+
+    The tasks have added up their texts, so the rows are sent once, by their terms, for both sums.
+    """
+    width = len(subjects)
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(width + 1)]
+    per = counts.repartition("term").groupBy("language", "term").agg(*sums)
+    totals = counts.where("term = ''").groupBy("language").agg(*sums)
+    totals = F.broadcast(totals.select("language", *[F.col(f"n{i}").alias(f"t{i}") for i in range(width + 1)]))
     # what documents of the term's languages let expect, subject by subject
     share = (F.col(f"n{width}") + 0.3) / (F.col(f"t{width}") + 1)
     stats = per.where("term <> ''").join(totals, "language").groupBy("term").agg(*[F.sum(f"n{i}").alias(f"v{i}") for i in range(width)], *[(F.sum(share * F.col(f"t{i}")) + 0.05).alias(f"e{i}") for i in range(width)])
@@ -206,9 +226,10 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
         for batch in batches:
             for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sentences = sentences_of(text)
+                tops = [x for x in map(sent.value.best, sentences) if x]
                 for t in GRID:
-                    n, by, _ = sent.value.counts(sentences, t)
-                    said = {k for k, v in by.items() if v >= SHARE * n}
+                    by = Counter(k for k, weight in tops if weight >= t)
+                    said = {k for k, v in by.items() if v >= SHARE * len(sentences)}
                     for i, x in enumerate((said & set(labels), said - set(labels), set(labels) - said)):
                         tally[t][i] += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.float64()), *[pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3)]], ["t", "tp", "fp", "fn"])
@@ -225,7 +246,8 @@ def train(texts: DataFrame, labels: DataFrame, subjects: DataFrame, size: int =
         return Model([], {})
     corpus = marked(texts, labels, names, size)
     sample = written(corpus.where("labels IS NOT NULL"), "subject-sample")  # at most size documents
-    return calibrated(fitted(corpus, names, fitted(corpus, names, None)), sample)
+    first = term_counts(corpus, names)
+    return calibrated(fitted(first.unionByName(term_counts(corpus, names, fitted(first, names))), names), sample)
 
 
 def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import subjects as U
 
@@ -66,3 +67,23 @@ def test_statistics_cover_all_documents(spark, data):
     filler = [(2000 + i, " ".join(sentence(rng, None) for _ in range(5)), lang, "c", "c") for i, lang in enumerate(["en", None] * 750)]
     model = U.train(docs.unionByName(spark.createDataFrame(rare + filler, DOC)), labels, subjects, size=100)
     assert model.terms["usufruct"][0] == model.subjects.index("law")
+
+
+def test_second_counts_are_those_of_texts_that_change(spark, data):
+    (docs, labels, subjects), _ = data
+    names = ["law", "software"]
+    corpus = U.marked(docs, labels, names, 5000)
+    first = U.term_counts(corpus, names)
+    model = U.fitted(first, names)
+    both = first.unionByName(U.term_counts(corpus, names, model))
+    got = {(r.language, r.term): (r.a, r.b, r.c) for r in both.groupBy("language", "term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"), F.sum("n2").alias("c")).collect()}
+    want: dict = {}
+    for r in corpus.collect():
+        sentences = U.sentences_of(r.text)
+        n, by, _ = model.counts(sentences)
+        for term in U.terms_of(sentences) | {""}:
+            row = want.setdefault((r.language or "", term), [0, 0, 0])
+            for k in [*(k for k, v in by.items() if v >= U.SHARE * n), 2]:
+                row[k] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+    assert U.term_counts(corpus, names, model).where("n2 <> 0").count() == 0  # no text is counted twice among all
