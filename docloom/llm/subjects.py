@@ -16,20 +16,25 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.language import label_code
+from docloom.llm.word_arrays import Matcher, TermCounts, Words, found_in, pieces, starts_of
 from docloom.storage import spread, written
 
 #: Labelled documents that the first model and the threshold are fitted to (by a hash of their ids).
 SAMPLE = 5000
 #: Share of the sentences that must deal with a subject.
 SHARE = 0.2
+#: Counted rows that a task holds before it passes them on, or adds them up.
+ROWS = 1_000_000
 #: Thresholds tried in calibration.
 GRID = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 #: Stems of words that stand for a subject, in the languages of the corpus.
@@ -48,10 +53,14 @@ _MATTER = re.compile(r"\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)", re.S)
 _SENTENCE = re.compile(r"[.!?…;\n](?:(?<!\n)[\"'»)”\]]*\s+|(?<=\n)\n*)")
 
 
+def body_of(text: str | None) -> str:
+    """A text in lower case; front matter and tags don't count."""
+    return _TAG.sub("\n", _MATTER.sub("", text or "")).lower()
+
+
 def sentences_of(text: str | None) -> list[list[str]]:
-    """The words of each sentence of three words or more; front matter and tags don't count."""
-    body = _TAG.sub("\n", _MATTER.sub("", text or ""))
-    return [w for s in _SENTENCE.split(body.lower()) if len(w := _WORD.findall(s)) >= 3]
+    """The words of each sentence of three words or more."""
+    return [w for s in _SENTENCE.split(body_of(text)) if len(w := _WORD.findall(s)) >= 3]
 
 
 def terms_of(sentences: list[list[str]]) -> set[str]:
@@ -72,10 +81,10 @@ class Model:
 
     def __init__(self, subjects: list[str], terms: dict[str, tuple[int, float]], threshold: float = 1.0):
         self.subjects, self.terms, self.threshold = subjects, terms, threshold
-        self._find = None
+        self._find = self._matcher = None
 
     def __getstate__(self):
-        return {"subjects": self.subjects, "terms": self.terms, "threshold": self.threshold, "_find": None}
+        return {"subjects": self.subjects, "terms": self.terms, "threshold": self.threshold, "_find": None, "_matcher": None}
 
     @property
     def find(self):
@@ -116,6 +125,23 @@ class Model:
                 weight[top[0]] += top[1]
         return len(sentences), n, weight
 
+    def tally(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The same sentences and weights of ``counts`` for many texts: a row a text, a column a subject."""
+        if self._matcher is None:
+            self._matcher = Matcher(list(self.terms)), np.array([k for k, _ in self.terms.values()], np.int64), np.array([w for _, w in self.terms.values()], float)
+        matcher, subject, weight = self._matcher
+        width, texts = len(self.subjects), len(words.n)
+        sentence, term = matcher.matches(words)
+        scores = np.bincount(sentence * width + subject[term], weight[term], len(words.size) * width).reshape(len(words.size), width)
+        scores = scores / np.sqrt(np.maximum(words.size, 4) / 12)[:, None]
+        if not scores.size:
+            return np.zeros((texts, width), np.int64), np.zeros((texts, width))
+        top = scores.max(1)
+        second = np.sort(scores, 1)[:, -2] if width > 1 else 0.0
+        deals = (top > 2 * second) & (top > 0) & (top >= self.threshold)
+        at = words.text[deals] * width + scores[deals].argmax(1)
+        return np.bincount(at, minlength=texts * width).reshape(texts, width), np.bincount(at, top[deals], texts * width).astype(float).reshape(texts, width)
+
 
 def marked(texts: DataFrame, labels: DataFrame, subjects: list[str], size: int) -> DataFrame:
     """Every text (language, text, labels); ``labels`` are the subjects of a bounded sample of labelled documents, else null."""
@@ -126,28 +152,34 @@ def marked(texts: DataFrame, labels: DataFrame, subjects: list[str], size: int)
     return spread(texts.where("text IS NOT NULL").select("doc_id", label_code(F.col("lang")).alias("language"), "text")).join(hand, "doc_id", "left").drop("doc_id")
 
 
-def stem_finder(stems: list[tuple[str, ...]]) -> ahocorasick.Automaton:
+class Stems:
     """Finds beginnings of words, with the subjects that they stand for."""
-    of: dict[str, list[int]] = {}
-    for k, all_ in enumerate(stems):
-        for stem in all_:
-            of.setdefault(f" {stem}", []).append(k)
-    find = ahocorasick.Automaton()
-    for stem, ks in of.items():
-        find.add_word(stem, ks)
-    find.make_automaton()
-    return find
-
-
-def seeded(sentences: list[list[str]], find: ahocorasick.Automaton) -> list[int]:
-    """Subjects whose stems stand in two sentences and in at least a fifth of all."""
-    n: Counter = Counter()
-    if len(find):
-        for words in sentences:
-            n.update({k for _, ks in find.iter(f" {' '.join(words)}") for k in ks})
-    top = max(n.values(), default=0)
-    found = [k for k, v in n.items() if v >= 2 and v >= SHARE * len(sentences) and 3 * v >= top]
-    return found if len(found) <= 2 else []
+
+    def __init__(self, stems: list[tuple[str, ...]]):
+        self.width = len(stems)
+        self.of = [(stem, k) for k, all_ in enumerate(stems) for stem in dict.fromkeys(all_)]
+        self.ids = {stem: i for i, stem in enumerate(dict.fromkeys(stem for stem, _ in self.of))}
+        self.stands = np.zeros((len(self.ids), self.width), bool)
+        for stem, k in self.of:
+            self.stands[self.ids[stem], k] = True
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for stem, i in self.ids.items():
+            self.find.add_word(f" {stem}", i)
+        self.find.make_automaton()
+
+    def seeded(self, words: Words) -> np.ndarray:
+        """For each text and subject whether its stems stand in two sentences and in at least a fifth of all."""
+        n = np.zeros((len(words.n), self.width), np.int64)
+        if len(self.find) and len(words.word):
+            end, stem = found_in(self.find, " " + " ".join(words.unique))
+            begins = np.cumsum([0, *[len(w) + 1 for w in words.unique]])
+            of_word = np.zeros((len(words.unique), self.width), bool)
+            np.logical_or.at(of_word, np.searchsorted(begins, end, "right") - 1, self.stands[stem])
+            for k in range(self.width):
+                sentence = words.sentence[of_word[words.word, k]]
+                n[:, k] = np.bincount(words.text[sentence[starts_of(sentence)]], minlength=len(n))
+        found = (n >= 2) & (n >= SHARE * words.n[:, None]) & (3 * n >= n.max(1, initial=0)[:, None])
+        return found & (found.sum(1) <= 2)[:, None]
 
 
 def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = None) -> DataFrame:
@@ -160,61 +192,84 @@ def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = No
     stems = [tuple(STEMS.get(s, "").split()) for s in subjects]
     width = len(subjects)
     sent = corpus.sparkSession.sparkContext.broadcast(model)
-    names = [f"n{i}" for i in range(width + 1)]
+
+    columns = {f"n{i}": (lambda g, i=i: (i in g[1]) - (i in g[2])) for i in range(width + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = stem_finder(stems)
-        seen: dict[tuple, Counter] = {}
+        finder, model, counts = Stems(stems), sent.value, TermCounts()
         for batch in batches:
-            for language, text, labels in zip(*[c.to_pylist() for c in batch.columns]):
-                sentences = sentences_of(text)
-                gained, lost = set(labels if labels else seeded(sentences, find)), set()
-                if sent.value is None:
-                    gained.add(width)
+            languages, texts, labels = (c.to_pylist() for c in batch.columns)
+            for at in pieces(texts):
+                words = Words([body_of(t) for t in texts[at]])
+                before = finder.seeded(words)
+                for i, ks in enumerate(labels[at]):
+                    if ks:
+                        before[i] = False
+                        before[i, ks] = True
+                if model is None:
+                    gained, lost = np.c_[before, np.ones(len(before), bool)], np.zeros_like(before)
                 else:
-                    n, by, _ = sent.value.counts(sentences)
-                    now = {k for k, v in by.items() if v >= SHARE * n}
-                    gained, lost = now - gained, gained - now
-                if gained or lost:
-                    seen.setdefault((language or "", tuple(sorted(gained)), tuple(sorted(lost))), Counter()).update(terms_of(sentences) | {""})
-            if sum(map(len, seen.values())) > 400_000:
-                yield flush(seen)
-                seen.clear()
-        yield flush(seen)
-
-    def flush(seen):
-        rows: dict[tuple, list[int]] = {}
-        for (language, gained, lost), terms in seen.items():
-            for term, n in terms.items():
-                row = rows.setdefault((language, term), [0] * (width + 1))
-                for k in gained:
-                    row[k] += n
-                for k in lost:
-                    row[k] -= n
-        counts = list(zip(*rows.values())) or [()] * (width + 1)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *[pa.array(c, pa.int64()) for c in counts]], ["language", "term", *names])
-
-    return written(corpus.select("language", "text", "labels").mapInArrow(run, ", ".join(["language string", "term string", *[f"{n} bigint" for n in names]])), "term-counts", compression="zstd")
+                    n = model.tally(words)[0]
+                    now = (n > 0) & (n >= SHARE * words.n[:, None])
+                    gained, lost = now & ~before, before & ~now
+                sides = [(language or "", tuple(np.flatnonzero(a).tolist()), tuple(np.flatnonzero(b).tolist())) for language, a, b in zip(languages[at], gained, lost)]
+                counts.add(words, [g if g[1] or g[2] else None for g in sides])
+                if counts.rows > 2 * ROWS and counts.merge() > ROWS:
+                    yield from counts.batches(columns, itemgetter(0))
+                    counts = TermCounts()
+        yield from counts.batches(columns, itemgetter(0))
+
+    return written(corpus.select("language", "text", "labels").mapInArrow(run, ", ".join(["language string", "term string", *[f"{n} bigint" for n in columns]])), "term-counts", compression="zstd")
 
 
 def fitted(counts: DataFrame, subjects: list[str]) -> Model:
     """The model of the terms that ``counts`` (of ``term_counts``, one or several together) lets through.
 
-    The tasks have added up their texts, so the rows are sent once, by their terms, for both sums.
+    The tasks have added up their texts, so the rows are sent once, by their terms, and all sums of a term are made where
+    its rows are.
     """
     width = len(subjects)
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(width + 1)]
-    per = counts.repartition("term").groupBy("language", "term").agg(*sums)
-    totals = counts.where("term = ''").groupBy("language").agg(*sums)
-    totals = F.broadcast(totals.select("language", *[F.col(f"n{i}").alias(f"t{i}") for i in range(width + 1)]))
-    # what documents of the term's languages let expect, subject by subject
-    share = (F.col(f"n{width}") + 0.3) / (F.col(f"t{width}") + 1)
-    stats = per.where("term <> ''").join(totals, "language").groupBy("term").agg(*[F.sum(f"n{i}").alias(f"v{i}") for i in range(width)], *[(F.sum(share * F.col(f"t{i}")) + 0.05).alias(f"e{i}") for i in range(width)])
-    lifts = F.array(*[F.struct((F.col(f"v{i}") / F.col(f"e{i}")).alias("lift"), F.lit(i).alias("k"), F.col(f"v{i}").alias("v"), F.col(f"e{i}").alias("e")) for i in range(width)])
-    top = stats.select("term", F.sort_array(lifts, asc=False).alias("l")).select("term", F.col("l")[0].alias("a"), F.coalesce(F.col("l")[1]["lift"], F.lit(0.0)).alias("second") if width > 1 else F.lit(0.0).alias("second"))
-    kept = top.where((F.col("a.v") >= 2) & (F.col("a.lift") >= 2) & (F.col("a.lift") >= 1.7 * F.col("second")) & ((F.col("a.v") - F.col("a.e")) / F.sqrt("a.e") >= 3.5))
-    rows = kept.select("term", "a.k", (F.log("a.lift") * F.least(F.lit(1.0), F.col("a.v") / 4)).alias("weight")).collect()  # those that pass
-    return Model(subjects, {r.term: (r.k, r.weight) for r in rows})
+    names = [f"n{i}" for i in range(width + 1)]
+    # a row a language
+    totals = {r[0]: r[1:] for r in counts.where("term = ''").groupBy("language").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, new = None, []
+        for batch in batches:
+            new.append(batch)
+            if sum(map(len, new)) >= ROWS:
+                rows, new = summed(rows, new, names), []
+        rows = summed(rows, new, names)
+        if not len(rows):
+            return
+        languages, terms = (rows.column(c).combine_chunks().dictionary_encode() for c in ("language", "term"))
+        n = np.stack([rows.column(c).to_numpy() for c in names], 1)
+        total = np.array([totals[x] for x in languages.dictionary.to_pylist()], float)[languages.indices.to_numpy()]
+        of, size = terms.indices.to_numpy(), len(terms.dictionary)
+        # what documents of the term's languages let expect, subject by subject
+        share = (n[:, width] + 0.3) / (total[:, width] + 1)
+        v = np.stack([np.bincount(of, n[:, i], size) for i in range(width)], 1)
+        e = np.stack([np.bincount(of, share * total[:, i], size) for i in range(width)], 1) + 0.05
+        lifts = v / e
+        k = width - 1 - lifts[:, ::-1].argmax(1)
+        at = np.arange(size), k
+        lift, v, e = lifts[at], v[at], e[at]
+        second = np.sort(lifts, 1)[:, -2] if width > 1 else 0.0
+        kept = np.flatnonzero((v >= 2) & (lift >= 2) & (lift >= 1.7 * second) & ((v - e) / np.sqrt(e) >= 3.5))
+        weight = np.log(lift[kept]) * np.minimum(1.0, v[kept] / 4)
+        yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(kept)), pa.array(k[kept], pa.int32()), pa.array(weight)], ["term", "k", "weight"])
+
+    kept = counts.where("term <> ''").repartition("term").select("language", "term", *names).mapInArrow(run, "term string, k int, weight double").collect()  # those that pass
+    return Model(subjects, {r.term: (r.k, r.weight) for r in sorted(kept)})
+
+
+def summed(rows: pa.Table | None, more: list[pa.RecordBatch], names: list[str]) -> pa.Table:
+    """The sums of each language and term."""
+    schema = pa.schema([("language", pa.string()), ("term", pa.string()), *[(n, pa.int64()) for n in names]])
+    parts = [pa.Table.from_batches(more).cast(schema)] if more else []
+    every = pa.concat_tables([*([] if rows is None else [rows]), *parts]) if parts or rows is not None else schema.empty_table()
+    out = every.group_by(["language", "term"], use_threads=False).aggregate([(n, "sum") for n in names])
+    return out.select(["language", "term", *[f"{n}_sum" for n in names]]).rename_columns(schema.names)
 
 
 def calibrated(model: Model, sample: DataFrame) -> Model:
@@ -261,14 +316,15 @@ def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        names = np.array(m.subjects, object)
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                n, by, weight = m.counts(sentences_of(text))
-                rows += [(i, m.subjects[k], v, v / n, float(weight[k])) for k, v in sorted(by.items())]
-            if rows:
-                at, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(rest, (pa.string(), pa.int32(), pa.float64(), pa.float64()))]], schema.names)
+            texts = batch.column(1).to_pylist()
+            for at in pieces(texts):
+                words = Words([body_of(t) for t in texts[at]])
+                n, weight = m.tally(words)
+                i, k = np.nonzero(n)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + at.start)), pa.array(names[k], pa.string()), pa.array(n[i, k], pa.int32()), pa.array(n[i, k] / words.n[i]), pa.array(weight[i, k])], schema.names)
 
     return spread(texts.select(id_col, text_col).where(F.length(text_col) > 0)).mapInArrow(run, schema)
 
