@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.language import label_code
-from docloom.llm.word_arrays import Matcher, TermCounts, Words, found_in, pieces, starts_of
+from docloom.llm.word_arrays import Matcher, TermCounts, Words, found_in, packed, pieces, starts_of, unpacked
 from docloom.storage import spread, written
 
 #: Labelled documents that the first model and the threshold are fitted to (by a hash of their ids).
@@ -127,20 +127,30 @@ class Model:
 
     def tally(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The same sentences and weights of ``counts`` for many texts: a row a text, a column a subject."""
+        text, k, weight = self.tops(words)
+        return self.summed(words, text, k, weight, self.threshold)
+
+    def summed(self, words: Words, text: np.ndarray, k: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Number and weight of the sentences of ``tops`` with at least this weight."""
+        width, texts, deals = len(self.subjects), len(words.n), weight >= least
+        at = text[deals] * width + k[deals]
+        return np.bincount(at, minlength=texts * width).reshape(texts, width), np.bincount(at, weight[deals], texts * width).astype(float).reshape(texts, width)
+
+    def tops(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of the sentences that have one, in order: text, subject and weight."""
         if self._matcher is None:
             self._matcher = Matcher(list(self.terms)), np.array([k for k, _ in self.terms.values()], np.int64), np.array([w for _, w in self.terms.values()], float)
         matcher, subject, weight = self._matcher
-        width, texts = len(self.subjects), len(words.n)
+        width = len(self.subjects)
         sentence, term = matcher.matches(words)
         scores = np.bincount(sentence * width + subject[term], weight[term], len(words.size) * width).reshape(len(words.size), width)
         scores = scores / np.sqrt(np.maximum(words.size, 4) / 12)[:, None]
         if not scores.size:
-            return np.zeros((texts, width), np.int64), np.zeros((texts, width))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         top = scores.max(1)
         second = np.sort(scores, 1)[:, -2] if width > 1 else 0.0
-        deals = (top > 2 * second) & (top > 0) & (top >= self.threshold)
-        at = words.text[deals] * width + scores[deals].argmax(1)
-        return np.bincount(at, minlength=texts * width).reshape(texts, width), np.bincount(at, top[deals], texts * width).astype(float).reshape(texts, width)
+        has = (top > 2 * second) & (top > 0)
+        return words.text[has], scores[has].argmax(1), top[has]
 
 
 def marked(texts: DataFrame, labels: DataFrame, subjects: list[str], size: int) -> DataFrame:
@@ -182,6 +192,11 @@ class Stems:
         return found & (found.sum(1) <= 2)[:, None]
 
 
+def counts_schema(subjects: list[str]) -> pa.Schema:
+    """Of the rows of ``term_counts``."""
+    return pa.schema([("language", pa.string()), ("term", pa.string()), *[(f"n{i}", pa.int64()) for i in range(len(subjects) + 1)]])
+
+
 def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = None) -> DataFrame:
     """(language, term, n0, n1, ...), to be summed: in how many texts of each subject a term stands, and last in how many of all.
 
@@ -189,6 +204,22 @@ def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = No
     rows are what that changes: only texts whose subjects are others now are counted, up and down. Texts of no known
     language are one group; the term ``''`` stands in every text.
     """
+    return rows_of(term_blocks(corpus, subjects, parts_of(corpus), model), subjects)
+
+
+def rows_of(blocks: DataFrame, subjects: list[str]) -> DataFrame:
+    """The rows of ``term_counts`` that ``blocks`` hold."""
+    schema = counts_schema(subjects)
+    return blocks.mapInArrow(lambda batches: unpacked(batches, schema), ", ".join(["language string", "term string", *[f"{n} bigint" for n in schema.names[2:]]]))
+
+
+def parts_of(corpus: DataFrame) -> int:
+    """Into how many parts terms are divided: as many as a shuffle has."""
+    return int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def term_blocks(corpus: DataFrame, subjects: list[str], parts: int, model: Model | None = None) -> DataFrame:
+    """(part, size, block): the rows of ``term_counts``, packed by tasks. All rows of a term are in blocks of one part."""
     stems = [tuple(STEMS.get(s, "").split()) for s in subjects]
     width = len(subjects)
     sent = corpus.sparkSession.sparkContext.broadcast(model)
@@ -215,27 +246,30 @@ def term_counts(corpus: DataFrame, subjects: list[str], model: Model | None = No
                 sides = [(language or "", tuple(np.flatnonzero(a).tolist()), tuple(np.flatnonzero(b).tolist())) for language, a, b in zip(languages[at], gained, lost)]
                 counts.add(words, [g if g[1] or g[2] else None for g in sides])
                 if counts.rows > 2 * ROWS and counts.merge() > ROWS:
-                    yield from counts.batches(columns, itemgetter(0))
+                    yield from packed(counts.parted(columns, itemgetter(0), parts))
                     counts = TermCounts()
-        yield from counts.batches(columns, itemgetter(0))
+        yield from packed(counts.parted(columns, itemgetter(0), parts))
 
-    return written(corpus.select("language", "text", "labels").mapInArrow(run, ", ".join(["language string", "term string", *[f"{n} bigint" for n in columns]])), "term-counts", compression="zstd")
+    return written(corpus.select("language", "text", "labels").mapInArrow(run, "part int, size bigint, block binary"), "term-counts")
 
 
 def fitted(counts: DataFrame, subjects: list[str]) -> Model:
-    """The model of the terms that ``counts`` (of ``term_counts``, one or several together) lets through.
+    """The model of the terms that ``counts`` (of ``term_blocks`` or ``term_counts``, one or several together) lets through.
 
     The tasks have added up their texts, so the rows are sent once, by their terms, and all sums of a term are made where
     its rows are.
     """
     width = len(subjects)
-    names = [f"n{i}" for i in range(width + 1)]
+    schema = counts_schema(subjects)
+    names = schema.names[2:]
+    blocks = "block" in counts.columns
     # a row a language
-    totals = {r[0]: r[1:] for r in counts.where("term = ''").groupBy("language").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    texts = rows_of(counts.where("part = -1"), subjects) if blocks else counts.where("term = ''")
+    totals = {r[0]: r[1:] for r in texts.groupBy("language").agg(*[F.sum(n).alias(n) for n in names]).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, new = None, []
-        for batch in batches:
+        for batch in unpacked(batches, schema) if blocks else batches:
             new.append(batch)
             if sum(map(len, new)) >= ROWS:
                 rows, new = summed(rows, new, names), []
@@ -259,7 +293,8 @@ def fitted(counts: DataFrame, subjects: list[str]) -> Model:
         weight = np.log(lift[kept]) * np.minimum(1.0, v[kept] / 4)
         yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(kept)), pa.array(k[kept], pa.int32()), pa.array(weight)], ["term", "k", "weight"])
 
-    kept = counts.where("term <> ''").repartition("term").select("language", "term", *names).mapInArrow(run, "term string, k int, weight double").collect()  # those that pass
+    sent = counts.where("part >= 0").repartitionById(parts_of(counts), "part") if blocks else counts.where("term <> ''").select(schema.names).repartition("term")
+    kept = sent.mapInArrow(run, "term string, k int, weight double").collect()  # those that pass
     return Model(subjects, {r.term: (r.k, r.weight) for r in sorted(kept)})
 
 
@@ -277,16 +312,19 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = {t: [0, 0, 0] for t in GRID}
+        model, tally = sent.value, {t: np.zeros(3, np.int64) for t in GRID}
         for batch in batches:
-            for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sentences = sentences_of(text)
-                tops = [x for x in map(sent.value.best, sentences) if x]
+            texts, labels = (c.to_pylist() for c in batch.columns)
+            for at in pieces(texts):
+                words = Words([body_of(t) for t in texts[at]])
+                wanted = np.zeros((len(words.n), len(model.subjects)), bool)
+                for i, ks in enumerate(labels[at]):
+                    wanted[i, ks] = True
+                tops = model.tops(words)
                 for t in GRID:
-                    by = Counter(k for k, weight in tops if weight >= t)
-                    said = {k for k, v in by.items() if v >= SHARE * len(sentences)}
-                    for i, x in enumerate((said & set(labels), said - set(labels), set(labels) - said)):
-                        tally[t][i] += len(x)
+                    n = model.summed(words, *tops, t)[0]
+                    said = (n > 0) & (n >= SHARE * words.n[:, None])
+                    tally[t] += [(said & wanted).sum(), (said & ~wanted).sum(), (wanted & ~said).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.float64()), *[pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3)]], ["t", "tp", "fp", "fn"])
 
     rows = sample.select("text", "labels").mapInArrow(run, "t double, tp bigint, fp bigint, fn bigint").groupBy("t").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).collect()
@@ -301,8 +339,9 @@ def train(texts: DataFrame, labels: DataFrame, subjects: DataFrame, size: int =
         return Model([], {})
     corpus = marked(texts, labels, names, size)
     sample = written(corpus.where("labels IS NOT NULL"), "subject-sample")  # at most size documents
-    first = term_counts(corpus, names)
-    return calibrated(fitted(first.unionByName(term_counts(corpus, names, fitted(first, names))), names), sample)
+    parts = parts_of(corpus)
+    first = term_blocks(corpus, names, parts)
+    return calibrated(fitted(first.unionByName(term_blocks(corpus, names, parts, fitted(first, names))), names), sample)
 
 
 def subject_shares(texts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -205,20 +206,44 @@ class TermCounts:
 
     def batches(self, columns: dict[str, Callable[[tuple], int]], language: Callable[[tuple], str]) -> Iterator[pa.RecordBatch]:
         """(language, term, columns) of all that was counted, a column summing what it gives a text of each group."""
+        return (batch for _, batch in self.parted(columns, language, 1))
+
+    def parted(self, columns: dict[str, Callable[[tuple], int]], language: Callable[[tuple], str], parts: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """The rows of ``batches`` by part: that of a term follows from a hash of its words, and that of the empty term is -1."""
         if not self.merge():
             return
         term, group, n = self.parts[0]
+        names, of = np.unique([language(g) for g in self.groups], return_inverse=True)
+        order = np.lexsort((of[group], term))
+        term, group, n = term[order], group[order], n[order]
+        at = starts_of(term, of[group])
+        sums = [np.add.reduceat(n * np.array([f(x) for x in self.groups], np.int64)[group], at) for f in columns.values()]
+        term, spoken = term[at], of[group[at]]
+        first, second = term >> 32, term & 0xFFFFFFFF
+        hashes = np.array([crc32(w.encode()) for w in self.places], np.int64)
+        part = np.where(term == 0, -1, (hashes[first] * 31 + hashes[second]) % parts)
+        order = np.argsort(part, kind="stable")
         words = pa.array(list(self.places), pa.large_string())
-        of = np.array([language(g) for g in self.groups])
-        for name in np.unique(of).tolist():
-            here = (of == name)[group]
-            t, g, m = term[here], group[here], n[here]
-            at = starts_of(t)
-            sums = [np.add.reduceat(m * np.array([f(x) for x in self.groups], np.int64)[g], at) for f in columns.values()]
-            first, second = words.take(pa.array(t[at] >> 32)), words.take(pa.array(t[at] & 0xFFFFFFFF))
-            both = pc.if_else(pa.array(t[at] & 0xFFFFFFFF == 0), first, pc.binary_join_element_wise(first, second, pa.scalar(" ", pa.large_string())))
-            batch = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(at)), both.cast(pa.string()), *map(pa.array, sums)], ["language", "term", *columns])
-            yield from (batch.slice(i, 100_000) for i in range(0, len(batch), 100_000))
+        a, b = words.take(pa.array(first[order])), words.take(pa.array(second[order]))
+        both = pc.if_else(pa.array(second[order] == 0), a, pc.binary_join_element_wise(a, b, pa.scalar(" ", pa.large_string())))
+        batch = pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()).take(pa.array(spoken[order])), both.cast(pa.string()), *[pa.array(x[order]) for x in sums]], ["language", "term", *columns])
+        part = part[order]
+        bounds = [*starts_of(part).tolist(), len(part)]
+        yield from ((int(part[x]), batch.slice(x, y - x)) for x, y in zip(bounds, bounds[1:]))
+
+
+def packed(parted: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """(part, size, block): each batch in one value, compressed; ``size`` is that without compression."""
+    rows = [(part, buffer.size, pa.compress(buffer, "zstd", asbytes=True)) for part, batch in parted for buffer in [batch.serialize()]]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "size", "block"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The batches of ``packed``."""
+    for batch in batches:
+        for size, block in zip(batch.column("size").to_pylist(), batch.column("block")):
+            yield pa.ipc.read_record_batch(pa.decompress(block.as_buffer(), size, "zstd"), schema)
 
 
 def counted(term: np.ndarray, group: np.ndarray, n: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:

@@ -93,6 +93,35 @@ def test_terms_count_texts(read, merged):
     assert not list(A.TermCounts().batches({"n": lambda g: 1}, lambda g: "en"))
 
 
+def test_blocks_keep_rows_and_put_a_term_into_one_part(texts):
+    columns, language, part_of, rows = {"n0": lambda g: g[1]}, lambda g: g[0], {}, []
+    schema = pa.schema([("language", pa.string()), ("term", pa.string()), ("n0", pa.int64())])
+    for own in (texts[:300], texts[300:], texts[100:200]):  # tasks with other vocabularies
+        counts = A.TermCounts()
+        counts.add(A.Words([U.body_of(t) for t in own]), [("en", 1) if i % 2 else ("de", 2) for i in range(len(own))])
+        for part, batch in counts.parted(columns, language, 5):
+            for r in batch.to_pylist():
+                assert part_of.setdefault(r["term"], part) == part
+        want = [r for b in counts.batches(columns, language) for r in b.to_pylist()]
+        got = [r for b in A.unpacked(A.packed(counts.parted(columns, language, 5)), schema) for r in b.to_pylist()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        rows += got
+    assert set(part_of.values()) == {-1, 0, 1, 2, 3, 4} and [t for t, p in part_of.items() if p == -1] == [""]
+    assert not list(A.packed(A.TermCounts().parted(columns, language, 5)))
+
+
+def test_blocks_and_rows_give_one_model(spark):
+    noun = {0: "contracts verdicts courts", 1: "servers patches browsers", 2: "chairs desks cards"}
+    rng = random.Random(5)
+    docs = [(["en", None][i % 2], ". ".join(f"we saw the {rng.choice(noun[i % 3].split())} and the {rng.choice(noun[i % 3].split())} again" for _ in range(6)), [i % 3] if i % 3 < 2 else None) for i in range(120)]
+    corpus = spark.createDataFrame(docs, "language string, text string, labels array<int>").repartition(3)
+    names = ["law", "software"]
+    blocks = U.term_blocks(corpus, names, U.parts_of(corpus))
+    model, other = U.fitted(blocks, names), U.fitted(U.rows_of(blocks, names), names)
+    assert model.terms.keys() == other.terms.keys() and all(other.terms[t][0] == k and abs(other.terms[t][1] - w) < 1e-9 for t, (k, w) in model.terms.items())
+    assert model.terms["courts"][0] == 0 and model.terms["servers"][0] == 1 and "chairs" not in model.terms
+
+
 def test_sums_are_the_same_in_steps():
     batches = [pa.RecordBatch.from_pydict({"language": ["en", "en", "de"], "term": ["x", "y", "x"], "n0": pa.array([1, i, -2], pa.int64())}) for i in range(5)]
     whole, steps = U.summed(None, batches, ["n0"]), None
