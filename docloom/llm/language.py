@@ -4,7 +4,8 @@ Prediction by partial matching: for each language a tree of byte contexts of var
 byte) with its counts. The code length of a byte is that of its longest known context; where the context has not seen it,
 the cost of an escape (method C) is added and the next shorter context decides, down to a flat choice of 256. Statistics
 are frozen, so the code length of a word from its leading to its closing space is exact and the same wherever it stands.
-A text belongs to the language that codes it shortest.
+A text belongs to the language that codes it shortest. The words of many texts are read, looked up and added up at once,
+as arrays (``word_arrays``): each of them once, and each of their different contexts once.
 
 Trees are trained on a bounded sample of the chunks whose metadata name a language (``SAMPLE`` a language). As labels are
 wrong in part and chunks mix languages, a first model, of whole chunks, relabels the sentences of the sample and the final
@@ -17,9 +18,7 @@ language (``UNKNOWN``).
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.word_arrays import Words, pieces, starts_of
 from docloom.storage import spread, written
 
-#: Bytes of context.
+#: Bytes of context; a context and its byte are packed into 40 bits.
 ORDER = 4
 #: Labelled chunks a language in the training sample.
 SAMPLE = 1500
@@ -51,9 +51,11 @@ NAMES = {
     "cs": "ces cze czech", "tr": "tur turkish", "uk": "ukr ukrainian", "el": "ell gre greek", "ro": "ron rum romanian", "hu": "hun hungarian",
     "ja": "jpn japanese", "zh": "zho chi chinese", "ko": "kor korean", "ar": "ara arabic", "he": "heb hebrew", "hi": "hin hindi",
 }
-_WORD = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
-_SENTENCE = re.compile(r"(?<=[.!?…;])[\"'»)”]*\s+|\n+")
+#: Signs that may come between the end of a sentence and white space.
+_CLOSING = "\"'»)”"
+#: The bits of a gram's bytes; those above hold their number.
+_BITS = 8 * (ORDER + 1)
 
 
 def label_code(label: Column) -> Column:
@@ -63,159 +65,187 @@ def label_code(label: Column) -> Column:
     return F.when(F.length(bare) == 2, bare).otherwise(F.try_element_at(names, bare))
 
 
-def sentences_of(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s]
+def words_of(texts: list[str | None]) -> Words:
+    """The words of all sentences of some texts."""
+    return Words([(t or "").lower() for t in texts], 1, _CLOSING)
 
 
-def contexts(word: str) -> bytes:
-    return b" " + word.encode("utf-8", "ignore") + b" "
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The longest gram that ends at each byte of some words and of their closing spaces, and where each word's begin."""
+    coded = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8)
+    spaces = np.flatnonzero(coded == 32)
+    first = spaces[:-1]
+    size = np.minimum(np.arange(1, len(coded)) - np.repeat(first, np.diff(spaces)), ORDER) + 1
+    gram = size << _BITS
+    for k in range(ORDER + 1):
+        at = np.flatnonzero(size > k)
+        gram[at] |= coded[at + 1 - k].astype(np.int64) << 8 * k
+    return gram, first
+
+
+def last_bytes(gram: np.ndarray, k: int) -> np.ndarray:
+    """The last ``k`` bytes of grams."""
+    return gram & ((1 << 8 * k) - 1) | k << _BITS
+
+
+def plain(words: list[str]) -> np.ndarray:
+    """Which words have no digits; the others belong to no language."""
+    return np.array([w.isalpha() or not _DIGIT.search(w) for w in words], bool)
 
 
 class Trees:
-    """The frozen context trees of all languages, as matrices with a row for each context and each context with its byte."""
+    """The frozen context trees of all languages, as matrices with a row for each context and each context with its byte.
 
-    def __init__(self, languages: list[str], grams: list[bytes], counts: list[int]):
+    A gram, a context with its byte or a context alone, is a whole number: its bytes, and their number above ``_BITS``.
+    """
+
+    def __init__(self, languages: np.ndarray, grams: np.ndarray, counts: np.ndarray):
         """Occurrences of each language's context + byte, in columns."""
-        self.languages = sorted(set(languages))
-        place = {language: i for i, language in enumerate(self.languages)}
-        self.gram_row: dict[bytes, int] = {}
-        self.context_row: dict[bytes, int] = {}
-        at = np.fromiter((self.gram_row.setdefault(g, len(self.gram_row)) for g in grams), dtype=np.int64, count=len(grams))
-        parent = np.fromiter((self.context_row.setdefault(g[:-1], len(self.context_row)) for g in self.gram_row), dtype=np.int64, count=len(self.gram_row))
-        n = np.zeros((len(self.gram_row), len(self.languages)), dtype=np.float32)
-        n[at, [place[x] for x in languages]] = counts
-        total, kinds = (np.zeros((len(self.context_row), n.shape[1]), dtype=np.float32) for _ in range(2))
+        names, place = np.unique(np.asarray(languages, object), return_inverse=True)
+        self.languages = names.tolist()
+        self.grams, at = np.unique(np.asarray(grams, np.int64), return_inverse=True)
+        size = self.grams >> _BITS
+        self.contexts, parent = np.unique((self.grams & ((1 << _BITS) - 1)) >> 8 | (size - 1) << _BITS, return_inverse=True)
+        n = np.zeros((len(self.grams), len(self.languages)), dtype=np.float32)
+        n[at, place] = counts
+        total, kinds = (np.zeros((len(self.contexts), n.shape[1]), dtype=np.float32) for _ in range(2))
         np.add.at(total, parent, n)
         np.add.at(kinds, parent, n > 0)
         # bits of an escape; a context that a language lacks costs nothing
         self.escape = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0)
         # bits of a byte that its context has seen, infinite elsewhere
         self.code = np.where(n > 0, np.log2(np.maximum(total + kinds, 1))[parent] - np.log2(np.maximum(n, 1)), np.inf)
-        self.flat = np.full(n.shape[1], 8.0)
-
-    def __getstate__(self):
-        """The keys without their places, which are their order."""
-        return {**self.__dict__, "gram_row": list(self.gram_row), "context_row": list(self.context_row)}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.gram_row, self.context_row = ({k: i for i, k in enumerate(state[name])} for name in ("gram_row", "context_row"))
-
-    def byte_bits(self, gram: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
-        """Code length of the last byte of ``gram`` after the bytes before it; shorter contexts are looked up in ``known``."""
-        bits = known.get(gram)
-        if bits is None:
-            bits = self.byte_bits(gram[1:], known) if len(gram) > 1 else self.flat
-            context = self.context_row.get(gram[:-1])
-            if context is not None:
-                bits = bits + self.escape[context]
-                row = self.gram_row.get(gram)
-                if row is not None:
-                    code = self.code[row]
-                    bits = np.where(np.isinf(code), bits, code)
-            known[gram] = bits
+
+    def byte_bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length in each language of the last byte of grams after the bytes before it, from the shortest context on."""
+        bits = np.full((len(gram), len(self.languages)), 8.0)
+        for k in range(1, ORDER + 2):
+            at = np.flatnonzero(gram >> _BITS >= k)
+            own = last_bytes(gram[at], k)
+            row, known = _rows(self.contexts, (own & ((1 << _BITS) - 1)) >> 8 | (k - 1) << _BITS)
+            at, own = at[known], own[known]
+            bits[at] += self.escape[row]
+            row, known = _rows(self.grams, own)
+            code = self.code[row]
+            bits[at[known]] = np.where(np.isinf(code), bits[at[known]], code)
         return bits
 
-    def bits(self, word: str, known: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
-        """Code length of a word in each language; none for words with digits, which belong to no language."""
-        known, text = {} if known is None else known, contexts(word)
-        if _DIGIT.search(word):
-            return np.zeros(len(self.languages))
-        return sum(self.byte_bits(text[max(0, i - ORDER) : i + 1], known) for i in range(1, len(text)))
+    def word_bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code length of words in each language, and the bytes coded; none for words with digits, which belong to no language."""
+        bits, size = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
+        some = np.flatnonzero(plain(words))
+        if len(some):
+            gram, first = grams_of([words[i] for i in some.tolist()])
+            gram, at = np.unique(gram, return_inverse=True)
+            bits[some] = np.add.reduceat(self.byte_bits(gram)[at], first, axis=0)
+            size[some] = np.diff(first, append=len(at))
+        return bits, size
+
+    def bits(self, word: str, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Code length of a word in each language; words are looked up in ``known``."""
+        known = {} if known is None else known
+        if word not in known:
+            known[word] = self.word_bits([word])[0][0]
+        return known[word]
+
+
+def _rows(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in sorted ``keys`` of those wanted that are among them, and which these are."""
+    row = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    known = np.flatnonzero(keys[row] == wanted)
+    return row[known], known
 
 
 class Scorer:
-    """Code lengths of the sentences of many texts; words and contexts are scored once."""
+    """Code lengths of the sentences of many texts."""
 
     def __init__(self, trees: Trees):
         self.trees = trees
-        self.known: dict[bytes, np.ndarray] = {}
-        self._empty()
-
-    def _empty(self):
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, len(self.trees.languages)))
-
-    def _new(self, word: str) -> int:
-        i = self.place[word] = len(self.place)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if len(self.known) > 500_000:
-            self.known.clear()
-        self.table[i] = self.trees.bits(word, self.known)
-        return i
-
-    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Number of the text, words and bits in each language of each sentence with words, and the sentences."""
-        if len(self.place) > 500_000:
-            self._empty()
-        owner, sizes, flat, said = [], [], [], []
-        place = self.place
-        for t, text in enumerate(texts):
-            for sentence in sentences_of(text or ""):
-                found = _WORD.findall(sentence.lower())
-                if found:
-                    flat += [place[w] if w in place else self._new(w) for w in found]
-                    owner.append(t)
-                    sizes.append(len(found))
-                    said.append(sentence)
-        if not owner:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(self.trees.languages))), said
-        sizes = np.array(sizes)
-        bits = np.add.reduceat(self.table[np.array(flat)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        return np.array(owner), sizes, bits, said
-
-
-def best_path(bits: np.ndarray) -> np.ndarray:
-    """The language of each sentence of a text: least bits in all, with ``SWITCH`` for each change."""
-    first = bits.argmin(axis=1)
-    if (first == first[0]).all():
-        return first
-    cost, back = bits[0].copy(), []
-    for row in bits[1:]:
-        stay, best = cost, int(cost.argmin())
-        move = cost[best] + SWITCH
-        back.append(np.where(stay <= move, np.arange(len(cost)), best))
-        cost = np.minimum(stay, move) + row
-    path = [int(cost.argmin())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return np.array(path[::-1])
-
-
-def counted(texts: DataFrame, relabel=None) -> tuple[list[str], list[bytes], list[int]]:
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Bits in each language and bytes coded of each sentence."""
+        bits, size = self.trees.word_bits(words.unique)
+        first = starts_of(words.sentence)
+        return np.add.reduceat(bits[words.word], first, axis=0), np.add.reduceat(size[words.word], first)
+
+    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, words, bits in each language and bytes coded of each sentence with words."""
+        words = words_of(texts)
+        return words.text, words.size, *self.of(words)
+
+
+def best_paths(text: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The language of each sentence of some texts: least bits in all of a text, with ``SWITCH`` for each change in it."""
+    path = bits.argmin(axis=1)
+    if not len(path):
+        return path
+    begin = starts_of(text)
+    size = np.diff(begin, append=len(text))
+    # texts whose sentences differ, the longest first, so that those with another sentence are the first at each step
+    mixed = np.flatnonzero(np.minimum.reduceat(path, begin) != np.maximum.reduceat(path, begin))
+    mixed = mixed[np.argsort(-size[mixed], kind="stable")]
+    begin, size = begin[mixed], size[mixed]
+    left = np.searchsorted(-size, -np.arange(1, size.max(initial=0)))  # texts of more sentences than 1, 2 ...
+    all_, cost, back = np.arange(bits.shape[1]), bits[begin], []
+    for step, n in enumerate(left.tolist(), 1):
+        best = cost[:n].argmin(axis=1)[:, None]
+        move = np.take_along_axis(cost[:n], best, 1) + SWITCH
+        back.append(np.where(cost[:n] <= move, all_, best).astype(np.int16))
+        cost[:n] = np.minimum(cost[:n], move) + bits[begin[:n] + step]
+    state = cost.argmin(axis=1)
+    for step in range(len(back), 0, -1):
+        n = left[step - 1]
+        path[begin[:n] + step] = state[:n]
+        state[:n] = back[step - 1][np.arange(n), state[:n]]
+    path[begin] = state
+    return path
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sum of ``n`` of each."""
+    order = np.argsort(key)
+    key = key[order]
+    at = starts_of(key)
+    return key[at], np.add.reduceat(n[order], at)
+
+
+def gram_counts(words: Words, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of each language's context + byte in sentences: the gram with the language above it; -1 is no language."""
+    of, n = language[words.sentence].astype(np.int64), len(words.unique)
+    counted = np.flatnonzero((of >= 0) & plain(words.unique)[words.word])
+    if not len(counted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, times = summed(of[counted] * n + words.word[counted], np.ones(len(counted), np.int64))
+    gram, first = grams_of([words.unique[i] for i in (key % n).tolist()])
+    size = np.diff(first, append=len(gram))
+    of, times = np.repeat(key // n, size), np.repeat(times, size)
+    at = [np.flatnonzero(gram >> _BITS >= k) for k in range(1, ORDER + 2)]
+    return summed(np.concatenate([of[x] << _BITS + 3 | last_bytes(gram[x], k) for k, x in enumerate(at, 1)]), np.concatenate([times[x] for x in at]))
+
+
+def counted(texts: DataFrame, relabel=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context counts, in columns, of a bounded sample (language, text); with ``relabel`` (sent trees), of its sentences by best language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        names: dict[str, int] = {} if relabel is None else {x: i for i, x in enumerate(relabel.value.languages)}
+        found = []
         for batch in batches:
             labels, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if relabel is None:
-                parts = zip(labels, bodies)
-            else:
-                scorer = Scorer(relabel.value)
-                owner, sizes, bits, said = scorer.sentences(bodies)
-                parts = []
-                for t in np.unique(owner):
-                    at = np.flatnonzero(owner == t)
-                    parts += [(scorer.trees.languages[k], said[i]) for i, k in zip(at, best_path(bits[at])) if sizes[i] >= 4]
-            for language, text in parts:
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    found[language, w] += n
-        grams: Counter = Counter()
-        for (language, w), n in found.items():
-            if _DIGIT.search(w):
-                continue
-            text = contexts(w)
-            for i in range(1, len(text)):
-                for order in range(min(ORDER, i) + 1):
-                    grams[language, text[i - order : i + 1]] += n
-        if grams:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in grams]), pa.array([k[1] for k in grams], pa.binary()), pa.array(list(grams.values()), pa.int64())], ["language", "gram", "n"])
-
-    rows = texts.mapInArrow(run, "language string, gram binary, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+            for at in pieces(bodies):
+                words = words_of(bodies[at])
+                if relabel is None:
+                    language = np.array([names.setdefault(x, len(names)) for x in labels[at]], np.int64)[words.text]
+                else:
+                    language = np.where(words.size >= 4, best_paths(words.text, Scorer(relabel.value).of(words)[0]), -1)
+                found.append(gram_counts(words, language))
+        key, n = summed(*(np.concatenate(c) for c in zip(*found))) if found else ((), ())
+        if len(key):
+            language = pa.array(list(names), pa.string()).take(pa.array(key >> _BITS + 3))
+            yield pa.RecordBatch.from_arrays([language, pa.array(key & ((1 << _BITS + 3) - 1)), pa.array(n)], ["language", "gram", "n"])
+
+    rows = texts.mapInArrow(run, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     table = rows.toArrow()  # grams of a bounded sample; those that occur once are left out
-    return tuple(table.column(i).to_pylist() for i in range(3))
+    return tuple(c.to_numpy() for c in table.columns)
 
 
 def train(chunks: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Trees:
@@ -236,6 +266,24 @@ def train(chunks: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Trees:
 SEGMENT = "vector_id string, document_id string, segment int, language string, confidence double, words int, sentences int, bits double"
 
 
+def passages(scorer: Scorer, texts: list[str | None]) -> tuple:
+    """The number of the text, an array, and the columns of ``SEGMENT`` after the ids, of each passage of one language."""
+    text, words, bits, size = scorer.sentences(texts)
+    # texts without words of letters have no bits in any language
+    some = np.isin(text, text[bits.any(axis=1)])
+    text, words, bits, size = text[some], words[some], bits[some], size[some]
+    path = best_paths(text, bits)
+    at = starts_of(text, path)
+    bits, words, size = (np.add.reduceat(x, at, axis=0) for x in (bits, words, size))
+    text, path, sentences = text[at], path[at], np.diff(at, append=len(text))
+    first = starts_of(text)
+    number = np.arange(len(text)) - np.repeat(first, np.diff(first, append=len(text)))
+    own = np.take_along_axis(bits, path[:, None], 1)
+    confidence = 1 / np.exp2(np.minimum(own - bits, 60)).sum(axis=1)
+    language = pa.array(scorer.trees.languages, pa.string()).take(pa.array(path))
+    return text, pa.array(number, pa.int32()), language, pa.array(confidence), pa.array(words, pa.int32()), pa.array(sentences, pa.int32()), pa.array(own[:, 0] / np.maximum(size, 1))
+
+
 def segments(chunks: DataFrame, trees: Trees | None = None) -> DataFrame:
     """Passages of one language in each chunk: (vector_id, document_id, segment, language, confidence, words, sentences).
 
@@ -252,31 +300,12 @@ def segments(chunks: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        languages = sent.value.languages
         for batch in batches:
-            owner, sizes, bits, said = scorer.sentences(batch.column(2).to_pylist())
-            lengths = np.array([sum(len(w.encode()) + 1 for w in _WORD.findall(x) if not _DIGIT.search(w)) for x in said])
-            take, number, language, confidence, words, sentences, each = [], [], [], [], [], [], []
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]) if len(owner) else [0]
-            for low, high in zip(starts[:-1], starts[1:]):
-                if not bits[low:high].any():
-                    continue
-                path = best_path(bits[low:high])
-                cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-                for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    all_ = bits[low + i : low + j].sum(axis=0)
-                    take.append(int(owner[low]))
-                    number.append(s)
-                    language.append(languages[path[i]])
-                    confidence.append(float(1 / np.exp2(np.minimum(all_[path[i]] - all_, 60)).sum()))
-                    words.append(int(sizes[low + i : low + j].sum()))
-                    each.append(float(all_[path[i]] / max(1, lengths[low + i : low + j].sum())))
-                    sentences.append(int(j - i))
-            take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(language, pa.string()), pa.array(confidence, pa.float64()), pa.array(words, pa.int32()), pa.array(sentences, pa.int32()), pa.array(each, pa.float64())],
-                [c.split()[0] for c in SEGMENT.split(", ")],
-            )
+            texts = batch.column(2).to_pylist()
+            for at in pieces(texts):
+                text, *columns = passages(scorer, texts[at])
+                ids = [batch.column(i).slice(at.start, at.stop - at.start).take(pa.array(text)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], [c.split()[0] for c in SEGMENT.split(", ")])
 
     return usual(written(spread(chunks.select("vector_id", "document_id", "content")).mapInArrow(run, SEGMENT).distinct(), "language-segments"))
 

@@ -14,17 +14,19 @@ import pyarrow.compute as pc
 
 #: Characters read at once; a longer text is read alone.
 CHARACTERS = 3_000_000
+#: Signs that may come between the end of a sentence and white space.
+CLOSING = "\"'»)”]"
 _BREAK = 10
 _WORD, _SPACE, _END, _CLOSING = 1, 2, 4, 8
 
 
 @cache
-def _kinds() -> np.ndarray:
+def _kinds(closing: str) -> np.ndarray:
     """What each character is: part of a word, white space, the end of a sentence, or a sign that may come between both."""
     chars = [chr(i) for i in range(0x110000)]
     out = np.fromiter(map(str.isalnum, chars), np.uint8, len(chars)) * _WORD + np.fromiter(map(str.isspace, chars), np.uint8, len(chars)) * _SPACE
     out[[ord(c) for c in ".!?…;"]] |= _END
-    out[[ord(c) for c in "\"'»)”]"]] |= _CLOSING
+    out[[ord(c) for c in closing]] |= _CLOSING
     return out
 
 
@@ -49,17 +51,17 @@ def pieces(texts: list, characters: int = CHARACTERS) -> Iterator[slice]:
 
 
 class Words:
-    """The words of the sentences of three words or more of some texts, given in lower case.
+    """The words of the sentences of ``least`` words or more of some texts, given in lower case.
 
     ``word`` (place in ``unique``) and ``sentence`` of each word in order, ``size`` and ``text`` of each sentence, and the
     number ``n`` of sentences of each text. A sentence ends at a line break, and at a sign that ends one if white space
-    follows it or the closing signs after it.
+    follows it or the ``closing`` signs after it.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], least: int = 3, closing: str = CLOSING):
         whole = "\n".join(texts)
         chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        kinds = _kinds()[chars]
+        kinds = _kinds(closing)[chars]
         inside = np.zeros(len(chars) + 2, bool)
         inside[1:-1] = kinds == _WORD
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -80,7 +82,7 @@ class Words:
         bounds = np.concatenate([[0], before, [len(begin)]])
         bounds = bounds[starts_of(bounds)]  # none is empty
         lengths = np.diff(bounds)
-        long = lengths >= 3
+        long = lengths >= least
         self.size = lengths[long]
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         self.text = np.searchsorted(starts, begin[bounds[:-1][long]], "right") - 1
